@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import charforms, neardup
+from quillon.llm import charforms, encoding, leakage, neardup, packing, splitting, tokenbudget
 from quillon.sources.tables import table
 
 VERSE_FIELDS = ["text_display", "text_normalized"]
@@ -46,5 +46,105 @@ c AS (
 SELECT section_id_a, section_id_b FROM c WHERE i >= 0.7 * (nx + ny - i) - 1e-9
 """
 
-QUERIES = {"p1_found": p1_found, "p1_canonical_verses": p1_canonical_verses, "p2_found": p2_found, "p2_groups": p2_groups}
-ORACLES = {"p2_found": _P2}
+LIMIT, OVERLAP, CAPACITY = 1500, 150, 4096
+
+
+def _items(spark: SparkSession, root: str) -> DataFrame:
+    """Texts to split: commentary sections and guidance units."""
+    sections = table(spark, root, "tafsir_sections").select(F.lit("tafsir_sections").alias("item_table"), F.col("canonical_section_id").alias("item_key"), F.col("text_plain").alias("text"))
+    units = table(spark, root, "guidance_units").select(F.lit("guidance_units").alias("item_table"), F.col("guidance_unit_id").alias("item_key"), F.col("span_text").alias("text"))
+    return sections.unionByName(units)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Oversized items with the strongest boundary that suffices."""
+    rows = splitting.boundary_profile(_items(spark, root), {"item_table": F.col("item_table"), "item_key": F.col("item_key")}, F.col("text"), longer_than=LIMIT)
+    return rows.select("item_table", "item_key", splitting.needed_boundary(LIMIT).alias("boundary")).distinct()
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Every item cut into ordered pieces under the limit."""
+    return splitting.split_texts(_items(spark, root), {"item_table": F.col("item_table"), "item_key": F.col("item_key")}, F.col("text"), LIMIT, OVERLAP)
+
+
+_P4 = r"""
+WITH i AS (
+  SELECT 'tafsir_sections' AS item_table, canonical_section_id AS item_key, text_plain AS t FROM tafsir_sections
+  UNION ALL SELECT 'guidance_units', guidance_unit_id, span_text FROM guidance_units
+), o AS (SELECT DISTINCT * FROM i WHERE length(t) > 1500),
+n AS (SELECT item_table, item_key, t, regexp_replace(t, '\r?\n[ \t]*\r?\n', chr(1), 'g') AS p FROM o),
+m AS (SELECT *, regexp_replace(p, '([.!?…؟۔])\s+', '\1' || chr(1), 'g') AS s FROM n),
+l AS (
+  SELECT item_table, item_key,
+    list_max(list_transform(string_split(p, chr(1)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')))) AS lp,
+    list_max(list_transform(string_split(s, chr(1)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')))) AS ls,
+    list_max(list_transform(regexp_split_to_array(t, '\s+'), lambda x: length(x))) AS lw
+  FROM m
+)
+SELECT DISTINCT item_table, item_key, CASE WHEN lp <= 1500 THEN 'paragraph' WHEN ls <= 1500 THEN 'sentence' WHEN lw <= 1500 THEN 'word' ELSE 'none' END AS boundary FROM l
+"""
+
+
+def _section_tokens(spark: SparkSession, root: str) -> DataFrame:
+    keep = [F.col("work_id"), F.col("canonical_section_id"), tokenbudget.clean_source(F.col("source_id")).alias("source_id"), tokenbudget.clean_language(F.col("language_code")).alias("language_code")]
+    return tokenbudget.row_tokens(table(spark, root, "tafsir_sections"), "text_plain", keep)
+
+
+def p5_token_budget(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens by source, language and domain: of all delivered sections, and counting each section once."""
+    works = table(spark, root, "source_works").select(F.col("id").alias("work_id"), "source_domain")
+    rows = tokenbudget.token_budget(_section_tokens(spark, root), ["work_id", "source_id", "language_code"], "canonical_section_id")
+    placed = rows.join(works, "work_id", "left").groupBy("source_domain", "source_id", "language_code")
+    return placed.agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_with_text", "n_tokens", "n_distinct", "n_distinct_tokens")])
+
+
+def _document_sizes(spark: SparkSession, root: str) -> DataFrame:
+    rows = tokenbudget.row_tokens(table(spark, root, "documents"), "text", [F.col("doc_id")])
+    return rows.select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size"))
+
+
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Assignment of every document, or part of an oversized one, to a container."""
+    rows = packing.pack(_document_sizes(spark, root), CAPACITY)
+    return rows.select(F.col("key").alias("doc_id"), F.col("chunk").alias("part_no"), F.col("size").alias("n_tokens"), F.col("bin").alias("container_id"), F.col("fill").alias("container_tokens"))
+
+
+def p6_usage(spark: SparkSession, root: str) -> DataFrame:
+    """How many containers there are, how full they are, and the least number that could do."""
+    bins = p6_containers(spark, root).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    return bins.agg(
+        F.count("*").alias("n_containers"), F.sum("parts").alias("n_parts"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"),
+        F.ceil(F.sum("n") / CAPACITY).alias("least_containers"), F.round(F.sum("n") / (F.count("*") * CAPACITY), 6).alias("share_used"),
+    )
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage", window=12)
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of a test passage."""
+    return _leaks(spark, root).where("run_words >= 12").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """The leaks with their longest run, their similarity and whether the passage is there fully."""
+    rows = _leaks(spark, root)
+    return rows.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "run_words", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= 0.8, "full").otherwise("partial").alias("extent"))
+
+
+def p8_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with garbled text, the mapping that was undone and the text as far as it could be restored."""
+    return encoding.find_garbled(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with garbled text."""
+    return p8_restored(spark, root).select("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p5_token_budget, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_restored)
+}
+ORACLES = {"p2_found": _P2, "p4_found": _P4}
