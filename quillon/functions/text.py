@@ -64,7 +64,12 @@ def canonical_token(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """canonical search words without stopwords; if only stopwords are there, these."""
-    every = words(normalize_search(c))
+    return normalized_tokens(normalize_search(c))
+
+
+def normalized_tokens(c: Column) -> Column:
+    """F2 for a text that is normalized already."""
+    every = words(c)
     kept = F.filter(every, lambda t: ~t.isin(*STOPWORDS))
     return F.transform(F.when(F.size(kept) > 0, kept).otherwise(every), canonical_token)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -98,8 +99,28 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0
     if s in t:
         return 100.0
-    n = len(s)
-    return max(indel_ratio(s, t[max(0, i) : i + n]) for i in range(1 - n, len(t)))
+    n, best = len(s), 0.0
+    for bound, at in sorted(_bounds(s, t), reverse=True):
+        if bound <= best:
+            break
+        best = max(best, indel_ratio(s, t[max(0, at) : at + n]))
+    return best
+
+
+def _bounds(s: str, t: str) -> list[tuple[float, int]]:
+    """Upper bound of the ratio of ``s`` with each window of ``t``, from the characters both hold, counted along."""
+    n, need, have, both, out = len(s), Counter(s), Counter(), 0, []
+    for at in range(1 - n, len(t)):
+        if at + n <= len(t):
+            c = t[at + n - 1]
+            both += have[c] < need[c]
+            have[c] += 1
+        if at > 0:
+            c = t[at - 1]
+            have[c] -= 1
+            both -= have[c] < need[c]
+        out.append((200.0 * both / (n + min(at + n, len(t)) - max(0, at)), at))
+    return out
 
 
 RATIOS = {"ratio": indel_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio, "matcher": lambda a, b: 100.0 * SequenceMatcher(None, a, b).ratio()}

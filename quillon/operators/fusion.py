@@ -90,10 +90,10 @@ def with_abstention(queries: DataFrame, selected: DataFrame, query: list[str]) -
     return out.withColumn("status", F.when(F.col("n_selected") == 0, "abstain").otherwise("ok"))
 
 
-def suppress_overlaps(df: DataFrame, query: list[str], group: str, start: str, end: str, *order: Column | str, limit: int = 50) -> DataFrame:
+def suppress_overlaps(df: DataFrame, query: list[str], group: str, start: str, end: str, *order: Column | str, limit: int = 1000) -> DataFrame:
     """Per query the spans that survive when, in the given order, every span that overlaps an accepted one is dropped.
 
-    The accepted spans are folded over the query's sorted candidates, of which a shortlist holds at most some hundred.
+    The accepted spans are folded over the query's sorted candidates, which should be a shortlist or distinct spans of a chapter.
     """
     ranked = with_rank(df, query, *order)
     item = F.struct(F.col("rank"), F.col(group).alias("g"), F.col(start).alias("s"), F.col(end).alias("e"))

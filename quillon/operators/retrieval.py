@@ -23,14 +23,15 @@ def _closest(tokens: Column, word: str) -> Column:
     return F.coalesce(F.array_max(F.transform(close, lambda c: tx.trigram_similarity(F.lit(word), c))), F.lit(0.0))
 
 
-def idf_shortlist(df: DataFrame, key: str, tokens: Column, grams: Column, query_tokens: list[str], query_grams: list[str], limit: int = 250, gram_weight: float = 0.35) -> DataFrame:
+def idf_shortlist(df: DataFrame, key: str, tokens: Column, gram_text: Column, query_tokens: list[str], query_grams: list[str], limit: int = 250, gram_weight: float = 0.35) -> DataFrame:
     """Documents by the summed idf of the query's tokens and, at a lower weight, q-grams: ``(key, score, token_overlap, gram_overlap)``.
 
-    A document qualifies by enough tokens or enough q-grams. Only rows that hold a query term are kept before anything is shuffled: the query's terms are literals of the plan.
+    A document qualifies by enough tokens or enough q-grams; a text holds a q-gram if the q-gram occurs in ``gram_text``. Only rows that hold a query term are kept before anything is shuffled: the query's terms are literals of the plan.
     """
     qt, qg = list(dict.fromkeys(query_tokens)), list(dict.fromkeys(query_grams))
-    wanted = lambda terms, query: F.array_intersect(F.array_distinct(terms), F.array(*map(F.lit, query)).cast("array<string>"))
-    rows = df.select(key, wanted(tokens, qt).alias("_t"), wanted(grams, qg).alias("_g"))
+    held = lambda c, query: F.array_compact(F.array(*[F.when(c(x), F.lit(x)) for x in query]).cast("array<string>"))
+    rows = df.select(key, tokens.alias("_w"), gram_text.alias("_s"))
+    rows = rows.select(key, held(lambda x: F.array_contains("_w", x), qt).alias("_t"), held(lambda x: F.col("_s").contains(x), qg).alias("_g"))
     n = df.agg(F.count("*").alias("_n"))
     terms = rows.select(key, F.explode(F.concat(F.transform("_t", lambda x: F.struct(F.lit("t").alias("lane"), x.alias("term"))), F.transform("_g", lambda x: F.struct(F.lit("g").alias("lane"), x.alias("term"))))).alias("x"))
     terms = terms.select(key, "x.lane", "x.term")
@@ -131,10 +132,15 @@ def knn(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def field_score(query: str, query_tokens: list[str], field: Column, weight: float, fuzzy: bool = False) -> Column:
-    """Share of the query's tokens in the field, fuzzy hits for the rest, a bonus for the whole phrase."""
-    norm = tx.normalize_search(field)
-    tokens = F.array_distinct(tx.search_tokens(field))
+def with_search_fields(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``df`` with ``<name>_norm`` and ``<name>_tokens`` for every field, computed once per row for the scores below."""
+    df = df.withColumns({f"{n}_norm": tx.normalize_search(c) for n, c in fields.items()})
+    return df.withColumns({f"{n}_tokens": tx.normalized_tokens(F.col(f"{n}_norm")) for n in fields})
+
+
+def field_score(query: str, query_tokens: list[str], field: str, weight: float, fuzzy: bool = False) -> Column:
+    """Share of the query's tokens in the field, fuzzy hits for the rest, a bonus for the whole phrase. ``field`` is a name of :func:`with_search_fields`."""
+    norm, tokens = F.col(f"{field}_norm"), F.array_distinct(f"{field}_tokens")
     if not query_tokens:
         return F.lit(0.0)
     hits, near = F.lit(0), F.lit(0.0)
@@ -149,11 +155,10 @@ def field_score(query: str, query_tokens: list[str], field: Column, weight: floa
     return F.when(norm == "", 0.0).otherwise(weight * (4.0 * hits / len(query_tokens) + near + whole))
 
 
-def weighted_field_score(query: str, exact: list[str], expanded: list[str], field: Column, weight: float, fuzzy: bool = False) -> Column:
-    """Direct and synonym hits, fuzzy hits, phrase, number, density and place of direct hits."""
-    norm = tx.normalize_search(field)
-    tokens = tx.search_tokens(field)
-    distinct = F.array_distinct(tokens)
+def weighted_field_score(query: str, exact: list[str], expanded: list[str], field: str, weight: float, fuzzy: bool = False) -> Column:
+    """Direct and synonym hits, fuzzy hits, phrase, number, density and place of direct hits. ``field`` is a name of :func:`with_search_fields`."""
+    norm, tokens = F.col(f"{field}_norm"), F.col(f"{field}_tokens")
+    distinct = tokens
     n = max(1, len(exact))
     direct, near, occurs, first = F.lit(0), F.lit(0.0), F.lit(0), F.lit(None).cast("int")
     for t in exact:
@@ -162,7 +167,7 @@ def weighted_field_score(query: str, exact: list[str], expanded: list[str], fiel
         occurs = occurs + _count(tokens, t)
         first = F.least(first, F.when(hit, F.array_position(tokens, t) - 1).cast("int"))
         if fuzzy and len(t) >= 4:
-            best = _closest(distinct, t)
+            best = _closest(F.array_distinct(tokens), t)
             near = near + F.when(~hit & (best >= 0.45), best).otherwise(0.0)
     synonyms = sum((F.array_contains(distinct, t).cast("int") for t in expanded if t not in exact), F.lit(0))
     phrase = F.when(norm.contains(" ".join(query.lower().split())), 3.0).otherwise(0.0) if query.strip() else F.lit(0.0)

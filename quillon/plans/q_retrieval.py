@@ -21,9 +21,8 @@ def _documents(spark: SparkSession, root: str) -> DataFrame:
 
 def x01_idf_shortlist(spark: SparkSession, root: str) -> DataFrame:
     """The best documents by the idf of the query's words and trigrams."""
-    norm = tx.normalize_search(F.col("text"))
-    grams = sorted({w[i : i + 3] for w in QUERY for i in range(len(w) - 2)})
-    return retrieval.idf_shortlist(_documents(spark, root), "doc_id", tx.words(norm), tx.qgrams(norm), QUERY, grams, limit=50)
+    rows = _documents(spark, root).select("doc_id", tx.normalize_search(F.col("text")).alias("n"))
+    return retrieval.idf_shortlist(rows, "doc_id", tx.words(F.col("n")), F.col("n"), QUERY, _G, limit=50)
 
 
 _G = sorted({w[i : i + 3] for w in QUERY for i in range(len(w) - 2)})
@@ -92,10 +91,11 @@ def x14_ranked_entries(spark: SparkSession, root: str) -> DataFrame:
     books = table(spark, root, "hadith_books").select(F.col("id").alias("book_id"), F.col("title_en").alias("book_title"))
     chapters = table(spark, root, "hadith_chapters").select(F.col("id").alias("chapter_id"), F.col("title_en").alias("chapter_title"))
     rows = e.join(books, "book_id").join(chapters, "chapter_id", "left")
+    rows = retrieval.with_search_fields(rows, {"book": F.col("book_title"), "chapter": F.col("chapter_title"), "body": F.concat_ws(" ", "english_narrator", "english_text")})
     exact, query = ["garden", "patience"], "garden patience"
     wide = ["garden", "patience", "sabr"]
-    score = retrieval.weighted_field_score(query, exact, wide, F.col("book_title"), 1.2) + retrieval.weighted_field_score(query, exact, wide, F.col("chapter_title"), 2.2)
-    score = score + retrieval.weighted_field_score(query, exact, wide, F.concat_ws(" ", "english_narrator", "english_text"), 1.2)
+    score = retrieval.weighted_field_score(query, exact, wide, "book", 1.2) + retrieval.weighted_field_score(query, exact, wide, "chapter", 2.2)
+    score = score + retrieval.weighted_field_score(query, exact, wide, "body", 1.2)
     return rows.select("id", F.round(score, 6).alias("score")).where("score > 0")
 
 
@@ -117,8 +117,8 @@ def x17_scored_sections(spark: SparkSession, root: str) -> DataFrame:
     """Commentary sections by the share of query words in body and metadata."""
     works = table(spark, root, "source_works").where("enabled").select(F.col("id").alias("work_id"), "display_name", "citation_label")
     rows = table(spark, root, "tafsir_sections").select("id", "work_id", "quran_span_ref", "text_plain").join(works, "work_id")
-    meta = F.concat_ws(" ", "display_name", "citation_label", "quran_span_ref")
-    score = retrieval.field_score("garden lamp", ["garden", "lamp"], meta, 1.8) + retrieval.field_score("garden lamp", ["garden", "lamp"], F.col("text_plain"), 1.0)
+    rows = retrieval.with_search_fields(rows, {"meta": F.concat_ws(" ", "display_name", "citation_label", "quran_span_ref"), "body": F.col("text_plain")})
+    score = retrieval.field_score("garden lamp", ["garden", "lamp"], "meta", 1.8) + retrieval.field_score("garden lamp", ["garden", "lamp"], "body", 1.0)
     return rows.select("id", F.round(score, 6).alias("score")).where("score > 0")
 
 
@@ -172,11 +172,11 @@ def a01_document_frequency(spark: SparkSession, root: str) -> DataFrame:
     rows = _documents(spark, root).withColumn("w", tx.words(tx.normalize_search(F.col("text"))))
     n = rows.groupBy("source_domain").agg(F.count("*").alias("n"))
     df = index.document_frequency(rows, F.col("w"), ["source_domain"])
-    return df.join(F.broadcast(n), "source_domain").where("df >= 20").select("source_domain", "term", "df", F.round(index.idf_smooth(F.col("n"), F.col("df")), 6).alias("idf"))
+    return df.join(F.broadcast(n), "source_domain").select("source_domain", "term", "df", F.round(index.idf_smooth(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 _A01 = f"""WITH d AS (SELECT source_domain, unnest(list_distinct({_DOC_WORDS})) AS term FROM documents), f AS (SELECT source_domain, term, count(*) AS df FROM d GROUP BY ALL), n AS (SELECT source_domain, count(*) AS n FROM documents GROUP BY ALL)
-SELECT source_domain, term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM f JOIN n USING (source_domain) WHERE df >= 20"""
+SELECT source_domain, term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM f JOIN n USING (source_domain)"""
 
 
 def a05_distinctive_terms(spark: SparkSession, root: str) -> DataFrame:

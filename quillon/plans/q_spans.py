@@ -42,7 +42,7 @@ _A10 = f"SELECT work_id, window_size, count(*) AS n FROM ({_W01}) GROUP BY ALL"
 
 def w03_sentence_windows(spark: SparkSession, root: str) -> DataFrame:
     """Windows of one to three sentences of an entry with at least 28 characters."""
-    rows = table(spark, root, "hadith_entries").select("id", spans.list_windows(tx.sentences(F.col("english_text")), [1, 2, 3]).alias("w")).select("id", F.explode("w").alias("w"))
+    rows = table(spark, root, "hadith_entries").select("id", tx.sentences(F.col("english_text")).alias("s")).select("id", F.explode(spans.list_windows(F.col("s"), [1, 2, 3])).alias("w"))
     rows = rows.select("id", F.col("w.start").alias("start"), F.col("w.width").alias("width"), F.array_join("w.items", " ").alias("text"))
     return rows.where(F.length("text") >= 28)
 
@@ -136,11 +136,11 @@ SELECT query_id, section_id, overlap, rank, a <= qa AND b >= qb AS contains_quer
 
 def j16_contained_phrase(spark: SparkSession, root: str) -> DataFrame:
     """Every place of a phrase in the joined text of a chapter, as verses."""
-    rows = verses(spark, root).where("language_code = 'en'").withColumn("t", F.lower("text_display"))
+    rows = verses(spark, root).withColumn("t", F.lower("text_display"))
     return spans.contained_spans(rows, CHAPTER, "ayah_no", "t", "some readers take")
 
 
-_J16 = f"""WITH {_LATEST}, e AS (SELECT *, lower(coalesce(text_display, '')) AS t FROM v WHERE language_code = 'en'), o AS (SELECT work_id, surah_no, ayah_no, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY work_id, surah_no ORDER BY ayah_no
+_J16 = f"""WITH {_LATEST}, e AS (SELECT *, lower(coalesce(text_display, '')) AS t FROM v), o AS (SELECT work_id, surah_no, ayah_no, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY work_id, surah_no ORDER BY ayah_no
 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e), c AS (SELECT work_id, surah_no, string_agg(t, ' ' ORDER BY ayah_no) AS t FROM e GROUP BY work_id, surah_no),
 h AS (SELECT work_id, surah_no, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, 17) = 'some readers take')) AS hit_start FROM c)
 SELECT h.work_id, h.surah_no, hit_start, min(ayah_no) AS start_pos, max(ayah_no) AS end_pos FROM h JOIN o ON h.work_id = o.work_id AND h.surah_no = o.surah_no AND o.s < hit_start + 17 AND o.s + length(o.t) > hit_start GROUP BY ALL"""

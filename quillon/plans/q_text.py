@@ -184,7 +184,7 @@ _F48 = r"SELECT id, substr(sha1(concat_ws('|', canonical_ref_collection, english
 def h1_narration_ratios(spark: SparkSession, root: str) -> DataFrame:
     """H1, H5: fuzzy ratios of a unit's text and summary."""
     rows = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"]).where("span_text IS NOT NULL AND summary_text IS NOT NULL")
-    scored = rows.select("guidance_unit_id", ux.fuzzy_ratios(F.substring(tx.normalize_search(F.col("span_text")), 1, 240), tx.normalize_search(F.col("summary_text"))).alias("r"))
+    scored = rows.select("guidance_unit_id", ux.fuzzy_ratios(tx.normalize_search(F.col("span_text")), tx.normalize_search(F.col("summary_text"))).alias("r"))
     return scored.select("guidance_unit_id", *[F.round(f"r.{k}", 2).alias(k) for k in ux.RATIOS])
 
 
