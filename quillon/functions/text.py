@@ -48,13 +48,13 @@ def collapse(c: Column) -> Column:
 
 def normalize_search(c: Column) -> Column:
     """case-folded words of letters, digits and colons, separated by single spaces."""
-    folded = F.regexp_replace(F.translate(F.lower(text_or_empty(c)), "_ς", " σ"), "ß", "ss")
-    return collapse(F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}\s:]+", " "))
+    folded = F.replace(F.replace(F.lower(text_or_empty(c)), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}:]+", " "))
 
 
 def words(c: Column) -> Column:
     """the parts between single spaces, without empty ones."""
-    return F.filter(F.split(text_or_empty(c), " "), lambda t: t != "")
+    return F.array_remove(F.split(text_or_empty(c), " "), "")
 
 
 def canonical_token(c: Column) -> Column:

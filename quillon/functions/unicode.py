@@ -123,12 +123,18 @@ def _bounds(s: str, t: str) -> list[tuple[float, int]]:
     return out
 
 
-RATIOS = {"ratio": indel_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio, "matcher": lambda a, b: 100.0 * SequenceMatcher(None, a, b).ratio()}
+RATIOS = {"ratio": indel_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio}
 _RATIO_TYPE = T.StructType([T.StructField(k, T.DoubleType()) for k in RATIOS])
 
 
 @F.pandas_udf(_RATIO_TYPE)
 def fuzzy_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """H1, H5: all fuzzy ratios (0 to 100) of two texts; use it on shortlists only."""
+    """H1: all fuzzy ratios (0 to 100) of two texts; use it on shortlists only."""
     pairs = [(x or "", y or "") for x, y in zip(a, b)]
     return pd.DataFrame({k: [f(x, y) for x, y in pairs] for k, f in RATIOS.items()})
+
+
+@F.pandas_udf(T.DoubleType())
+def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """H5: share of matching blocks (0 to 100) of two short texts such as names."""
+    return pd.Series([100.0 * SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

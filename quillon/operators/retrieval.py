@@ -14,7 +14,7 @@ from quillon.operators import index
 
 
 def _count(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == word))
+    return F.size(tokens) - F.size(F.array_remove(tokens, word))
 
 
 def _closest(tokens: Column, word: str) -> Column:

@@ -181,8 +181,13 @@ def f48_keys(spark: SparkSession, root: str) -> DataFrame:
 _F48 = r"SELECT id, substr(sha1(concat_ws('|', canonical_ref_collection, english_narrator)), 1, 24) AS client_key, CAST(regexp_extract(canonical_ref_collection, '(\d+)\D*$', 1) AS INTEGER) AS number FROM hadith_entries"
 
 
+def h5_label_matches(spark: SparkSession, root: str) -> DataFrame:
+    """H5: how well the names and labels of works match block by block."""
+    return table(spark, root, "source_works").select("id", F.round(ux.matcher_ratio(F.lower("display_name"), F.lower("citation_label")), 2).alias("matcher"))
+
+
 def h1_narration_ratios(spark: SparkSession, root: str) -> DataFrame:
-    """H1, H5: fuzzy ratios of a unit's text and summary."""
+    """H1: fuzzy ratios of a unit's text and summary."""
     rows = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"]).where("span_text IS NOT NULL AND summary_text IS NOT NULL")
     scored = rows.select("guidance_unit_id", ux.fuzzy_ratios(tx.normalize_search(F.col("span_text")), tx.normalize_search(F.col("summary_text"))).alias("r"))
     return scored.select("guidance_unit_id", *[F.round(f"r.{k}", 2).alias(k) for k in ux.RATIOS])
@@ -192,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f01_normalized_entries, f04_label_similarity, f06_snippets, f08_arabic_forms, f12_plain_from_markup, f12_parsed_markup, f13_compatibility_form, f18_without_leads, f24_entry_bodies, f25_phrases, f27_excerpts,
-        f30_work_name_matches, f34_references, f47_gram_counts, f48_keys, h1_narration_ratios,
+        f30_work_name_matches, f34_references, f47_gram_counts, f48_keys, h1_narration_ratios, h5_label_matches,
     )
 }
 ORACLES = {
