@@ -311,7 +311,7 @@ def _undo_swap(model: PairModel, run: str, wrong: str, right: str) -> tuple[str,
     if model.of(new)[changed[1:] | changed[:-1]].mean() < -1.5:
         return run, 0.0
     few = sum(c.isalpha() for c in table.values()) < 20 or right == "cp1254"
-    if float((gain[changed] > 0).mean()) < 0.75 or better.sum() < 10.0 or better[changed[1:] | changed[:-1]].mean() < 0.7:
+    if float((gain[changed] > 0).mean()) < 0.8 or better.sum() < 10.0 or better[changed[1:] | changed[:-1]].mean() < 0.7:
         return run, 0.0
     if not few and (inner.sum() < 3 or better[inner].mean() < 0.7):
         return run, 0.0
@@ -319,15 +319,15 @@ def _undo_swap(model: PairModel, run: str, wrong: str, right: str) -> tuple[str,
 
 
 @lru_cache(1)
-def _swaps() -> list[tuple[str, str, frozenset[str]]]:
-    """Pairs of one-byte encodings (wrong, right) with the letters that differ."""
+def _swaps() -> dict[str, list[tuple[str, frozenset[str]]]]:
+    """For each wrong one-byte encoding the right ones it may stand for, with the letters that differ."""
     right = ["cp1256", "cp1251", "cp1254", "koi8_r", "cp1252"]
-    pairs = [(w, r) for w in CODECS for r in right if w != r and {w, r} != {"cp1252", "latin-1"}]
-    return [(w, r, frozenset(map(chr, _swap(w, r)))) for w, r in pairs if len(_swap(w, r)) > 5]
+    pairs = [(w, r) for w in CODECS for r in right if w != r and {w, r} != {"cp1252", "latin-1"} and len(_swap(w, r)) > 5]
+    return {w: [(r, frozenset(map(chr, _swap(w, r)))) for x, r in pairs if x == w] for w in CODECS}
 
 
-def _best(model: PairModel, run: str, swaps: bool) -> tuple[str, str]:
-    """The most gainful inverse mapping of a run and its name; the name is empty if there is none."""
+def _best_utf8(model: PairModel, run: str) -> tuple[str, str, float]:
+    """The most gainful decoding of a run as UTF-8 and its name; the name is empty if there is none."""
     chars = frozenset(run)
     best, how, most = run, "", 0.0
     for codec in CODECS:
@@ -336,37 +336,54 @@ def _best(model: PairModel, run: str, swaps: bool) -> tuple[str, str]:
             new, gain = _undo_utf8(model, run, codec)
             if gain > most:
                 best, how, most = new, f"utf-8 as {codec}", gain
-    if not swaps:
-        return best, how
-    odd = Counter(c for c in run if c > "\x7f")
-    if odd.total() < 3:
-        return best, how
-    inside = {wrong: sum(odd[c] for c in odd.keys() & _bytes_of(wrong).keys()) > 0.8 * odd.total() for wrong in CODECS}
-    for wrong, right, letters in _swaps():
-        if inside[wrong] and sum(odd[c] for c in odd.keys() & letters) >= 3:
-            new, gain = _undo_swap(model, run, wrong, right)
-            if gain > most:
-                best, how, most = new, f"{right} as {wrong}", gain
-    return best, how
+    return best, how, most
+
+
+def _best_swap(model: PairModel, runs: list[str]) -> tuple[list[str], str, float]:
+    """The most gainful other one-byte encoding of the runs of a text, judged on all runs together that the wrong encoding can mostly have made."""
+    odd = [Counter(c for c in r if c > "\x7f") for r in runs]
+    best, how, most = runs, "", 0.0
+    for wrong in CODECS:
+        mine = [i for i, o in enumerate(odd) if sum(o[c] for c in o.keys() & _bytes_of(wrong).keys()) > 0.7 * o.total()]
+        total = sum((odd[i] for i in mine), Counter())
+        if total.total() < 3:
+            continue
+        joined = "\0".join(runs[i] for i in mine)
+        for right, letters in _swaps()[wrong]:
+            if sum(total[c] for c in total.keys() & letters) >= 3:
+                new, gain = _undo_swap(model, joined, wrong, right)
+                if gain > most:
+                    best, how, most = list(runs), f"{right} as {wrong}", gain
+                    for i, r in zip(mine, new.split("\0")):
+                        best[i] = r
+    return best, how, most
 
 
 def repair(model: PairModel, text: str, layers: int = 4) -> tuple[str, list[str]]:
     """The text with its garbled runs restored where an inverse mapping was found, and the mappings used."""
     used: list[str] = []
     for _ in range(layers):
-        runs = _runs(text, model.of(text)) if len(text) > 1 else []
-        out, at, hit = [], 0, False
-        for s, e in runs:
-            s = max(at, s - 1)
-            best, how = _best(model, text[s : e + 1], not any(u.startswith("utf-8") for u in used))
-            if how:
-                hit = True
-                used.append(how)
-            out += [text[at:s], best]
-            at = e + 1
-        text = "".join([*out, text[at:]])
-        if not hit:
+        spans, at = [], 0
+        for s, e in _runs(text, model.of(text)) if len(text) > 1 else []:
+            spans.append((max(at, s - 1), min(len(text), e + 1)))
+            at = spans[-1][1]
+        if not spans:
+            break
+        runs = [text[s:e] for s, e in spans]
+        decoded = [_best_utf8(model, r) for r in runs]
+        new, names, gain = [d[0] for d in decoded], [d[1] for d in decoded if d[1]], sum(d[2] for d in decoded)
+        if not used and "\0" not in text:
+            swapped, how, more = _best_swap(model, runs)
+            if more > gain:
+                new, names = swapped, [how]
+        if not names:
             break
+        used += names
+        out, at = [], 0
+        for (s, e), r in zip(spans, new):
+            out += [text[at:s], r]
+            at = e
+        text = "".join([*out, text[at:]])
     return text, list(dict.fromkeys(used))
 
 
