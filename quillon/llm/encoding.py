@@ -30,7 +30,8 @@ OWN = [(0x0000, 0x0530), (0x0590, 0x0700), (0x2000, 0x2070), (0x20A0, 0x20D0), (
 CODECS = ["cp1252", "latin-1", "cp1256", "cp1251", "cp1254", "cp437", "cp850", "mac_roman", "koi8_r"]
 #: Encodings whose upper half is letters of ordinary text, where one sequence of UTF-8 shape proves nothing.
 LETTER_CODECS = {"cp1256", "cp1251", "koi8_r"}
-FLOOR, SMOOTH, LOST = 0.002, 0.5, "\ufffd"
+#: Least share of all pairs that a character counts as having, and share that a pair has which was never seen; both are shares, so scores mean the same at every corpus size.
+FLOOR, SMOOTH, LOST = 0.002, 1e-8, "\ufffd"
 #: Sum of a text's best segment from which on its runs are isolated and tested.
 SUSPECT = 5.0
 
@@ -189,8 +190,9 @@ class PairModel:
         self.floor = FLOOR * self.total
         self.left = np.bincount(a, n, ALPHABET) + self.floor if len(a) else np.full(ALPHABET, self.floor)
         self.right = np.bincount(b, n, ALPHABET) + self.floor if len(a) else np.full(ALPHABET, self.floor)
-        self.logn = np.full((ALPHABET, ALPHABET), np.log(SMOOTH), np.float32)
-        self.logn[a, b] = np.log(n + SMOOTH)
+        unseen = SMOOTH * self.total
+        self.logn = np.full((ALPHABET, ALPHABET), np.log(unseen), np.float32)
+        self.logn[a, b] = np.log(n + unseen)
         self.logl, self.logr = np.log(self.left), np.log(self.right)
         self.base = np.log(self.total)
         self.pairs: dict[str, float] = {}
