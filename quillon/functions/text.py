@@ -306,3 +306,39 @@ def longest_alias(c: Column, aliases: dict[str, str], most_words: int = 4) -> Co
     grams = F.flatten(F.transform(F.sequence(F.lit(most_words), F.lit(1), F.lit(-1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))))
     hits = F.filter(F.transform(grams, lambda g: lookup(aliases, g)), lambda x: x.isNotNull())
     return F.try_element_at(hits, F.lit(1))
+
+
+# The grammars of a narration reference after the collection's name, tried in order; groups are book and number.
+NARRATION_REFERENCE = [r"book\s+(\d+)\D{1,12}(?:hadith|number|no)\s*(\d+)", r"(\d+)\s*:\s*(\d+)", r"()(?:hadith|number|no)\s*(\d+)", r"()\b(\d+)\b"]
+
+
+def narration_reference(c: Column, aliases: dict[str, str]) -> Column:
+    """``(collection, book, number)`` of a citation; NULL without a known collection and a number."""
+    norm = normalize_search(c)
+    collection, out = longest_alias(c, aliases), None
+    for p in NARRATION_REFERENCE:
+        book, number = F.regexp_extract(norm, p, 1), F.regexp_extract(norm, p, 2)
+        ref = F.when(number != "", F.struct(collection.alias("collection"), F.when(book != "", book.cast("int")).alias("book"), number.cast("int").alias("number")))
+        out = ref if out is None else F.coalesce(out, ref)
+    return F.when(collection.isNotNull(), out)
+
+
+def contextual_summary(titles: list[Column], body: Column, tags: Column, most: int = 420) -> Column:
+    """the first sentence of titles and body together, with the tags in front, at most ``most`` characters."""
+    whole = collapse(F.concat_ws(" ", *titles, body))
+    first = F.coalesce(F.try_element_at(sentences(whole), F.lit(1)), F.lit(""))
+    return F.substring(F.when(F.size(tags) > 0, F.concat(F.lit("[topics="), F.array_join(tags, ", "), F.lit("] "), first)).otherwise(first), 1, most)
+
+
+def significant_tokens(c: Column, generic: list[str]) -> Column:
+    """Search tokens with their synonyms, without generic ones, each once."""
+    return F.filter(expand_tokens(search_tokens(c)), lambda t: ~t.isin(*generic))
+
+
+def canonical_reference(c: Column, fillers: list[str]) -> Column:
+    """A reference query without fillers, chapter and verse words in one form."""
+    t = normalize_search(c)
+    for f in sorted(fillers, key=len, reverse=True):
+        t = F.regexp_replace(t, r"\b" + _quoted(f) + r"\b", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\b(?:chapter|sura|surat|surah)\b", "surah"), r"\b(?:ayat|ayah|aya|verses|verse)\b", "verse")
+    return collapse(F.regexp_replace(t, r"(\d)\s*:\s*(\d)", "$1:$2"))
