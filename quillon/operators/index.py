@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.materialize import exploded
+
 
 def postings(df: DataFrame, key: str, terms: Column, by: list[str] | None = None) -> DataFrame:
     """A3: one row per distinct term of a document with its frequency and the document's length: ``(by..., key, term, tf, doc_len)``.
@@ -12,13 +14,13 @@ def postings(df: DataFrame, key: str, terms: Column, by: list[str] | None = None
     Terms are counted inside the row, so nothing is shuffled. Documents without terms give no rows.
     """
     rows = df.select(*(by or []), key, terms.alias("_t")).withColumn("_s", F.array_sort("_t"))
-    exploded = rows.select(*(by or []), key, F.size("_t").alias("doc_len"), "_s", F.explode(F.array_distinct("_s")).alias("term"))
-    return exploded.select(*(by or []), key, "term", F.size(F.filter("_s", lambda x: x == F.col("term"))).alias("tf"), "doc_len")
+    each = exploded(rows, [*(by or []), key, F.size("_t").alias("doc_len"), "_s"], F.array_distinct("_s"), "term")
+    return each.select(*(by or []), key, "term", F.size(F.filter("_s", lambda x: x == F.col("term"))).alias("tf"), "doc_len")
 
 
 def document_frequency(df: DataFrame, terms: Column, by: list[str] | None = None) -> DataFrame:
     """A1, A2: in how many documents each term occurs; partial counts are made before the shuffle."""
-    rows = df.select(*(by or []), F.explode(F.array_distinct(terms)).alias("term"))
+    rows = exploded(df, list(by or []), F.array_distinct(terms), "term")
     return rows.groupBy(*(by or []), "term").agg(F.count("*").alias("df"))
 
 
@@ -46,7 +48,7 @@ def distinctive_terms(df: DataFrame, bucket: list[str], family: list[str], key:
     """A5: per bucket the terms with the highest frequency times smooth idf of the bucket's family (ties: by term)."""
     n = df.groupBy(*family).agg(F.countDistinct(key).alias("_n"))
     freq = document_frequency(df, terms, family)
-    tf = df.select(*bucket, F.explode(terms).alias("term")).groupBy(*bucket, "term").agg(F.count("*").alias("tf"))
+    tf = exploded(df, bucket, terms, "term").groupBy(*bucket, "term").agg(F.count("*").alias("tf"))
     scored = tf.join(freq, [*family, "term"]).join(n, family).withColumn("score", F.round(F.col("tf") * idf_smooth(F.col("_n"), F.col("df")), 6))
     order = Window.partitionBy(*bucket).orderBy(F.col("score").desc(), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*bucket, "term", "tf", "score", "rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import index
+from quillon.plans.materialize import exploded, keep_where
 
 
 def _count(tokens: Column, word: str) -> Column:
@@ -33,8 +34,8 @@ def idf_shortlist(df: DataFrame, key: str, tokens: Column, gram_text: Column, qu
     rows = df.select(key, tokens.alias("_w"), gram_text.alias("_s"))
     rows = rows.select(key, held(lambda x: F.array_contains("_w", x), qt).alias("_t"), held(lambda x: F.col("_s").contains(x), qg).alias("_g"))
     n = df.agg(F.count("*").alias("_n"))
-    terms = rows.select(key, F.explode(F.concat(F.transform("_t", lambda x: F.struct(F.lit("t").alias("lane"), x.alias("term"))), F.transform("_g", lambda x: F.struct(F.lit("g").alias("lane"), x.alias("term"))))).alias("x"))
-    terms = terms.select(key, "x.lane", "x.term")
+    both = F.concat(F.transform("_t", lambda x: F.struct(F.lit("t").alias("lane"), x.alias("term"))), F.transform("_g", lambda x: F.struct(F.lit("g").alias("lane"), x.alias("term"))))
+    terms = exploded(rows, [key], both, "x").select(key, "x.lane", "x.term")
     idf = terms.groupBy("lane", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("lane", "term", index.idf_bm25(F.col("_n"), F.col("df")).alias("idf"))
     weight = F.when(F.col("lane") == "t", 1.0).otherwise(gram_weight)
     scored = terms.join(F.broadcast(idf), ["lane", "term"]).groupBy(key).agg(
@@ -65,7 +66,7 @@ def bm25(df: DataFrame, key: str, fields: dict[str, tuple[Column, float]], query
         stats += [F.count_if(F.col(f"_f_{f}")[i] > 0).alias(f"_d_{f}_{i}") for i in range(len(q))]
     one = rows.agg(*stats)
     hit = reduce(lambda x, y: x | y, [F.exists(f"_f_{f}", lambda x: x > 0) for f in names])
-    joined = rows.where(hit).crossJoin(F.broadcast(one))
+    joined = keep_where(rows, hit).crossJoin(F.broadcast(one))
     score = F.lit(0.0)
     for f in names:
         norm = k1 * (1 - b + b * F.col(f"_l_{f}") / F.col(f"_a_{f}"))

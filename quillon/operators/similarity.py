@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import index
+from quillon.plans.materialize import exploded
 
 
 def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart: str, tokens: Column, anchors: int = 6, top: int = 12, min_shared: int = 4) -> DataFrame:
@@ -14,8 +15,8 @@ def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart:
     Candidates share one of a row's ``anchors`` rarest tokens (by document frequency in the block, then by token), which blocks the join. The score is ``10 * shared + 100 * jaccard + share of
     the source's tokens in percent``; ties go by key. Rows without tokens have no neighbours. Tokens travel with the anchor rows only; all other rows are met through the postings.
     """
-    sets = df.select(*block, key, apart, F.array_distinct(tokens).alias("_t")).where(F.size("_t") > 0)
-    terms = sets.select(*block, key, F.explode("_t").alias("term"))
+    sets = df.select(*block, key, apart, F.array_distinct(tokens).alias("_t"))
+    terms = exploded(sets, [*block, key], F.col("_t"), "term")
     freq = terms.groupBy(*block, "term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy(*block, key).orderBy("df", "term")
     anchor = terms.join(freq, [*block, "term"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= anchors).select(*block, key, "term")

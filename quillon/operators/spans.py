@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.materialize import exploded
+
 
 def latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
     """One row per key, the newest by the given columns (descending); a NULL key is a key of its own. Extra columns are kept."""
@@ -58,14 +60,14 @@ def token_stream(df: DataFrame, group: list[str], order: str, tokens: Column) ->
     rows = df.select(*group, order, tokens.alias("_t"))
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_o", F.coalesce(F.sum(F.size("_t")).over(before), F.lit(0)))
-    return rows.select(*group, order, "_o", F.posexplode("_t").alias("_p", "token")).select(*group, order, (F.col("_o") + F.col("_p")).alias("pos"), "token")
+    return exploded(rows, [*group, order, "_o"], F.col("_t"), "token", "_p").select(*group, order, (F.col("_o") + F.col("_p")).alias("pos"), "token")
 
 
 def token_ngrams(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
     """Every run of ``n`` neighbouring tokens with its position."""
-    rows = df.select(*keys, tokens.alias("_t")).where(F.size("_t") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))
-    return rows.select(*keys, F.posexplode(grams).alias("pos", "gram"))
+    rows = df.select(*keys, tokens.alias("_t"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_t") - n + 1)), lambda i: F.array_join(F.slice("_t", i, n), " "))
+    return exploded(rows, keys, F.when(F.size("_t") >= n, grams), "gram", "pos").select(*keys, "pos", "gram")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_width: int | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -24,3 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns a DataFrame that reads it back."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows for which ``condition`` holds, where the condition uses columns that are costly to compute.
+
+    A plain filter is pushed below the projection that computes its columns, so they are computed twice or more. Here a generator stands in between, and filters on what a generator makes stay above it.
+    """
+    return df.withColumn("_keep", F.explode_outer(F.when(condition, F.array(F.lit(True))))).where("_keep IS NOT NULL").drop("_keep")
+
+
+def exploded(df: DataFrame, keep: list, items: Column, name: str, position: str | None = None) -> DataFrame:
+    """``keep`` and one row per element of ``items``; unlike ``explode``, which has the optimizer test the array's size below it, the array is computed once. Elements are not NULL."""
+    rows = df.select(*keep, (F.posexplode_outer(items).alias(position, name) if position else F.explode_outer(items).alias(name)))
+    return rows.where(F.col(name).isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators import fusion, index, retrieval, similarity
 from quillon.plans import sqltext as sq
+from quillon.plans.materialize import keep_where
 from quillon.plans.q_spans import _LATEST, verses
 from quillon.sources.tables import table
 
@@ -96,7 +97,7 @@ def x14_ranked_entries(spark: SparkSession, root: str) -> DataFrame:
     wide = ["garden", "patience", "sabr"]
     score = retrieval.weighted_field_score(query, exact, wide, "book", 1.2) + retrieval.weighted_field_score(query, exact, wide, "chapter", 2.2)
     score = score + retrieval.weighted_field_score(query, exact, wide, "body", 1.2)
-    return rows.select("id", F.round(score, 6).alias("score")).where("score > 0")
+    return keep_where(rows.select("id", F.round(score, 6).alias("score")), F.col("score") > 0)
 
 
 def _sql_field(c: str, weight: float) -> str:
@@ -119,7 +120,7 @@ def x17_scored_sections(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "tafsir_sections").select("id", "work_id", "quran_span_ref", "text_plain").join(works, "work_id")
     rows = retrieval.with_search_fields(rows, {"meta": F.concat_ws(" ", "display_name", "citation_label", "quran_span_ref"), "body": F.col("text_plain")})
     score = retrieval.field_score("garden lamp", ["garden", "lamp"], "meta", 1.8) + retrieval.field_score("garden lamp", ["garden", "lamp"], "body", 1.0)
-    return rows.select("id", F.round(score, 6).alias("score")).where("score > 0")
+    return keep_where(rows.select("id", F.round(score, 6).alias("score")), F.col("score") > 0)
 
 
 def _sql_share(c: str, weight: float) -> str:

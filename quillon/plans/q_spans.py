@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators import spans
 from quillon.plans import sqltext as sq
+from quillon.plans.materialize import exploded
 from quillon.sources.tables import table
 
 CHAPTER = ["work_id", "surah_no"]
@@ -42,7 +43,7 @@ _A10 = f"SELECT work_id, window_size, count(*) AS n FROM ({_W01}) GROUP BY ALL"
 
 def w03_sentence_windows(spark: SparkSession, root: str) -> DataFrame:
     """Windows of one to three sentences of an entry with at least 28 characters."""
-    rows = table(spark, root, "hadith_entries").select("id", tx.sentences(F.col("english_text")).alias("s")).select("id", F.explode(spans.list_windows(F.col("s"), [1, 2, 3])).alias("w"))
+    rows = exploded(table(spark, root, "hadith_entries").select("id", tx.sentences(F.col("english_text")).alias("s")), ["id"], spans.list_windows(F.col("s"), [1, 2, 3]), "w")
     rows = rows.select("id", F.col("w.start").alias("start"), F.col("w.width").alias("width"), F.array_join("w.items", " ").alias("text"))
     return rows.where(F.length("text") >= 28)
 
@@ -85,8 +86,8 @@ g AS (SELECT work_id, array_to_string(list_slice(w, p, p + 4), ' ') AS gram FROM
 def w09_alignment(spark: SparkSession, root: str) -> DataFrame:
     """The longest run of words that a guidance unit shares with its parent entry."""
     units = table(spark, root, "guidance_units").select("guidance_unit_id", F.col("parent_hadith_ref").alias("ref"), "span_text").dropDuplicates(["guidance_unit_id"])
-    query = units.select("guidance_unit_id", "ref", F.posexplode(tx.words(tx.normalize_search(F.col("span_text")))).alias("qpos", "token"))
-    entries = table(spark, root, "hadith_entries").select(F.col("canonical_ref_collection").alias("ref"), F.posexplode(tx.words(tx.normalize_search(F.col("english_text")))).alias("pos", "token"))
+    query = exploded(units, ["guidance_unit_id", "ref"], tx.words(tx.normalize_search(F.col("span_text"))), "token", "qpos")
+    entries = exploded(table(spark, root, "hadith_entries"), [F.col("canonical_ref_collection").alias("ref")], tx.words(tx.normalize_search(F.col("english_text"))), "token", "pos")
     return spans.aligned_runs(query, entries, ["guidance_unit_id"], ["ref"], on=["ref"], least=3)
 
 
