@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.plans.materialize import cut, keep_where
+
 # Letters of other scripts that are drawn like a Latin letter, each with that letter (Cyrillic, Greek, others).
 LIKE_LATIN = {
     "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "х": "x", "у": "y", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
@@ -230,14 +232,14 @@ def alike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Pairs of rows whose field looks the same but is stored differently: ``(id_a, id_b, field_name)``, smaller id first.
 
     Texts are first reduced to their distinct stored strings, and strings whose look nobody else shares are dropped, so copies of
-    one string cause no work among themselves. What remains is joined on the look; only then are strings expanded to rows. NULL
+    one string cause no work among themselves. The hashes of look and string are written to the shared folder once, so each text passes through Python once. What remains is joined on the look; only then are strings expanded to rows. NULL
     texts and texts without visible characters are no cases; a row is never paired with itself.
     """
     k = F.col(f"`{key}`")
-    long = df.select(k.alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields])).alias("x"))
-    long = long.select("id", "x.field", "x.text").where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    rows = long.withColumn("form", canonical_form(F.col("text"))).where(F.col("form") != "")
-    rows = rows.select("id", "field", F.md5(F.concat_ws("\u0000", "field", "form")).alias("look"), F.md5(F.concat_ws("\u0000", "field", "text")).alias("stored"))
+    long = df.where(k.isNotNull()).select(k.alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields])).alias("x"))
+    long = long.select("id", "x.field", "x.text").where(F.col("text") != "")
+    rows = keep_where(long.withColumn("form", canonical_form(F.col("text"))), F.col("form") != "")
+    rows = cut(rows.select("id", "field", F.md5(F.concat_ws("\u0000", "field", "form")).alias("look"), F.md5(F.concat_ws("\u0000", "field", "text")).alias("stored")))
     stored = rows.groupBy("look", "stored", "field").agg(F.lit(1).alias("one"))
     several = stored.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     kinds = stored.join(several, "look", "left_semi").select("look", "stored", "field")
