@@ -10,14 +10,14 @@ from quillon.operators import fusion, index, retrieval, similarity
 from quillon.plans import sqltext as sq
 from quillon.plans.materialize import keep_where
 from quillon.plans.q_spans import _LATEST, verses
-from quillon.sources.tables import table
+from quillon.sources.tables import table, text_table
 
 QUERY = ["garden", "trust", "patient", "lamp"]
 _DOC_WORDS = sq.match_words("text")
 
 
 def _documents(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", "text", "title", "source", "source_domain", "lang")
+    return text_table(spark, root, "documents").select("doc_id", "text", "title", "source", "source_domain", "lang")
 
 
 def x01_idf_shortlist(spark: SparkSession, root: str) -> DataFrame:
@@ -117,7 +117,7 @@ s AS (SELECT id, round({_sql_field('book', 1.2)} + {_sql_field('chapter', 2.2)}
 def x17_scored_sections(spark: SparkSession, root: str) -> DataFrame:
     """Commentary sections by the share of query words in body and metadata."""
     works = table(spark, root, "source_works").where("enabled").select(F.col("id").alias("work_id"), "display_name", "citation_label")
-    rows = table(spark, root, "tafsir_sections").select("id", "work_id", "quran_span_ref", "text_plain").join(works, "work_id")
+    rows = text_table(spark, root, "tafsir_sections").select("id", "work_id", "quran_span_ref", "text_plain").join(works, "work_id")
     rows = retrieval.with_search_fields(rows, {"meta": F.concat_ws(" ", "display_name", "citation_label", "quran_span_ref"), "body": F.col("text_plain")})
     score = retrieval.field_score("garden lamp", ["garden", "lamp"], "meta", 1.8) + retrieval.field_score("garden lamp", ["garden", "lamp"], "body", 1.0)
     return keep_where(rows.select("id", F.round(score, 6).alias("score")), F.col("score") > 0)

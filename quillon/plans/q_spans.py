@@ -9,7 +9,7 @@ from quillon.functions import text as tx
 from quillon.operators import spans
 from quillon.plans import sqltext as sq
 from quillon.plans.materialize import exploded
-from quillon.sources.tables import table
+from quillon.sources.tables import table, text_table
 
 CHAPTER = ["work_id", "surah_no"]
 _LATEST = """v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id, surah_no, ayah_no ORDER BY updated_at DESC NULLS LAST, id DESC) AS rn FROM quran_ayahs) WHERE rn = 1)"""
@@ -85,9 +85,9 @@ g AS (SELECT work_id, array_to_string(list_slice(w, p, p + 4), ' ') AS gram FROM
 
 def w09_alignment(spark: SparkSession, root: str) -> DataFrame:
     """The longest run of words that a guidance unit shares with its parent entry."""
-    units = table(spark, root, "guidance_units").select("guidance_unit_id", F.col("parent_hadith_ref").alias("ref"), "span_text").dropDuplicates(["guidance_unit_id"])
+    units = text_table(spark, root, "guidance_units").select("guidance_unit_id", F.col("parent_hadith_ref").alias("ref"), "span_text").dropDuplicates(["guidance_unit_id"])
     query = exploded(units, ["guidance_unit_id", "ref"], tx.words(tx.normalize_search(F.col("span_text"))), "token", "qpos")
-    entries = exploded(table(spark, root, "hadith_entries"), [F.col("canonical_ref_collection").alias("ref")], tx.words(tx.normalize_search(F.col("english_text"))), "token", "pos")
+    entries = exploded(text_table(spark, root, "hadith_entries"), [F.col("canonical_ref_collection").alias("ref")], tx.words(tx.normalize_search(F.col("english_text"))), "token", "pos")
     return spans.aligned_runs(query, entries, ["guidance_unit_id"], ["ref"], on=["ref"], least=3)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.functions import unicode as ux
 from quillon.plans import sqltext as sq
-from quillon.sources.tables import table
+from quillon.sources.tables import table, text_table
 
 
 def _entries(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +66,7 @@ _F08 = f"SELECT id, {_sql_light('text_display')} AS light, translate({_sql_light
 def f12_plain_from_markup(spark: SparkSession, root: str) -> DataFrame:
     """text of the sections' markup and its hash."""
     t = tx.html_to_text(F.col("text_html"))
-    return table(spark, root, "tafsir_sections").select("id", t.alias("plain"), tx.text_hash(t).alias("plain_hash"))
+    return text_table(spark, root, "tafsir_sections").select("id", t.alias("plain"), tx.text_hash(t).alias("plain_hash"))
 
 
 def _sql_html(c: str) -> str:
@@ -88,7 +88,7 @@ def f13_compatibility_form(spark: SparkSession, root: str) -> DataFrame:
 
 def f12_parsed_markup(spark: SparkSession, root: str) -> DataFrame:
     """visible text of any markup, by a parser."""
-    return table(spark, root, "tafsir_sections").select("id", ux.parsed_html("text_html").alias("plain"))
+    return text_table(spark, root, "tafsir_sections").select("id", ux.parsed_html("text_html").alias("plain"))
 
 
 LEADS = ["the word", "some readers take", "it is better that", "in this passage", "what does"]
