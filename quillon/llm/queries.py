@@ -6,32 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import charforms, encoding, leakage, neardup, packing, splitting, tokenbudget
-from quillon.sources.tables import table
+from quillon.sources.tables import table, text_table
 
 VERSE_FIELDS = ["text_display", "text_normalized"]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Verses that look alike in a field but are stored differently."""
-    pairs = charforms.alike_pairs(table(spark, root, "quran_ayahs"), "id", VERSE_FIELDS)
+    pairs = charforms.alike_pairs(text_table(spark, root, "quran_ayahs"), "id", VERSE_FIELDS)
     return pairs.select(F.col("id_a").alias("ayah_id_a"), F.col("id_b").alias("ayah_id_b"), "field_name")
 
 
 def p1_canonical_verses(spark: SparkSession, root: str) -> DataFrame:
     """Every verse with the consistent form of both text columns."""
-    rows = charforms.with_canonical(table(spark, root, "quran_ayahs").select("id", *VERSE_FIELDS), VERSE_FIELDS)
+    rows = charforms.with_canonical(text_table(spark, root, "quran_ayahs").select("id", *VERSE_FIELDS), VERSE_FIELDS)
     return rows.select("id", *[F.col(f"{f}_canonical") for f in VERSE_FIELDS], *[(~F.col(f).eqNullSafe(F.col(f"{f}_canonical"))).alias(f"{f}_changed") for f in VERSE_FIELDS])
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of commentary sections whose word sets are at least 0.7 similar."""
-    pairs = neardup.similar_pairs(table(spark, root, "tafsir_sections"), "id", "text_plain_normalized", threshold=0.7, min_words=25, guarantee=0.8)
+    pairs = neardup.similar_pairs(text_table(spark, root, "tafsir_sections"), "id", "text_plain_normalized", threshold=0.7, min_words=25, guarantee=0.8)
     return pairs.select(F.col("id_a").cast("int").alias("section_id_a"), F.col("id_b").cast("int").alias("section_id_b"))
 
 
 def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     """Every commentary section with its class of equal word sets, its group of similar texts and its number of links."""
-    return neardup.groups(table(spark, root, "tafsir_sections"), "id", "text_plain_normalized", threshold=0.7, min_words=25, guarantee=0.8)
+    return neardup.groups(text_table(spark, root, "tafsir_sections"), "id", "text_plain_normalized", threshold=0.7, min_words=25, guarantee=0.8)
 
 
 _P2 = r"""
@@ -51,8 +51,8 @@ LIMIT, OVERLAP, CAPACITY = 1500, 150, 4096
 
 def _items(spark: SparkSession, root: str) -> DataFrame:
     """Texts to split: commentary sections and guidance units."""
-    sections = table(spark, root, "tafsir_sections").select(F.lit("tafsir_sections").alias("item_table"), F.col("canonical_section_id").alias("item_key"), F.col("text_plain").alias("text"))
-    units = table(spark, root, "guidance_units").select(F.lit("guidance_units").alias("item_table"), F.col("guidance_unit_id").alias("item_key"), F.col("span_text").alias("text"))
+    sections = text_table(spark, root, "tafsir_sections").select(F.lit("tafsir_sections").alias("item_table"), F.col("canonical_section_id").alias("item_key"), F.col("text_plain").alias("text"))
+    units = text_table(spark, root, "guidance_units").select(F.lit("guidance_units").alias("item_table"), F.col("guidance_unit_id").alias("item_key"), F.col("span_text").alias("text"))
     return sections.unionByName(units)
 
 
@@ -87,7 +87,7 @@ SELECT DISTINCT item_table, item_key, CASE WHEN lp <= 1500 THEN 'paragraph' WHEN
 
 def _section_tokens(spark: SparkSession, root: str) -> DataFrame:
     keep = [F.col("work_id"), F.col("canonical_section_id"), tokenbudget.clean_source(F.col("source_id")).alias("source_id"), tokenbudget.clean_language(F.col("language_code")).alias("language_code")]
-    return tokenbudget.row_tokens(table(spark, root, "tafsir_sections"), "text_plain", keep)
+    return tokenbudget.row_tokens(text_table(spark, root, "tafsir_sections"), "text_plain", keep)
 
 
 def p5_token_budget(spark: SparkSession, root: str) -> DataFrame:
@@ -99,7 +99,7 @@ def p5_token_budget(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _document_sizes(spark: SparkSession, root: str) -> DataFrame:
-    rows = tokenbudget.row_tokens(table(spark, root, "documents"), "text", [F.col("doc_id")])
+    rows = tokenbudget.row_tokens(text_table(spark, root, "documents"), "text", [F.col("doc_id")])
     return rows.select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size"))
 
 
@@ -119,7 +119,7 @@ def p6_usage(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage", window=12)
+    return leakage.find_leaks(text_table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage", window=12)
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -135,7 +135,7 @@ def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     """Documents with garbled text, the mapping that was undone and the text as far as it could be restored."""
-    return encoding.find_garbled(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return encoding.find_garbled(text_table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
