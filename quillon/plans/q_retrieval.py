@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import fusion, index, retrieval, similarity
+from quillon.operators import fusion, index, retrieval, similarity, spans
 from quillon.plans import sqltext as sq
-from quillon.plans.materialize import keep_where
-from quillon.plans.q_spans import _LATEST, verses
+from quillon.plans.materialize import cut, keep_where
+from quillon.plans.q_spans import _LATEST, CHAPTER, verses
 from quillon.sources.tables import table, text_table
 
 QUERY = ["garden", "trust", "patient", "lamp"]
@@ -168,6 +168,35 @@ g AS (SELECT *, round(shared * 10 + shared / (n + m - shared) * 100 + shared / n
 SELECT language_code, x AS id, y AS neighbour_id, row_number() OVER (PARTITION BY language_code, x ORDER BY score DESC, shared DESC, y) AS rank, shared, round(shared / n * 100, 2) AS coverage, n - shared AS missing, score FROM g QUALIFY rank <= 12"""
 
 
+def j09_passage_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """For every passage of one to four verses up to twelve similar passages of as many verses from other chapters of its work.
+
+    Every work and window size has its own postings and document frequencies, so copies of a verse in other works take no places. The token sets are used five times and are written once.
+    """
+    w = spans.passage_windows(verses(spark, root).where("work_id IS NOT NULL"), CHAPTER, "ayah_no", "text_normalized", [1, 2, 3, 4])
+    tokens = F.array_distinct(tx.words(tx.normalize_search(F.col("text"))))
+    rows = cut(w.select("work_id", "window_size", "surah_no", F.struct("surah_no", "start_pos").alias("passage"), tokens.alias("t")))
+    near = similarity.neighbours_by_rare_tokens(rows, "passage", ["work_id", "window_size"], "surah_no", F.col("t"))
+    ends = [F.col("passage.surah_no").alias("surah_no"), F.col("passage.start_pos").alias("start_pos"), F.col("neighbour_id.surah_no").alias("neighbour_surah_no"), F.col("neighbour_id.start_pos").alias("neighbour_start_pos")]
+    return near.select("work_id", "window_size", *ends, "rank", "shared", "coverage", "missing", "score")
+
+
+_PASSAGES = " UNION ALL ".join(
+    f"""SELECT work_id, surah_no, {k} AS window_size, ayah_no AS start_pos, list_distinct({sq.match_words('text')}) AS t FROM (SELECT *, max(ayah_no) OVER w AS end_pos, count(*) OVER w AS n, string_agg(coalesce(text_normalized, ''), ' ') OVER w AS text FROM v
+WINDOW w AS (PARTITION BY work_id, surah_no ORDER BY ayah_no ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)) WHERE n = {k} AND end_pos - ayah_no = {k - 1}"""
+    for k in (1, 2, 3, 4)
+)
+_J09_PASSAGES = f"""WITH {_LATEST}, s AS ({_PASSAGES}), e AS (SELECT work_id, window_size, surah_no, start_pos, unnest(t) AS w FROM s),
+f AS (SELECT work_id, window_size, w, count(*) AS df FROM e GROUP BY ALL),
+a AS (SELECT e.* FROM e JOIN f USING (work_id, window_size, w) QUALIFY row_number() OVER (PARTITION BY e.work_id, e.window_size, surah_no, start_pos ORDER BY df, w) <= 6),
+p AS (SELECT DISTINCT a.work_id, a.window_size, a.surah_no, a.start_pos, e.surah_no AS neighbour_surah_no, e.start_pos AS neighbour_start_pos FROM a JOIN e ON a.work_id = e.work_id AND a.window_size = e.window_size AND a.w = e.w AND a.surah_no <> e.surah_no),
+c AS (SELECT p.*, len(list_intersect(l.t, r.t)) AS shared, len(l.t) AS n, len(r.t) AS m FROM p JOIN s l ON l.work_id = p.work_id AND l.window_size = p.window_size AND l.surah_no = p.surah_no AND l.start_pos = p.start_pos
+JOIN s r ON r.work_id = p.work_id AND r.window_size = p.window_size AND r.surah_no = p.neighbour_surah_no AND r.start_pos = p.neighbour_start_pos),
+g AS (SELECT *, round(shared * 10 + shared / (n + m - shared) * 100 + shared / n * 100, 6) AS score FROM c WHERE shared >= 4)
+SELECT work_id, window_size, surah_no, start_pos, neighbour_surah_no, neighbour_start_pos, row_number() OVER (PARTITION BY work_id, window_size, surah_no, start_pos ORDER BY score DESC, shared DESC, neighbour_surah_no, neighbour_start_pos) AS rank,
+shared, round(shared / n * 100, 2) AS coverage, n - shared AS missing, score FROM g QUALIFY rank <= 12"""
+
+
 def a01_document_frequency(spark: SparkSession, root: str) -> DataFrame:
     """Words of the documents by language with their document frequency and idf."""
     rows = _documents(spark, root).withColumn("w", tx.words(tx.normalize_search(F.col("text"))))
@@ -218,11 +247,12 @@ _P12 = r"SELECT id FROM tafsir_sections WHERE regexp_matches(coalesce(text_plain
 QUERIES = {
     f.__name__: f
     for f in (
-        x01_idf_shortlist, x21_bm25, x20_fused, x22_nearest_vectors, x14_ranked_entries, x17_scored_sections, x36_gated_units, j09_verse_neighbours, a01_document_frequency, a05_distinctive_terms, a24_exact_groups,
+        x01_idf_shortlist, x21_bm25, x20_fused, x22_nearest_vectors, x14_ranked_entries, x17_scored_sections, x36_gated_units, j09_verse_neighbours, j09_passage_neighbours, a01_document_frequency, a05_distinctive_terms, a24_exact_groups,
         h8_one_edit_verses, p12_anchored_sections,
     )
 }
 ORACLES = {
     "x01_idf_shortlist": _X01, "x21_bm25": _X21, "x20_fused": _X20, "x22_nearest_vectors": _X22, "x14_ranked_entries": _X14, "x17_scored_sections": _X17, "x36_gated_units": _X36, "j09_verse_neighbours": _J09,
+    "j09_passage_neighbours": _J09_PASSAGES,
     "a01_document_frequency": _A01, "a05_distinctive_terms": _A05, "a24_exact_groups": _A24, "p12_anchored_sections": _P12,
 }
