@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote, urlsplit
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,18 +182,61 @@ def read_bundle(root: str, version: str, names: list[str], require: bool = False
     return out
 
 
+def _file_facts(uri: str, chunk: int = 1 << 22) -> tuple[int, str, int | None]:
+    """Size, digest and number of rows of one file, read in pieces."""
+    at = urlsplit(uri)
+    where, path = (fs.LocalFileSystem(), unquote(at.path)) if at.scheme in ("", "file") else fs.FileSystem.from_uri(quote(uri, safe=":/@%"))
+    digest, size, lines, last = hashlib.sha256(), 0, 0, b""
+    kind = path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
+    text = kind in ("jsonl", "ndjson", "csv", "tsv", "txt")
+    with where.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(chunk):
+            digest.update(piece)
+            size += len(piece)
+            if text:
+                lines += piece.count(b"\n") + piece.count(b"\r") - piece.count(b"\r\n") - (last == b"\r" and piece[:1] == b"\n")
+                last = piece[-1:]
+    count = None
+    if text:
+        lines += last not in (b"", b"\n", b"\r")
+        count = lines if kind in ("jsonl", "ndjson") else max(0, lines - 1)
+    elif kind == "parquet":
+        try:
+            with where.open_input_file(path) as f:
+                count = pq.ParquetFile(f).metadata.num_rows
+        except pa.ArrowInvalid:  # a damaged file has a digest, so that a manifest shows it as changed
+            pass
+    return size, digest.hexdigest(), count
+
+
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file of a folder, computed where the file is read."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup="true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path within the folder, size, SHA-256 and number of rows of every file, subfolders included, computed where the file is read.
+
+    Files are read in pieces, so their size is not bounded by a row's. Rows are those of the footer (Parquet), lines (JSON lines) or lines after a header (CSV, TSV, text), else and for a damaged footer NULL. Empty files
+    count (a scan would leave them out, so the listing is used); hidden files (``_`` or ``.`` first) are no assets.
+    """
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup="true").load(folder).inputFiles()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = urlsplit(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()).path.rstrip("/") + "/"
+    names = [(uri, unquote(p[len(root) :] if p.startswith(root) else p.rsplit("/", 1)[-1])) for uri, p in ((f, urlsplit(f).path) for f in files)]
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                size, sha, count = _file_facts(uri)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([sha]), pa.array([count], pa.int64())], ["file", "n_bytes", "sha256", "row_count"])
+
+    listed = spark.createDataFrame(names, "uri string, file string").repartition(max(1, min(len(names), 8 * spark.sparkContext.defaultParallelism)))
+    return listed.mapInArrow(facts, "file string, n_bytes long, sha256 string, row_count long")
 
 
 def check_manifest(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
-    """Per asset of the manifest (``{"assets": [{"file", "sha256", "n_bytes"}]}``) its state: ok, missing or changed."""
+    """Per asset of the manifest (``{"assets": [{"file", "sha256", "n_bytes", "row_count"}]}``) its state: ok, missing or changed; a ``row_count`` that is not given is not compared."""
     with open(manifest, encoding="utf-8") as f:
-        wanted = spark.createDataFrame([(a["file"], a["sha256"], a["n_bytes"]) for a in json.load(f)["assets"]], "file string, want_sha string, want_bytes long")
+        wanted = spark.createDataFrame([(a["file"], a["sha256"], a["n_bytes"], a.get("row_count")) for a in json.load(f)["assets"]], "file string, want_sha string, want_bytes long, want_rows long")
     have = file_digests(spark, folder)
-    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want_sha"), "changed").otherwise("ok")
+    other_rows = F.col("want_rows").isNotNull() & ~F.col("want_rows").eqNullSafe(F.col("row_count"))
+    state = F.when(F.col("sha256").isNull(), "missing").when((F.col("sha256") != F.col("want_sha")) | other_rows, "changed").otherwise("ok")
     return wanted.join(have, "file", "left").select("file", state.alias("state"))
 
 
