@@ -156,7 +156,7 @@ def j09_verse_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """For every verse up to twelve similar verses of other chapters in the same language."""
     rows = verses(spark, root).where("text_normalized IS NOT NULL")
     tokens = tx.words(tx.normalize_search(F.col("text_normalized")))
-    return similarity.neighbours_by_rare_tokens(rows, "id", ["language_code"], "surah_no", tokens)
+    return similarity.neighbours_by_rare_tokens(rows, "id", ["language_code"], "surah_no", tokens, short=True)
 
 
 _J09 = f"""WITH {_LATEST}, s AS (SELECT id, language_code, surah_no, list_distinct({sq.match_words('text_normalized')}) AS t FROM v WHERE text_normalized IS NOT NULL), e AS (SELECT id, language_code, surah_no, unnest(t) AS w FROM s),
@@ -230,11 +230,18 @@ _A24 = "SELECT md5(t) AS text_md5, n, CASE WHEN n = 1 THEN k END AS unique_key F
 
 
 def h8_one_edit_verses(spark: SparkSession, root: str) -> DataFrame:
-    """Similar verses with the words missing in the neighbour, and whether they are one word apart."""
-    near = j09_verse_neighbours(spark, root).where("rank <= 3").select("id", "neighbour_id")
-    w = verses(spark, root).select("id", tx.words(tx.normalize_search(F.col("text_normalized"))).alias("a"))
-    both = near.join(w, "id").join(w.select(F.col("id").alias("neighbour_id"), F.col("a").alias("b")), "neighbour_id")
-    return both.select("id", "neighbour_id", similarity.missing_count(F.col("a"), F.col("b")).alias("missing"), similarity.one_edit_apart(F.col("a"), F.col("b")).alias("one_edit"))
+    """Similar verses with the words missing in the neighbour, whether they are one word apart, and whether the neighbour is a parallel in the wide sense.
+
+    The pairs are all neighbours of ``j09_verse_neighbours`` and, whatever their rank, all verses of a language that are at most one word apart (from four words on, other places of the text only).
+    """
+    text = F.col("text_normalized")
+    w = cut(verses(spark, root).where("text_normalized IS NOT NULL").select("id", "language_code", "surah_no", "ayah_no", tx.words(tx.normalize_search(text)).alias("a"), tx.words(tx.normalize_search(tx.arabic_aggressive(text))).alias("x")))
+    near = j09_verse_neighbours(spark, root).select("id", "neighbour_id")
+    edits = similarity.one_edit_pairs(w, "id", ["language_code"], F.col("a")).select("id", "neighbour_id")
+    to = w.select(F.col("id").alias("neighbour_id"), F.col("surah_no").alias("s"), F.col("ayah_no").alias("v"), F.col("a").alias("b"), F.col("x").alias("y"))
+    both = near.unionByName(edits).distinct().join(w, "id").join(to, "neighbour_id").where(~(F.col("surah_no").eqNullSafe(F.col("s")) & F.col("ayah_no").eqNullSafe(F.col("v"))))
+    wide = similarity.relaxed_parallel(F.col("a"), F.col("b"), F.col("x"), F.col("y"))
+    return both.select("id", "neighbour_id", similarity.missing_count(F.col("a"), F.col("b")).alias("missing"), similarity.one_edit_apart(F.col("a"), F.col("b")).alias("one_edit"), wide.alias("relaxed_parallel"))
 
 
 def p12_anchored_sections(spark: SparkSession, root: str) -> DataFrame:
