@@ -81,27 +81,40 @@ def _merge(capacity: int):
     return run
 
 
+def _open_ones(under: DataFrame, capacity: int) -> DataFrame:
+    """The containers that fit together with the emptiest other one; the rest can be merged with none. The two least fills are enough to know."""
+    low = [r["fill"] for r in under.orderBy("fill").limit(2).collect()]
+    if len(low) < 2 or sum(low) > capacity:
+        return under.limit(0)
+    return under.where(F.col("fill") + low[0] <= capacity)
+
+
 def pack(sizes: DataFrame, capacity: int, nearly_full: float = 0.98, fan_in: int = 16, per_partition: int = 250_000) -> DataFrame:
     """Assignment ``(key, chunk, size, bin, fill)`` of every item of ``sizes(key, size)`` to a container.
 
     ``chunk`` is 0 for an undivided item. Items of size 0 or NULL size are placed too and take no space. Keys are unique; NULL keys are left out. An empty table gives no rows.
-    ``per_partition`` bounds the items a first-round task holds; below that the partitions of the input are kept as they are.
+    The first round packs the partitions of the input as they are; an input of more than ``per_partition`` items is dealt by key to as many or, where a task would hold more than that, to more partitions.
+    The tree ends at one group. ``per_partition`` also bounds the containers of a group, unless a round with that many groups merges next to nothing: then the groups are joined all the same.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     items = sizes.select(F.col("key").cast("long").alias("key"), F.greatest(F.coalesce(F.col("size"), F.lit(0)).cast("long"), F.lit(0)).alias("size")).where("key IS NOT NULL")
     items = cut(items)
     n = items.count()
-    parts = max(1, math.ceil(n / per_partition))
-    placed = cut(items.repartition(parts, "key").mapInPandas(_place(capacity), "key long, chunk int, size long, bin string, fill long"))
+    parts = items.rdd.getNumPartitions()
+    if n > per_partition:
+        parts = max(parts, math.ceil(n / per_partition))
+        items = items.repartition(parts, "key")
+    placed = cut(items.mapInPandas(_place(capacity), "key long, chunk int, size long, bin string, fill long"))
     least = math.ceil(nearly_full * capacity)
     names = placed.select(F.col("bin").alias("home"), "bin", "fill").distinct()
-    under = names.where(F.col("fill") < least).select("bin", "fill")
+    under = _open_ones(names.where(F.col("fill") < least).select("bin", "fill"), capacity)
     moved: DataFrame | None = None
-    groups = parts
+    groups, stuck = parts, False
     waiting = under.count()
     while waiting:
-        groups = max(math.ceil(groups / fan_in), math.ceil(waiting / per_partition))
+        fewer = math.ceil(groups / fan_in)
+        groups = fewer if stuck else max(fewer, min(groups, math.ceil(waiting / per_partition)))
         step = under.groupBy(F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("g")).applyInPandas(_merge(capacity), "bin string, into string, total long")
         step = cut(step)
         if moved is None:
@@ -109,10 +122,11 @@ def pack(sizes: DataFrame, capacity: int, nearly_full: float = 0.98, fan_in: int
         else:
             nxt = step.select(F.col("bin").alias("into"), F.col("into").alias("into2"), F.col("total").alias("total2"))
             moved = cut(moved.join(nxt, "into", "left").select("bin", F.coalesce("into2", "into").alias("into"), F.coalesce("total2", "total").alias("total")))
-        under = step.where(F.col("total") < least).select(F.col("into").alias("bin"), F.col("total").alias("fill")).distinct()
-        before, waiting = waiting, under.count()
-        if groups == 1 or waiting > 0.9 * before:  # one group left, or the containers no longer fit together
+        if groups == 1:
             break
+        under = _open_ones(step.where(F.col("total") < least).select(F.col("into").alias("bin"), F.col("total").alias("fill")).distinct(), capacity)
+        before, waiting = waiting, under.count()
+        stuck = waiting > 0.9 * before
     if moved is None:
         return placed
     return placed.join(moved, "bin", "left").select("key", "chunk", "size", F.coalesce("into", "bin").alias("bin"), F.coalesce("total", "fill").alias("fill"))

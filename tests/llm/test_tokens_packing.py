@@ -78,3 +78,16 @@ def test_items_that_do_not_fit_together_and_empty_table(spark):
 def test_best_fit_prefers_the_tightest_container():
     bins = pk.best_fit([(6, 0), (5, 1), (4, 2), (5, 3)], 10)
     assert sorted(f for f, _ in bins) == [10, 10]
+
+
+def test_input_partitions_are_packed_and_merged(spark, monkeypatch):
+    written, cut = [], pk.cut
+    monkeypatch.setattr(pk, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = pk.pack(spark.createDataFrame([(i, 30) for i in range(64)], "key long, size long").repartition(16), 1000, fan_in=4).collect()
+    assert written[1].select("bin").distinct().count() == 16 and len(got) == 64
+    assert len({r["bin"] for r in got}) <= 3  # 1,920 in containers of 1,000
+
+
+def test_merging_goes_on_to_one_group(spark):
+    # one pair of ninety-two fits: rounds that merge little are no reason to stop
+    assert len({r["bin"] for r in _pack(spark, [60] * 90 + [45, 55], 100, per_partition=5, fan_in=2)}) == 91
