@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import spans
+from quillon.plans.materialize import exploded
 
 
 def exact_passages(queries: DataFrame, query_key: str, query_text: Column, df: DataFrame, group: list[str], order: str, text: str, sizes: list[int]) -> DataFrame:
@@ -38,6 +39,37 @@ def anchor_votes(hits: DataFrame, query_key: list[str], group: list[str], most:
     return votes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def scope_votes(queries: DataFrame, query_key: list[str], query_lanes: list[Column], df: DataFrame, group: list[str], lanes: list[Column], on: list[str], n: int = 5, most: int = 3, rarest: int = 12) -> DataFrame:
+    """The groups a query's tokens vote for, by a plain and a folded lane of tokens; ``lexical_fallback`` says whether rare tokens had to decide.
+
+    An n-gram gives 3 (folded: 2) and 0.25 (0.2) for each of up to four places. A query with n-grams that hits nothing votes by its ``rarest`` tokens of three letters or more (fewest groups, then longest,
+    then by token): 2 (folded: 1.5) divided by the number of groups that hold the token, and 0.05 for each of up to four places. Queries of fewer than ``n`` tokens have no votes, as in the reference.
+    """
+    votes, rare = [], []
+    words = lambda rows, keys, lane: exploded(rows, keys, lane, "token")
+    for lane, other, base, place, weight in zip(query_lanes, lanes, (3.0, 2.0), (0.25, 0.2), (2.0, 1.5)):
+        per = anchor_hits(queries, query_key, lane, df, group, other, n, on).groupBy(*query_key, *group, "qpos").agg(F.count("*").alias("_n"))
+        votes.append(per.select(*query_key, *group, (F.lit(base) + F.least("_n", F.lit(4)) * place).alias("_v")))
+        held = words(df, [*on, *group], other).groupBy(*on, *group, "token").agg(F.count("*").alias("_n"))
+        spread = held.groupBy(*on, "token").agg(F.count("*").alias("_g"))
+        asked = words(queries, [*query_key, *on], F.when(F.size(lane) >= n, F.array_distinct(lane))).where(F.length("token") >= 3).join(spread, [*on, "token"])
+        best = Window.partitionBy(*query_key).orderBy("_g", F.length("token").desc(), "token")
+        few = asked.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rarest)
+        rare.append(few.join(held, [*on, "token"]).select(*query_key, *group, (F.lit(weight) / F.col("_g") + F.least("_n", F.lit(4)) * 0.05).alias("_v")))
+    total = lambda parts, fallback: parts[0].unionByName(parts[1]).groupBy(*query_key, *group).agg(F.round(F.sum("_v"), 6).alias("votes")).withColumn("lexical_fallback", F.lit(fallback))
+    first = total(votes, False)
+    both = first.unionByName(total(rare, True).join(first.select(*query_key).distinct(), query_key, "left_anti"))
+    order = Window.partitionBy(*query_key).orderBy(F.col("votes").desc(), *group)
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def likely_groups(candidates: DataFrame, query_key: list[str], group: str, score: str, *order: Column | str, first: int = 12, most: int = 3) -> DataFrame:
+    """The groups with the greatest sum of scores among a query's ``first`` candidates in the given order; a NULL group takes a place and has no votes."""
+    top = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*query_key).orderBy(*order))).where((F.col("_r") <= first) & F.col(group).isNotNull())
+    sums = top.groupBy(*query_key, group).agg(F.round(F.sum(F.coalesce(score, F.lit(0.0))), 6).alias("score"))
+    return sums.withColumn("rank", F.row_number().over(Window.partitionBy(*query_key).orderBy(F.col("score").desc(), group))).where(F.col("rank") <= most)
+
+
 def anchored_spans(hits: DataFrame, query_key: list[str], group: list[str], least_share: float = 0.6) -> DataFrame:
     """Diagonals on which at least ``least_share`` of the query's n-grams stand in place: the start, the number of anchors, whether first, middle and last gram are there.
 

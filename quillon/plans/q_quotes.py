@@ -43,7 +43,7 @@ def j19_anchor_chains(spark: SparkSession, root: str) -> DataFrame:
 
 
 def a21_voted_entries(spark: SparkSession, root: str) -> DataFrame:
-    """The entries of the same collection that a unit's five-grams vote for."""
+    """A21, plain lane only: the entries of the same collection that a unit's five-grams vote for; ``a21_voted_scope`` has all lanes."""
     u = table(spark, root, "guidance_units").select("guidance_unit_id", "collection_source_id", "span_text").dropDuplicates(["guidance_unit_id"]).withColumn("w", tx.words(tx.normalize_search(F.col("span_text"))))
     works = table(spark, root, "source_works").select(F.col("id").alias("work_id"), F.col("source_id").alias("collection_source_id"))
     e = table(spark, root, "hadith_entries").select("id", "work_id", "english_text").join(works, "work_id").withColumn("w", tx.words(tx.normalize_search(F.col("english_text"))))
@@ -51,6 +51,15 @@ def a21_voted_entries(spark: SparkSession, root: str) -> DataFrame:
     return quotes.anchor_votes(hits, ["guidance_unit_id"], ["id"])
 
 
+def a21_voted_scope(spark: SparkSession, root: str) -> DataFrame:
+    """The entries of the same collection that a unit votes for by plain and folded five-grams, or by its rare words where none is found."""
+    lanes = lambda c: [tx.words(tx.normalize_search(F.col(c))).alias("w"), tx.words(tx.normalize_search(tx.arabic_aggressive(F.col(c)))).alias("x")]
+    u = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"]).select("guidance_unit_id", "collection_source_id", *lanes("span_text"))
+    works = table(spark, root, "source_works").select(F.col("id").alias("work_id"), F.col("source_id").alias("collection_source_id"))
+    e = table(spark, root, "hadith_entries").join(works, "work_id").select("id", "collection_source_id", *lanes("english_text"))
+    return quotes.scope_votes(u, ["guidance_unit_id"], [F.col("w"), F.col("x")], e, ["id"], [F.col("w"), F.col("x")], ["collection_source_id"])
+
+
 _A21 = f"""WITH u AS (SELECT DISTINCT ON (guidance_unit_id) guidance_unit_id, collection_source_id AS c, {sq.match_words('span_text')} AS w FROM guidance_units ORDER BY guidance_unit_id),
 e AS (SELECT h.id, source_id AS c, {sq.match_words('english_text')} AS w FROM hadith_entries h JOIN source_works s ON h.work_id = s.id),
 a AS (SELECT guidance_unit_id, c, qpos, array_to_string(list_slice(w, qpos + 1, qpos + 5), ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS qpos FROM u WHERE len(w) >= 5)),
@@ -99,5 +108,5 @@ def s19_search_documents(spark: SparkSession, root: str) -> DataFrame:
 _S19 = f"""SELECT e.id, canonical_ref_collection, b.title_en AS book_title, c.title_en AS chapter_title, english_narrator, english_text, len({sq.match_words('english_text')}) AS tokens FROM hadith_entries e
 LEFT JOIN hadith_books b ON e.book_id = b.id LEFT JOIN hadith_chapters c ON e.chapter_id = c.id WHERE length(trim(coalesce(english_text, ''), ' ')) > 0 AND coalesce(json_extract_string(e.metadata_json, '$.is_stub'), '') <> 'true'"""
 
-QUERIES = {f.__name__: f for f in (j18_anchored_units, j19_anchor_chains, a21_voted_entries, w19_exact_passages, p25_resolved_references, w04_built_units, s19_search_documents)}
+QUERIES = {f.__name__: f for f in (j18_anchored_units, j19_anchor_chains, a21_voted_entries, a21_voted_scope, w19_exact_passages, p25_resolved_references, w04_built_units, s19_search_documents)}
 ORACLES = {"j18_anchored_units": _J18, "a21_voted_entries": _A21, "w19_exact_passages": _W19, "s19_search_documents": _S19}
