@@ -43,6 +43,19 @@ def test_segments_equal_whole_normalization(text):
     assert cf.skeleton(text) == whole
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("aeoсаеорхкшж ёйéعكکیيىﻛ２²ِّ̧́\u200d\ufeff.  οακΑΩµᏟꓢ\t\nﬁg")), max_size=16)), max_size=6))
+def test_batches_equal_single_texts(texts):
+    whole = [None if t is None else cf.canonical(t) for t in texts]
+    assert cf.canonical_batch(texts) == whole
+    assert cf.canonical_batch(texts, chars=1) == whole
+
+
+@pytest.mark.parametrize(("a", "b"), [("ᏟᎪT", "CAT"), ("ꓢꓲꓖN", "SIGN"), ("ᴄᴏw", "cow"), ("κ", "к")])
+def test_letters_of_rarer_scripts(a, b):
+    assert cf.canonical(a) == cf.canonical(b)
+
+
 def _pairs(data, field):
     out = set()
     for i, (a, x) in enumerate(data):
