@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -87,3 +88,37 @@ def test_files_in_byte_ranges(spark, tmp_path):
         assert raw[s:e].decode("utf-8") == piece and len(piece) <= 120
         covered[s:e] = b"\1" * (e - s)
     assert not bytes(b for b, c in zip(raw, covered) if not c).decode("utf-8").strip()
+
+
+def test_neighbours_share_the_specified_overlap():
+    rnd = random.Random(10)
+    text = " ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 9))) for _ in range(3000))
+    pieces = sp.cut_range(text, 0, len(text), True, True, 200, 40)
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    assert len(pieces) > 50
+    for (_, end, _), (start, _, _) in zip(pieces, pieces[1:]):
+        assert start == min(x for x in starts if x >= end - 40) < end
+    assert [p[:2] for p in sp.cut_range("x" * 500, 0, 500, True, True, 200, 40)] == [(0, 200), (160, 360), (320, 500)]
+    apart = sp.cut_range(text, 0, len(text), True, True, 200, 0)
+    assert all(a[1] <= b[0] for a, b in zip(apart, apart[1:]))
+
+
+def test_cutting_takes_linear_time():
+    text = ("word and more. " * 20 + "\n\n") * 14_000  # 4.2 million characters
+    began = time.perf_counter()
+    pieces = sp.cut_range(text, 0, len(text), True, True, 1500, 150)
+    assert time.perf_counter() - began < 15 and len(pieces) > 2800
+
+
+def test_file_of_sixteen_mebibytes(spark, tmp_path):
+    para = "Läufe und Wörter stehen hier. " * 30 + "\n\n"
+    raw = (para * ((16 << 20) // len(para.encode()) + 1)).encode()
+    path = tmp_path / "large.txt"
+    path.write_bytes(raw)
+    got = sorted((r["piece_no"], r["start"], r["stop"], r["piece"]) for r in sp.split_files(spark, [str(path)], range_bytes=5 << 20).collect())
+    assert [g[0] for g in got] == list(range(len(got)))
+    at = 0
+    for _, s, e, piece in got:
+        assert raw[s:e].decode() == piece and len(piece) <= 1500 and not raw[at : max(at, s)].strip()
+        at = max(at, e)
+    assert not raw[at:].strip()
