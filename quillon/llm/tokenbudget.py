@@ -1,13 +1,16 @@
 """Token counts under an existing byte-pair tokenizer, rolled up by slice.
 
-Text is cut into the pieces of the tokenizer's pattern. Pieces repeat a lot, so each batch counts its distinct pieces first; the merges run once per distinct piece,
-over a linked list of symbols with a priority queue of merges, and the surviving symbols are weighted by the piece's frequency. Counts are exact.
+Text is cut into the pieces of the tokenizer's pattern. Pieces repeat a lot, so each batch first counts how often each piece stands in each text; the merges run once per distinct piece of
+the batch, over a linked list of symbols with a priority queue of merges, and the surviving symbols are weighted by the piece's frequency. Counts are exact.
+
+The vocabulary is read once, on the driver, and broadcast: its size is that of the tokenizer, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PieceCounter:
     """Counts tokens; remembers the counts of pieces up to a fixed number."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, remember: int = 400_000) -> None:
-        self.ranks, self.pattern, self.remember = load_ranks(path), regex.compile(pattern), remember
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, remember: int = 400_000) -> None:
+        self.ranks, self.pattern, self.remember = ranks, regex.compile(pattern), remember
         self.known: dict[str, int] = {}
 
     def symbols(self, piece: bytes) -> int:
@@ -70,17 +73,27 @@ class PieceCounter:
                 self.known[piece] = n
         return n
 
-    def of_text(self, text: str) -> int:
-        """Tokens of one text."""
-        return sum(map(self.of_piece, self.pattern.findall(text)))
-
-
-def _counter(path: str, pattern: str):
+    def of_texts(self, texts: list[str | None], at_once: int = 500) -> np.ndarray:
+        """Tokens of each text: the distinct pieces of some texts are merged once each and weighted by how often each text has them."""
+        out = np.zeros(len(texts), np.int64)
+        for at in range(0, len(texts), at_once):
+            index: dict[str, int] = {}
+            piece, often, owner = [], [], []
+            for i, text in enumerate(texts[at : at + at_once], at):
+                counted = Counter(self.pattern.findall(text)) if text else {}
+                piece += [index.setdefault(p, len(index)) for p in counted]
+                often += counted.values()
+                owner += [i] * len(counted)
+            symbols = np.fromiter(map(self.of_piece, index), np.int64, len(index))
+            np.add.at(out, np.array(owner, np.int64), symbols[np.array(piece, np.int64)] * np.array(often, np.int64))
+        return out
+
+
+def _counter(shared, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PieceCounter(path, pattern)
+        counter = PieceCounter(shared.value, pattern)
         for pdf in batches:
-            tokens = np.fromiter((counter.of_text(t) if t else 0 for t in pdf["text"]), np.int64, len(pdf))
-            yield pdf.drop(columns="text").assign(n_tokens=tokens)
+            yield pdf.drop(columns="text").assign(n_tokens=counter.of_texts(pdf["text"].tolist()))
 
     return run
 
@@ -89,7 +102,8 @@ def row_tokens(df: DataFrame, text: str, keep: list[Column], path: str = f"{TOKE
     """``keep`` plus ``n_tokens``, the tokens of the text; NULL and empty texts have none. Only the kept columns and the text reach Python."""
     rows = df.select(*keep, F.col(f"`{text}`").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(_counter(path, pattern), f"{schema}, n_tokens long")
+    shared = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    return rows.mapInPandas(_counter(shared, pattern), f"{schema}, n_tokens long")
 
 
 def clean_source(source: Column) -> Column:
