@@ -1,10 +1,16 @@
 """Passages of held-out test material inside a corpus.
 
-Windows of ``window`` words, the length from which a copy counts, get a 64-bit SimHash over their five-word shingles. Fingerprints of the test items form a
-multi-index: each is cut into ``blocks`` blocks, and any two fingerprints within a Hamming radius below the number of blocks agree on one block, so a look-up by block
-misses none within the radius. Windows within the radius are candidates; they are verified on the words themselves.
+Two sizes of windows get a 64-bit SimHash over their five-word shingles:
 
-The corpus is read once and never shuffled: test items are the stated query set, kept on the driver in blocks of bounded size and broadcast block by block.
+* item-sized windows: an item is compared as a whole with windows of its own length (lengths are graded, a window has at least 0.8 of the item's words). They find items that are there fully, as they
+  stand or with scattered changes, also items of a few words.
+* windows of ``window`` words, the length from which a copy of a part counts. They find parts of an item.
+
+Fingerprints of the test items form multi-indexes: each is cut into ``blocks`` blocks, and any two fingerprints within a radius ``r`` agree on one block up to ``r // blocks`` bits, so a look-up of all
+blocks under which a fingerprint is entered misses none within the radius. Candidates are verified exactly: on the words for a part, on the weighted shingles for the whole.
+
+The corpus is never shuffled. Test items are the stated query set: an index of at most ``windows_per_block`` windows (about ten thousand items of fifty words) is broadcast and the corpus read once for it;
+only a larger set is taken in several such blocks, each of which is written and its index released before the next.
 """
 
 from __future__ import annotations
@@ -13,6 +19,8 @@ import re
 import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.materialize import cut
+
 SHINGLE = 5
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x483, 0x489), (0x591, 0x5BD), (0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6DC), (0x6DF, 0x6E4), (0x6E7, 0x6E8), (0x6EA, 0x6ED), (0x8D3, 0x8FF), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))) + "]+")
@@ -59,35 +69,42 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+class _BitSums:
+    """Running sums of the bits of shingle hashes, from which the SimHashes of windows of any length follow: bit by bit the majority."""
+
+    def __init__(self, shingles: np.ndarray) -> None:
+        self.shingles = shingles
+
+    def simhashes(self, per_window: int) -> np.ndarray:
+        """SimHash of every window of ``per_window`` neighbouring shingles; 0 where fewer are left."""
+        n = len(self.shingles) - per_window + 1
+        out = np.zeros(len(self.shingles) + SHINGLE - 1, np.uint64)
+        for at in range(0, max(0, n), 16384):
+            part = self.shingles[at : at + 16384 + per_window - 1]
+            m = len(part) - per_window + 1
+            kind = np.int16 if per_window < 1 << 15 else np.int32  # differences are right even where sums wrap around
+            sums = np.zeros((len(part) + 1, 64), kind)
+            np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
+            out[at : at + m] = np.packbits(sums[per_window:] - sums[:-per_window] > per_window // 2, axis=1).view(np.uint64).ravel()
+        return out
+
+
 def simhashes(shingles: np.ndarray, per_window: int) -> np.ndarray:
-    """SimHash of every window of ``per_window`` neighbouring shingles: bit by bit the majority of their hashes."""
-    n = len(shingles) - per_window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for at in range(0, n, 16384):
-        part = shingles[at : at + 16384 + per_window - 1]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        m = len(part) - per_window + 1
-        votes = bits[:m].copy()
-        for i in range(1, per_window):
-            votes += bits[i : i + m]
-        out[at : at + m] = np.packbits(votes > per_window // 2, axis=1).view(np.uint64).ravel()
-    return out
+    """SimHash of every window of ``per_window`` neighbouring shingles."""
+    return _BitSums(shingles).simhashes(per_window)[: max(0, len(shingles) - per_window + 1)]
 
 
 class MultiIndex:
     """Fingerprints found within a Hamming radius through exact look-ups of their blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int = 3, blocks: int = 4) -> None:
-        if radius >= blocks:
-            raise ValueError("the radius must be smaller than the number of blocks")
         self.prints, self.radius, self.width, self.blocks = prints, radius, 64 // blocks, blocks
+        apart = [sum(1 << i for i in c) for k in range(radius // blocks + 1) for c in combinations(range(self.width), k)]
         self.tables = []
         for b in range(blocks):
-            key = self._block(prints, b)
+            key = (self._block(prints, b)[:, None] ^ np.array(apart)[None, :]).ravel()
             order = np.argsort(key, kind="stable")
-            self.tables.append((order, np.searchsorted(key[order], np.arange((1 << self.width) + 1))))
+            self.tables.append(((order // len(apart)).astype(np.int32), np.searchsorted(key[order], np.arange((1 << self.width) + 1)).astype(np.int32)))
 
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
@@ -98,40 +115,75 @@ class MultiIndex:
         for b, (order, starts) in enumerate(self.tables):
             key = self._block(prints, b)
             many = starts[key + 1] - starts[key]
-            x = np.repeat(np.arange(len(prints)), many)
-            offset = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-            y = order[np.repeat(starts[key], many) + offset]
+            x, at = _repeated(starts[key], many)
+            y = order[at]
             near = np.bitwise_count(prints[x] ^ self.prints[y]) <= self.radius
             xs.append(x[near])
-            ys.append(y[near])
-        both = np.unique(np.concatenate(xs) * max(1, len(self.prints)) + np.concatenate(ys))
-        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
+            ys.append(y[near].astype(np.int64))
+        size = max(1, len(self.prints))
+        both = np.unique(np.concatenate(xs) * size + np.concatenate(ys))
+        return both // size, both % size
+
+
+def _repeated(starts: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries with ``many`` neighbours from ``starts`` on: the entry of each neighbour, and its place."""
+    x = np.repeat(np.arange(len(many)), many)
+    return x, starts[x].astype(np.int64) + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def graded(n: int) -> int:
+    """Window length for an item of ``n`` words: all of them up to eleven, else the largest of 12, 15, 19, 24, ... (each a quarter more) within ``n``."""
+    if n < 12:
+        return n
+    length = 12
+    while (more := -(-length * 5 // 4)) <= n:
+        length = more
+    return length
+
+
+class _Index:
+    """Windows of items with their fingerprints. Equal fingerprints are entered once."""
+
+    def __init__(self, prints: list[np.ndarray], owner: list[np.ndarray], place: list[np.ndarray], length: list[np.ndarray], radius: int, blocks: int) -> None:
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.owner, self.place, self.length = join(owner, np.int64), join(place, np.int64), join(length, np.int64)
+        self.unique, group = np.unique(join(prints, np.uint64), return_inverse=True)
+        self.members = np.argsort(group, kind="stable")
+        self.starts = np.searchsorted(group[self.members], np.arange(len(self.unique) + 1))
+        self.table = MultiIndex(self.unique, radius, blocks)
+
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (position in ``prints``, window) within the radius."""
+        x, g = self.table.find(prints)
+        at, member = _repeated(self.starts[g], self.starts[g + 1] - self.starts[g])
+        return x[at], self.members[member]
 
 
 class _Items:
     """One block of test items: their words, fingerprints and shingle weights."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int, radius: int, blocks: int) -> None:
-        known = _Hasher()
+    def __init__(self, rows: list[tuple[int, np.ndarray]], window: int, radius: int, whole_radius: int, blocks: int) -> None:
         self.window, self.per = window, window - SHINGLE + 1
-        self.ids = [i for i, _ in rows]
-        self.words = [word_hashes(plain_words(t), known) for _, t in rows]
-        prints, owner, place = [], [], []
+        self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
+        parts, wholes = ([], [], [], []), ([], [], [], [])
         for i, w in enumerate(self.words):
-            f = simhashes(shingle_hashes(w), self.per)
-            prints.append(f)
-            owner.append(np.full(len(f), i))
-            place.append(np.arange(len(f)))
-        empty = np.zeros(0, np.int64)
-        prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.owner, self.place = np.concatenate(owner) if owner else empty, np.concatenate(place) if place else empty
-        self.unique, group = np.unique(prints, return_inverse=True)
-        self.members = np.argsort(group, kind="stable")
-        self.starts = np.searchsorted(group[self.members], np.arange(len(self.unique) + 1))
-        self.index = MultiIndex(self.unique, radius, blocks)
-        self.shingles = [shingle_hashes(w) for w in self.words]
+            for (prints, owner, place, length), size in ((parts, window), (wholes, graded(len(w)))):
+                k = min(SHINGLE, size)
+                f = simhashes(shingle_hashes(w, k), size - k + 1) if 0 < size <= len(w) else np.zeros(0, np.uint64)
+                prints.append(f)
+                owner.append(np.full(len(f), i))
+                place.append(np.arange(len(f)))
+                length.append(np.full(len(f), size))
+        self.parts, self.wholes = _Index(*parts, radius, blocks), _Index(*wholes, whole_radius, blocks)
+        self.lengths = np.unique(self.wholes.length).tolist()
+        self.sizes = [max(1, min(SHINGLE, len(w))) for w in self.words]
+        self.shingles = [shingle_hashes(w, k) for w, k in zip(self.words, self.sizes)]
         shared = Counter(h for s in self.shingles for h in np.unique(s).tolist())
-        self.weight = {h: 1.0 / n for h, n in shared.items()}
+        self.weights = [np.array([1.0 / shared[h] for h in s.tolist()]) for s in self.shingles]
+
+    def similarity(self, i: int, doc: np.ndarray) -> float:
+        """Weighted share of the item's shingles that the document holds."""
+        return float(self.weights[i][np.isin(self.shingles[i], shingle_hashes(doc, self.sizes[i]))].sum() / self.weights[i].sum())
 
 
 def _runs(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, window: int) -> int:
@@ -154,32 +206,43 @@ def _scan(shared) -> object:
         items: _Items = shared.value
         known = _Hasher()
         for pdf in batches:
-            for cut in range(0, len(pdf), 500):
-                part = pdf.iloc[cut : cut + 500]
+            for cut_at in range(0, len(pdf), 500):
+                part = pdf.iloc[cut_at : cut_at + 500]
                 keys = part["key"].tolist()
                 docs = [word_hashes(plain_words(t), known) if t else np.zeros(0, np.uint64) for t in part["text"]]
                 lengths = np.array([len(d) for d in docs])
                 flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-                prints = simhashes(shingle_hashes(flat), items.per)
                 starts = np.cumsum(lengths) - lengths
-                owner = np.repeat(np.arange(len(docs)), lengths)[: len(prints)]
-                inside = np.arange(len(prints)) - starts[owner] + items.window <= lengths[owner] if len(prints) else np.zeros(0, bool)
-                pos = np.flatnonzero(inside)
-                x, g = items.index.find(prints[pos])
-                many = items.starts[g + 1] - items.starts[g]
-                x = pos[np.repeat(x, many)]
-                offset = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-                m = items.members[np.repeat(items.starts[g], many) + offset]
+                owner = np.repeat(np.arange(len(docs)), lengths)
+                room = np.repeat(starts + lengths, lengths) - np.arange(len(flat))  # words from here to the end of the document
+                shingles = shingle_hashes(flat)
+                bits = _BitSums(shingles)
+
+                def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
+                    pos = np.flatnonzero(room >= size)
+                    prints = bits.simhashes(size - SHINGLE + 1) if size >= SHINGLE else shingle_hashes(flat, size)
+                    return pos, prints[pos]
+
+                pos, prints = windows(items.window)
+                x, m = items.parts.find(prints)
+                x = pos[x]
+                pair = owner[x] * len(items.ids) + items.parts.owner[m]
+                order = np.lexsort((x, pair))
+                x, m, pair = x[order], m[order], pair[order]
+                cuts = np.flatnonzero(np.diff(pair)) + 1
+                hits = {int(p[0]): (a, b) for p, a, b in zip(np.split(pair, cuts), np.split(x, cuts), np.split(m, cuts))} if len(pair) else {}
+                found = set(hits)
+                for size in items.lengths:
+                    pos, prints = windows(size)
+                    x, m = items.wholes.find(prints)
+                    same = items.wholes.length[m] == size
+                    found |= set((owner[pos[x[same]]] * len(items.ids) + items.wholes.owner[m[same]]).tolist())
                 rows = []
-                order = np.lexsort((x, items.owner[m], owner[x])) if len(x) else np.zeros(0, np.int64)
-                x, m = x[order], m[order]
-                pair = owner[x] * len(items.ids) + items.owner[m] if len(x) else np.zeros(0, np.int64)
-                for p in np.split(np.arange(len(x)), np.flatnonzero(np.diff(pair)) + 1) if len(x) else []:
-                    d, i = int(owner[x[p[0]]]), int(items.owner[m[p[0]]])
-                    run_words = _runs(docs[d], items.words[i], x[p] - starts[d], items.place[m[p]], items.window)
-                    there = np.isin(items.shingles[i], shingle_hashes(docs[d]))
-                    weight = np.array([items.weight[h] for h in items.shingles[i].tolist()])
-                    rows.append((keys[d], items.ids[i], run_words, float(weight[there].sum() / weight.sum()), len(p)))
+                for p in sorted(found):
+                    d, i = divmod(p, len(items.ids))
+                    at, m = hits.get(p, (pos[:0], pos[:0]))
+                    run_words = _runs(docs[d], items.words[i], at - starts[d], items.parts.place[m], items.window)
+                    rows.append((keys[d], items.ids[i], run_words, items.similarity(i, docs[d]), len(at)))
                 if rows:
                     yield pd.DataFrame(rows, columns=["key", "item", "run_words", "similarity", "windows"])
 
@@ -187,35 +250,40 @@ def _scan(shared) -> object:
 
 
 def find_leaks(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, window: int = 12, radius: int = 3, blocks: int = 4, items_per_block: int = 5000, similarity: float = 0.8
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, window: int = 12, radius: int = 3, whole_radius: int = 7, blocks: int = 4, windows_per_block: int = 500_000, similarity: float = 0.8
 ) -> DataFrame:
     """Documents with passages of test items: ``(key, item, run_words, similarity, windows)``, one row per document and item.
 
-    ``run_words`` is the longest run of the item's words found in order without another word between, ``similarity`` the weighted share of the item's five-word
-    shingles that the document holds (a shingle that n items share weighs 1/n), ``windows`` the number of window pairs within the radius. A pair is reported if the run
-    reaches ``window`` words or the similarity reaches ``similarity``.
+    ``run_words`` is the longest run of at least ``window`` of the item's words found in order without another word between (0 if there is none), ``similarity`` the weighted share of the item's five-word
+    shingles that the document holds (a shingle that n items share weighs 1/n; an item of fewer words is one shingle), ``windows`` the number of pairs of ``window``-word windows within ``radius``. A pair is
+    a candidate if such a pair is there or an item-sized window lies within ``whole_radius``; it is reported if the run reaches ``window`` words or the similarity reaches ``similarity``.
 
-    NULL, empty and short texts match nothing; NULL ids are left out; repeated rows are each reported. However many items there are, only
-    ``items_per_block`` of them are on the driver and in a broadcast at once.
+    NULL, empty and wordless texts match nothing; NULL ids are left out; repeated rows are each reported; an empty set of items gives no rows. However many items there are, at most
+    ``windows_per_block`` of their windows (or one item) are on the driver and in a broadcast at once.
     """
     spark = docs.sparkSession
     asked = items.select(F.col(f"`{item_key}`").cast("long").alias("i"), F.col(f"`{passage}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    schema = "key long, item long, run_words int, similarity double, windows int"
-    found: DataFrame | None = None
-    block: list[tuple[int, str]] = []
-
-    def scan() -> None:
-        nonlocal found
-        shared = spark.sparkContext.broadcast(_Items(block, window, radius, blocks))
-        part = rows.mapInPandas(_scan(shared), schema)
-        found = part if found is None else found.unionByName(part)
+    wanted = (F.col("run_words") >= window) | (F.col("similarity") >= similarity)
+    written: list[DataFrame] = []
+    block: list[tuple[int, np.ndarray]] = []
+    known, size = _Hasher(), 0
+
+    def scan(last: bool) -> None:
+        nonlocal block, size
+        shared = spark.sparkContext.broadcast(_Items(block, window, radius, whole_radius, blocks))
+        part = rows.mapInPandas(_scan(shared), "key long, item long, run_words int, similarity double, windows int").where(wanted)
+        if not last or written:
+            part = cut(part)
+            shared.destroy()
+        written.append(part)
+        block, size = [], 0
 
     for r in asked.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) >= items_per_block:
-            scan()
-            block = []
-    if block or found is None:
-        scan()
-    return found.where((F.col("run_words") >= window) | (F.col("similarity") >= similarity))
+        words = word_hashes(plain_words(r["t"]), known)
+        if block and size + len(words) > windows_per_block:
+            scan(False)
+        block.append((r["i"], words))
+        size += len(words)
+    scan(True)
+    return reduce(DataFrame.unionByName, written)
