@@ -133,6 +133,14 @@ def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "run_words", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= 0.8, "full").otherwise("partial").alias("extent"))
 
 
+_PLAIN = r"regexp_extract_all(lower(strip_accents(regexp_replace({0}, '[\x{{064B}}-\x{{0652}}\x{{0670}}]', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_PLAIN.format('passage')} AS w FROM eval_items),
+a AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12), b AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM a) x JOIN (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM b) y USING (run)
+"""
+
+
 def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     """Documents with garbled text, the mapping that was undone and the text as far as it could be restored."""
     return encoding.find_garbled(text_table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -147,4 +155,4 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p5_token_budget, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_restored)
 }
-ORACLES = {"p2_found": _P2, "p4_found": _P4}
+ORACLES = {"p2_found": _P2, "p4_found": _P4, "p7_found": _P7}
