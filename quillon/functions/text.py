@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search.
-STOPWORDS = (
-    "a an the and or but of in on to for from with what which who whom whose is are was were be been about show tell me does do did there any this that these those it its "
-    "can could would should explain please"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "of", "in", "on", "to", "for", "from", "with", "what", "which", "who", "whom", "whose", "is", "are", "was", "were", "be", "been", "about", "show", "tell", "me",
+    "does", "do", "did", "there", "any", "this", "that", "these", "those", "it", "its", "can", "could", "would", "should", "explain", "please",
+]
 # Search words with the word they stand for.
 CANONICAL_TOKENS = {"angry": "anger", "provision": "rizq", "provisions": "rizq", "sustenance": "rizq", "livelihood": "rizq", "rizk": "rizq", "رزق": "rizq"}
 # Synonyms that widen a search.
@@ -80,10 +80,18 @@ def expand_tokens(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))))
 
 
+def _grams(c: Column, q: int) -> Column:
+    """All character q-grams in order: the list of characters beside itself, shifted; a shorter text has none. The work follows the length of the text."""
+    chars = F.split(c, "")
+    joined = chars
+    for k in range(1, q):
+        joined = F.zip_with(joined, F.slice(chars, k + 1, 2_000_000_000), lambda x, y: F.concat(x, y))
+    return F.array_compact(joined)
+
+
 def trigrams(c: Column) -> Column:
     """distinct trigrams of the text between two spaces on each side."""
-    padded = F.concat(F.lit("  "), c, F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+    return F.array_distinct(_grams(F.concat(F.lit("  "), c, F.lit("  ")), 3))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -96,7 +104,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def qgrams(c: Column, q: int = 3) -> Column:
     """all character q-grams in order; a shorter text is its own only one."""
     t = F.trim(text_or_empty(c))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= q, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - q + 1), lambda i: F.substring(t, i, F.lit(q))))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= q, F.array(t)).otherwise(_grams(t, q))
 
 
 def sanitize_arabic(c: Column) -> Column:

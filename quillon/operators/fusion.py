@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +92,34 @@ def with_abstention(queries: DataFrame, selected: DataFrame, query: list[str]) -
     return out.withColumn("status", F.when(F.col("n_selected") == 0, "abstain").otherwise("ok"))
 
 
-def suppress_overlaps(df: DataFrame, query: list[str], group: str, start: str, end: str, *order: Column | str, limit: int = 1000) -> DataFrame:
-    """Per query the spans that survive when, in the given order, every span that overlaps an accepted one is dropped.
+def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one stretch that survive, without their ends."""
+    pdf = pdf.sort_values("rank")
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for rank, a, b in pdf[["rank", "_a", "_b"]].itertuples(index=False, name=None):
+        at = bisect.bisect_right(starts, b)
+        if not at or ends[at - 1] < a:
+            starts.insert(at, a)
+            ends.insert(at, b)
+            kept.append(rank)
+    return pdf[pdf["rank"].isin(kept)].drop(columns=["_a", "_b"])
 
-    The accepted spans are folded over the query's sorted candidates, which should be a shortlist or distinct spans of a chapter.
+
+def suppress_overlaps(df: DataFrame, query: list[str], group: str, start: str, end: str, *order: Column | str, limit: int | None = None) -> DataFrame:
+    """Per query the spans that survive when, in the given order, every span that overlaps an accepted one of its ``group`` is dropped; ``limit`` keeps the first survivors.
+
+    Spans are closed. Only spans that are connected by overlaps can decide about each other, so each stretch of a group that spans cover without a break is worked on by itself (kept spans as a sorted list), and only
+    ranks and ends go through Python. Spans with a NULL end are left out.
     """
-    ranked = with_rank(df, query, *order)
-    item = F.struct(F.col("rank"), F.col(group).alias("g"), F.col(start).alias("s"), F.col(end).alias("e"))
-    lists = ranked.groupBy(*query).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    clash = lambda a, x: F.exists(a, lambda y: (y["g"] == x["g"]) & (y["s"] <= x["e"]) & (y["e"] >= x["s"]))
-    kept = F.aggregate("_l", F.slice("_l", 1, 0), lambda a, x: F.when(clash(a, x) | (F.size(a) >= limit), a).otherwise(F.concat(a, F.array(x))))
-    keep = lists.select(*query, F.explode(kept).alias("_k")).select(*query, F.col("_k.rank").alias("rank"))
-    return ranked.join(keep, [*query, "rank"])
+    keys = list(dict.fromkeys([*query, group]))
+    ranked = with_rank(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), query, *order)
+    by = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = ranked.select(*keys, "rank", F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"), F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)).alias("_new"), start, end)
+    spans = spans.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "rank", "_a", "_b", "_island")
+    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in [*keys, "rank", "_island"])
+    kept = spans.groupBy(*keys, "_island").applyInPandas(_greedy, kinds).select(*query, "rank")
+    out = ranked.join(kept, [*query, "rank"])
+    return out if limit is None else top_k(out.withColumnRenamed("rank", "_r"), query, limit, "_r").drop("rank").withColumnRenamed("_r", "rank")

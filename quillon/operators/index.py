@@ -11,11 +11,14 @@ from quillon.plans.materialize import exploded
 def postings(df: DataFrame, key: str, terms: Column, by: list[str] | None = None) -> DataFrame:
     """A3: one row per distinct term of a document with its frequency and the document's length: ``(by..., key, term, tf, doc_len)``.
 
-    Terms are counted inside the row, so nothing is shuffled. Documents without terms give no rows.
+    Terms are counted inside the row, as the runs of the sorted list, so nothing is shuffled and the work follows the length of the list. Documents without terms give no rows.
     """
-    rows = df.select(*(by or []), key, terms.alias("_t")).withColumn("_s", F.array_sort("_t"))
-    each = exploded(rows, [*(by or []), key, F.size("_t").alias("doc_len"), "_s"], F.array_distinct("_s"), "term")
-    return each.select(*(by or []), key, "term", F.size(F.filter("_s", lambda x: x == F.col("term"))).alias("tf"), "doc_len")
+    rows = df.select(*(by or []), key, F.array_sort(terms).alias("_s")).withColumn("_n", F.size("_s"))
+    ends = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == F.col("_n") - 1) | (F.get("_s", i) != F.get("_s", i + 1)))
+    rows = rows.select(*(by or []), key, "_s", "_n", F.when(F.col("_n") > 0, ends).alias("_e"))
+    runs = F.transform("_e", lambda e, k: F.struct(F.get("_s", e).alias("term"), (e - F.coalesce(F.get("_e", k - 1), F.lit(-1))).alias("tf")))
+    each = exploded(rows, [*(by or []), key, F.col("_n").alias("doc_len")], runs, "_x")
+    return each.select(*(by or []), key, "_x.term", "_x.tf", "doc_len")
 
 
 def document_frequency(df: DataFrame, terms: Column, by: list[str] | None = None) -> DataFrame:

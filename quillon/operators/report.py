@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def exclusive_quantiles(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
     """Quantiles by the exclusive method: the value at place ``p * (n + 1)``, interpolated, for each point; NULL values are left out.
 
-    Values are counted first, so what is gathered per group is one entry per distinct value.
+    Values are counted first; running counts over the counted values, a window that sorts and spills, place the points. Nothing is gathered per group.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    lists = counted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("_c").alias("c")))).alias("_l"), F.sum("_c").alias("n"))
-
-    def at(place: Column) -> Column:
-        found = F.aggregate("_l", F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["k"] + x["c"]).alias("k"), F.when(s["k"] < place, x["v"]).otherwise(s["v"]).alias("v")))
-        return found["v"]
-
-    out = lists
-    for p in points:
-        place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), p * (F.col("n") + 1)))
-        low = F.floor(place)
-        out = out.withColumn(f"q{round(100 * p)}", F.round(at(low) + (place - low) * (at(F.ceil(place)) - at(low)), 6))
-    return out.drop("_l")
+    whole = Window.partitionBy(*by)
+    placed = counted.withColumn("_k", F.sum("_c").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(whole))
+    places = {p: F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), p * (F.col("n") + 1))) for p in points}
+    at = lambda i: F.max(F.when((F.col("_k") - F.col("_c") < i) & (F.col("_k") >= i), F.col(value).cast("double")))
+    ends = [x for k, p in enumerate(points) for x in (at(F.floor(places[p])).alias(f"_lo{k}"), at(F.ceil(places[p])).alias(f"_hi{k}"))]
+    out = placed.groupBy(*by).agg(F.max("n").alias("n"), *ends)
+    between = lambda k, p: F.col(f"_lo{k}") + (places[p] - F.floor(places[p])) * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
+    return out.select(*by, "n", *[F.round(between(k, p), 6).alias(f"q{round(100 * p)}") for k, p in enumerate(points)])
 
 
 def bucket_counts(df: DataFrame, value: Column, edges: list[int], name: str = "bucket") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import index
-from quillon.plans.materialize import exploded, keep_where
+from quillon.plans.materialize import cut, exploded, keep_where
 
 
 def _count(tokens: Column, word: str) -> Column:
@@ -114,22 +114,26 @@ def knn(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str
     found: DataFrame | None = None
     part: list[tuple[int, list[float]]] = []
 
-    def scan() -> None:
+    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "neighbour_id")
+
+    def scan(last: bool) -> None:
         nonlocal found
         shared = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], np.float64).reshape(len(part), -1)))
         near = rows.mapInPandas(_nearest(shared, k), "query_id long, neighbour_id long, similarity double")
+        if not last or found is not None:  # several blocks: the best of each are written, so its broadcast can go before the next
+            near = cut(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+            shared.destroy()
         found = near if found is None else found.unionByName(near)
 
     for r in queries.select(F.col(query_key).cast("long").alias("i"), F.col(query_vector).alias("v")).where("i IS NOT NULL AND v IS NOT NULL").toLocalIterator():
-        part.append((r["i"], r["v"]))
         if len(part) >= block:
-            scan()
+            scan(False)
             part = []
+        part.append((r["i"], r["v"]))
     if part:
-        scan()
+        scan(True)
     if found is None:
         return spark.createDataFrame([], "query_id long, neighbour_id long, similarity double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

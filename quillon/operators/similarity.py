@@ -14,6 +14,7 @@ def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart:
 
     Candidates share one of a row's ``anchors`` rarest tokens (by document frequency in the block, then by token), which blocks the join. The score is ``10 * shared + 100 * jaccard + share of
     the source's tokens in percent``; ties go by key. Rows without tokens have no neighbours. Tokens travel with the anchor rows only; all other rows are met through the postings.
+    Of a row's postings the ``min_shared - 1`` most frequent tokens are left out: the rarest shared token of a pair with enough of them has as many behind it, so every such pair still meets, and common words gather no one.
     With ``short`` (token lists of a dozen or so) they travel with the postings too: a pair is judged where it meets, at the first of the source's anchors that the other holds, and only pairs with enough
     shared tokens are shuffled. The result is the same.
     """
@@ -21,18 +22,20 @@ def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart:
     terms = exploded(sets, [*block, key], F.col("_t"), "term")
     freq = terms.groupBy(*block, "term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy(*block, key).orderBy("df", "term")
-    anchor = terms.join(freq, [*block, "term"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= anchors).select(*block, key, "term", "_r")
+    order = terms.join(freq, [*block, "term"]).withColumn("_r", F.row_number().over(rarest)).withColumn("_of", F.count("*").over(Window.partitionBy(*block, key))).where(F.col("_r") <= F.greatest(F.lit(anchors), F.col("_of") - (min_shared - 1)))
+    anchor = order.where(F.col("_r") <= anchors).select(*block, key, "term", "_r")
+    posted = order.where(F.col("_r") <= F.col("_of") - (min_shared - 1)).select(*block, key, "term")
     shared = F.size(F.array_intersect("_t", "_u"))
     if short:
         long_enough = sets.where(F.size("_t") >= min_shared)
         ranked = anchor.groupBy(*block, key).agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_a")).withColumn("_a", F.col("_a.term"))
         source = ranked.join(long_enough, [*block, key]).select(*block, key, apart, "_t", "_a", F.posexplode("_a").alias("_p", "term"))
-        other = exploded(long_enough.select(*block, F.col(key).alias("_c"), F.col(apart).alias("_ca"), F.col("_t").alias("_u")), [*block, "_c", "_ca", "_u"], F.col("_u"), "term")
+        other = posted.join(long_enough, [*block, key]).select(*block, F.col(key).alias("_c"), F.col(apart).alias("_ca"), F.col("_t").alias("_u"), "term")
         met = source.join(other, [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca")) & (shared >= min_shared) & ~F.arrays_overlap(F.slice("_a", F.lit(1), F.col("_p")), F.col("_u")))
         scored = met.select(*block, key, "_c", shared.alias("shared"), F.size("_t").alias("_n"), F.size("_u").alias("_m"))
     else:
         source = anchor.join(sets.select(*block, key, apart), [*block, key])
-        other = terms.join(sets.select(*block, F.col(key), F.col(apart)), [*block, key]).select(*block, "term", F.col(key).alias("_c"), F.col(apart).alias("_ca"))
+        other = posted.join(sets.select(*block, F.col(key), F.col(apart)), [*block, key]).select(*block, "term", F.col(key).alias("_c"), F.col(apart).alias("_ca"))
         pairs = source.join(other, [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca"))).select(*block, key, "_c").distinct()
         right = sets.select(*block, F.col(key).alias("_c"), F.col("_t").alias("_u"))
         scored = pairs.join(sets.select(*block, key, "_t"), [*block, key]).join(right, [*block, "_c"])

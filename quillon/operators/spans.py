@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +17,14 @@ def latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
 def passage_windows(df: DataFrame, group: list[str], order: str, text: str, sizes: list[int]) -> DataFrame:
     """Every run of ``k`` neighbouring rows of a group, for each size: first and last position and the joined text.
 
-    Only complete runs of consecutive positions count. Groups are chapters of a work, which are of bounded length.
+    Only complete runs of consecutive positions count. One window of the largest size gives them all: each row carries that many texts at most.
     """
-    by = Window.partitionBy(*group).orderBy(order)
-    rows = df.select(*group, order, text)
-    parts = []
-    for k in sizes:
-        run = by.rowsBetween(0, k - 1)
-        w = rows.select(*group, F.lit(k).alias("window_size"), F.col(order).alias("start_pos"), F.max(order).over(run).alias("end_pos"), F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(run).alias("texts"))
-        parts.append(w.where((F.size("texts") == k) & (F.col("end_pos") - F.col("start_pos") == k - 1)))
-    return reduce(DataFrame.unionByName, parts).withColumn("text", F.array_join("texts", " ")).drop("texts")
+    run = Window.partitionBy(*group).orderBy(order).rowsBetween(0, max(sizes) - 1)
+    item = F.struct(F.col(order).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = df.select(*group, F.col(order).alias("start_pos"), F.collect_list(item).over(run).alias("_run"))
+    rows = rows.withColumn("window_size", F.explode(F.array(*[F.lit(k) for k in sizes]))).withColumn("end_pos", F.try_element_at("_run", "window_size")["p"])
+    whole = rows.where(F.col("end_pos") - F.col("start_pos") == F.col("window_size") - 1)
+    return whole.select(*group, "window_size", "start_pos", "end_pos", F.array_join(F.slice("_run.t", F.lit(1), F.col("window_size")), " ").alias("text"))
 
 
 def list_windows(items: Column, widths: list[int]) -> Column:
@@ -131,19 +127,20 @@ def contained_spans(df: DataFrame, group: list[str], order: str, text: str, need
     ranges = running_offsets(df, group, order, text)
     joined = df.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("_all"))
     n = len(needle)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_all") - n + 1)), lambda i: F.substring("_all", i, F.lit(n)) == needle)
-    found = joined.where(F.col("_all").contains(needle)).select(*group, F.explode(starts).alias("_s")).select(*group, (F.col("_s") - 1).alias("hit_start"))
+    chars = joined.where(F.col("_all").contains(needle)).select(*group, F.split("_all", "").alias("_c"))
+    here = lambda i: (F.get("_c", i) == needle[0]) & (F.array_join(F.slice("_c", i + 1, n), "") == needle)
+    found = chars.select(*group, F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_c") - n)), here)).alias("hit_start"))
     hits = found.join(ranges, group).where((F.col("char_start") < F.col("hit_start") + n) & (F.col("char_end") > F.col("hit_start")))
     return hits.groupBy(*group, "hit_start").agg(F.min(order).alias("start_pos"), F.max(order).alias("end_pos"))
 
 
 def complete_spans(spans: DataFrame, rows: DataFrame, on: list[str], order: str, start: str, end: str) -> DataFrame:
-    """For each span how many of its positions are there, and whether all are."""
-    keyed = spans.withColumn("_id", F.monotonically_increasing_id())
+    """For each span how many of its positions are there, and whether all are. Equal spans are counted once; a span with a NULL key or end has none."""
+    key = [*on, start, end]
     have = rows.select(*on, F.col(order).alias("_o")).distinct()
-    hits = keyed.join(have, on).where(F.col("_o").between(F.col(start), F.col(end))).groupBy("_id").agg(F.count("*").alias("n_found"))
-    out = keyed.join(hits, "_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
-    return out.withColumn("is_complete", F.col("n_found") == F.col(end) - F.col(start) + 1).drop("_id")
+    hits = spans.select(*key).distinct().join(have, on).where(F.col("_o").between(F.col(start), F.col(end))).groupBy(*key).agg(F.count("*").alias("n_found"))
+    out = spans.join(hits, key, "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    return out.select(*spans.columns, "n_found").withColumn("is_complete", F.col("n_found") == F.col(end) - F.col(start) + 1)
 
 
 def missing_positions(df: DataFrame, group: list[str], order: str) -> DataFrame:

@@ -19,20 +19,19 @@ def latest_state(events: DataFrame, key: str, at: str, tie: str, payload: list[s
 def as_of(requests: DataFrame, states: DataFrame, key: str, at: str, state_at: str, tie: str, payload: list[str], ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Each request with the newest state of its key made before it and not expired then; NULLs where there is none.
 
-    Requests and states of a key are put in one order and the last state is carried forward, so no request meets every state of its key.
+    Requests and states of a key are put in one order and the last state is carried forward, so no request meets every state of its key. Requests travel whole, so nothing is joined back. A NULL key has no state.
     """
     blank = [F.lit(None).cast(states.schema[p].dataType).alias(p) for p in payload]
-    rid = F.monotonically_increasing_id()
-    r = requests.withColumn("_id", rid)
-    rows = r.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(states.schema[tie].dataType).alias("_tie"), "_id", F.lit(None).cast("timestamp").alias("_made"), *blank).unionByName(
-        states.select(F.col(key).alias("_k"), F.col(state_at).alias("_at"), F.lit(0).alias("_kind"), F.col(tie).alias("_tie"), F.lit(None).cast("long").alias("_id"), F.col(state_at).alias("_made"), *payload)
-    )
+    asked = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    rows = requests.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(states.schema[tie].dataType).alias("_tie"), asked.alias("_r"), F.lit(None).cast("timestamp").alias("_made"), *blank)
+    made = states.select(F.col(key).alias("_k"), F.col(state_at).alias("_at"), F.lit(0).alias("_kind"), F.col(tie).alias("_tie"), F.lit(None).cast(rows.schema["_r"].dataType).alias("_r"), F.col(state_at).alias("_made"), *payload)
+    rows = rows.unionByName(made)
     order = Window.partitionBy("_k").orderBy("_at", F.col("_kind").desc(), "_tie").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("_kind") == 0, F.struct("_made", *payload)), ignorenulls=True).over(order)
     found = rows.withColumn("_s", last).where("_kind = 1")
     fresh = F.unix_micros("_s._made") + ttl_seconds * 1_000_000 > F.unix_micros("_at")
-    found = found.select("_id", F.when(fresh, F.col("_s")).alias("_s"))
-    return r.join(found, "_id", "left").drop("_id").select("*", F.col("_s._made").alias("state_at"), *[F.col(f"_s.{p}").alias(f"state_{p}") for p in payload]).drop("_s")
+    found = found.select("_r", F.when(fresh & F.col("_k").isNotNull(), F.col("_s")).alias("_s"))
+    return found.select("_r.*", F.col("_s._made").alias("state_at"), *[F.col(f"_s.{p}").alias(f"state_{p}") for p in payload])
 
 
 def resolve_state(requests: DataFrame, supplied: Column, by_turn: Column, by_session: Column, followup: Column) -> DataFrame:

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a local test session) a temporary folder is set.
+    Only where the session names none and runs in one process (a local test session) a temporary folder is set; on a cluster a folder of one machine would lose what is cut, so that is an error.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-ckpt-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            known = tempfile.mkdtemp(prefix="quillon-ckpt-")
         sc.setCheckpointDir(known)
     return known
 

@@ -56,7 +56,7 @@ def resolve_references(df: DataFrame, key: str, text: str, chapters: DataFrame,
     """References checked against the chapters: the span with its id, or an error code."""
     r = df.select(key, tx.verse_reference(F.col(text)).alias("r")).select(key, "r.surah", "r.ayah_start", "r.ayah_end", F.col("r").isNull().alias("_none"))
     c = chapters.select(F.col(chapter_no).alias("surah"), F.col(length).alias("_n"))
-    rows = r.join(F.broadcast(c), "surah", "left")
+    rows = r.join(c, "surah", "left")
     error = rules.first_match([("no_reference", F.col("_none")), ("unknown_chapter", F.col("_n").isNull()), ("verse_out_of_range", (F.col("ayah_start") < 1) | (F.col("ayah_end") > F.col("_n")))])
     ref = F.when(error.isNull(), tx.format_reference(F.col("surah"), F.col("ayah_start"), F.col("ayah_end")))
     return rows.select(key, "surah", "ayah_start", "ayah_end", error.alias("error"), ref.alias("span_ref"))

@@ -11,6 +11,7 @@ from urllib.parse import quote, unquote, urlsplit
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +47,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, key: list[str] | None
 
 
 def read_optional_csv(spark: SparkSession, path: str, schema: str, text_columns: list[str]) -> DataFrame:
-    """S3: like :func:`read_csv`, an empty table if the file is missing; ``text`` is the first non-blank of the text columns."""
-    df = read_csv(spark, path, schema) if os.path.exists(path.removeprefix("file:")) else spark.createDataFrame([], schema)
+    """S3: like :func:`read_csv`, an empty table if the file is missing on its file system; ``text`` is the first non-blank of the text columns. Any other fault of the read is raised."""
+    try:
+        df = read_csv(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
     return df.withColumn("text", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in text_columns]))
 
 
@@ -56,14 +62,21 @@ def json_lists(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.from_json(c, "array<string>") for c in columns})
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str] = ()) -> DataFrame:
-    """JSON lines; rows that lack a required field are skipped, blank lines too; unreadable lines are dropped."""
-    df = spark.read.json(path, schema=schema, mode="DROPMALFORMED")
+def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str] = (), tolerate: bool = False) -> DataFrame:
+    """JSON lines; rows that lack a required field are skipped, blank lines too. An unreadable line fails the read; only with ``tolerate`` it is left to :func:`unreadable_lines`."""
+    df = spark.read.json(path, schema=schema, mode="DROPMALFORMED" if tolerate else "FAILFAST")
     for c in required:
         df = df.where(F.col(c).isNotNull())
     return df
 
 
+def unreadable_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines that :func:`read_jsonl` with ``tolerate`` leaves out, as ``line``."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _unreadable string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unreadable"})
+    return lines.where(parsed["_unreadable"].isNotNull()).select(F.col("value").alias("line"))
+
+
 def read_verse_xml(spark: SparkSession, path: str) -> DataFrame:
     """Chapters and verses from the attributes of ``sura/aya`` elements."""
     schema = T.StructType(
@@ -169,12 +182,18 @@ def todo(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def _exists(path: str) -> bool:
+    """Whether a path or URI is there, asked of its own file system."""
+    where, at = fs.FileSystem.from_uri(quote(path, safe=":/@%")) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return where.get_file_info(at).type != fs.FileType.NotFound
+
+
 def read_bundle(root: str, version: str, names: list[str], require: bool = False, legacy: str | None = None) -> dict[str, str]:
     """Paths of the assets of a bundle version; the legacy folder where an asset or the bundle is missing, unless the bundle is required."""
     out = {}
     for n in names:
         path = os.path.join(root, version, n)
-        if not os.path.exists(path):
+        if not _exists(path):
             if require or legacy is None:
                 raise FileNotFoundError(path)
             path = os.path.join(legacy, n)

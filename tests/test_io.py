@@ -32,7 +32,21 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_jsonl_skips_incomplete_rows(spark, tmp_path):
     p = _write(tmp_path / "a.jsonl", '{"a":1,"b":["x"]}\n\nnot json\n{"b":["y"]}\n')
-    assert rows(readers.read_jsonl(spark, p, "a int, b array<string>", ["a"])) == [(1, ["x"])]
+    assert rows(readers.read_jsonl(spark, p, "a int, b array<string>", ["a"], tolerate=True)) == [(1, ["x"])]
+    assert rows(readers.unreadable_lines(spark, p, "a int, b array<string>")) == [("not json",)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_jsonl(spark, p, "a int, b array<string>").collect()
+
+
+def test_optional_files_are_looked_for_on_their_own_file_system(spark, tmp_path):
+    p = _write(tmp_path / "here.csv", "k,a\n1, x \n")
+    assert rows(readers.read_optional_csv(spark, f"file://{p}", "k int, a string", ["a"])) == [(1, " x ", "x")]
+    with pytest.raises(Exception, match="(?i)scheme"):
+        readers.read_optional_csv(spark, "nosuchfs://host/a.csv", "k int, a string", ["a"])
+    _write(tmp_path / "v1" / "a.csv", "x")
+    assert readers.read_bundle(f"file://{tmp_path}", "v1", ["a.csv"]) == {"a.csv": f"file://{tmp_path}/v1/a.csv"}
+    with pytest.raises(FileNotFoundError):
+        readers.read_bundle(f"file://{tmp_path}", "v1", ["b.csv"], require=True)
 
 
 def test_verse_xml(spark, tmp_path):
