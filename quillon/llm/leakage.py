@@ -69,29 +69,26 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-class _BitSums:
-    """Running sums of the bits of shingle hashes, from which the SimHashes of windows of any length follow: bit by bit the majority."""
-
-    def __init__(self, shingles: np.ndarray) -> None:
-        self.shingles = shingles
-
-    def simhashes(self, per_window: int) -> np.ndarray:
-        """SimHash of every window of ``per_window`` neighbouring shingles; 0 where fewer are left."""
-        n = len(self.shingles) - per_window + 1
-        out = np.zeros(len(self.shingles) + SHINGLE - 1, np.uint64)
-        for at in range(0, max(0, n), 16384):
-            part = self.shingles[at : at + 16384 + per_window - 1]
-            m = len(part) - per_window + 1
-            kind = np.int16 if per_window < 1 << 15 else np.int32  # differences are right even where sums wrap around
-            sums = np.zeros((len(part) + 1, 64), kind)
-            np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
-            out[at : at + m] = np.packbits(sums[per_window:] - sums[:-per_window] > per_window // 2, axis=1).view(np.uint64).ravel()
-        return out
+def window_prints(shingles: np.ndarray, per_window: list[int]) -> dict[int, np.ndarray]:
+    """SimHashes of all windows of so many neighbouring shingles, for each number: bit by bit the majority, from running sums of the bits that are made once for all lengths. 0 where fewer shingles are left."""
+    out = {k: np.zeros(len(shingles) + SHINGLE - 1, np.uint64) for k in per_window}
+    longest = max(per_window, default=0)
+    kind = np.int16 if longest < 1 << 15 else np.int32  # differences are right even where sums wrap around
+    step = max(4096, 2 * longest)
+    for at in range(0, len(shingles), step):
+        part = shingles[at : at + step + longest - 1]
+        sums = np.zeros((len(part) + 1, 64), kind)
+        np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
+        for k in per_window:
+            m = min(step, len(part) - k + 1)
+            if m > 0:
+                out[k][at : at + m] = np.packbits((sums[k : k + m] - sums[:m]) > k // 2, axis=1).view(np.uint64).ravel()
+    return out
 
 
 def simhashes(shingles: np.ndarray, per_window: int) -> np.ndarray:
     """SimHash of every window of ``per_window`` neighbouring shingles."""
-    return _BitSums(shingles).simhashes(per_window)[: max(0, len(shingles) - per_window + 1)]
+    return window_prints(shingles, [per_window])[per_window][: max(0, len(shingles) - per_window + 1)]
 
 
 class MultiIndex:
@@ -144,10 +141,13 @@ def graded(n: int) -> int:
 class _Index:
     """Windows of items with their fingerprints. Equal fingerprints are entered once."""
 
-    def __init__(self, prints: list[np.ndarray], owner: list[np.ndarray], place: list[np.ndarray], length: list[np.ndarray], radius: int, blocks: int) -> None:
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.owner, self.place, self.length = join(owner, np.int64), join(place, np.int64), join(length, np.int64)
-        self.unique, group = np.unique(join(prints, np.uint64), return_inverse=True)
+    def __init__(self, items: list[tuple[int, np.ndarray]], size: int, radius: int, blocks: int) -> None:
+        """Windows of ``size`` words of the items ``(position, words)``."""
+        k = min(SHINGLE, size)
+        prints = [simhashes(shingle_hashes(w, k), size - k + 1) if len(w) >= size else np.zeros(0, np.uint64) for _, w in items]
+        self.owner = np.repeat(np.array([i for i, _ in items], np.int64), [len(f) for f in prints])
+        self.place = np.concatenate([np.arange(len(f)) for f in prints]) if prints else np.zeros(0, np.int64)
+        self.unique, group = np.unique(np.concatenate(prints) if prints else np.zeros(0, np.uint64), return_inverse=True)
         self.members = np.argsort(group, kind="stable")
         self.starts = np.searchsorted(group[self.members], np.arange(len(self.unique) + 1))
         self.table = MultiIndex(self.unique, radius, blocks)
@@ -165,17 +165,10 @@ class _Items:
     def __init__(self, rows: list[tuple[int, np.ndarray]], window: int, radius: int, whole_radius: int, blocks: int) -> None:
         self.window, self.per = window, window - SHINGLE + 1
         self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
-        parts, wholes = ([], [], [], []), ([], [], [], [])
-        for i, w in enumerate(self.words):
-            for (prints, owner, place, length), size in ((parts, window), (wholes, graded(len(w)))):
-                k = min(SHINGLE, size)
-                f = simhashes(shingle_hashes(w, k), size - k + 1) if 0 < size <= len(w) else np.zeros(0, np.uint64)
-                prints.append(f)
-                owner.append(np.full(len(f), i))
-                place.append(np.arange(len(f)))
-                length.append(np.full(len(f), size))
-        self.parts, self.wholes = _Index(*parts, radius, blocks), _Index(*wholes, whole_radius, blocks)
-        self.lengths = np.unique(self.wholes.length).tolist()
+        numbered = list(enumerate(self.words))
+        self.parts = _Index(numbered, window, radius, blocks)
+        lengths = sorted({graded(len(w)) for w in self.words if len(w)})
+        self.wholes = {size: _Index([(i, w) for i, w in numbered if graded(len(w)) == size], size, whole_radius, blocks) for size in lengths}
         self.sizes = [max(1, min(SHINGLE, len(w))) for w in self.words]
         self.shingles = [shingle_hashes(w, k) for w, k in zip(self.words, self.sizes)]
         shared = Counter(h for s in self.shingles for h in np.unique(s).tolist())
@@ -215,12 +208,12 @@ def _scan(shared) -> object:
                 starts = np.cumsum(lengths) - lengths
                 owner = np.repeat(np.arange(len(docs)), lengths)
                 room = np.repeat(starts + lengths, lengths) - np.arange(len(flat))  # words from here to the end of the document
-                shingles = shingle_hashes(flat)
-                bits = _BitSums(shingles)
+                sizes = {items.window, *items.wholes}
+                bits = window_prints(shingle_hashes(flat), [s - SHINGLE + 1 for s in sorted(sizes) if s >= SHINGLE])
 
                 def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
                     pos = np.flatnonzero(room >= size)
-                    prints = bits.simhashes(size - SHINGLE + 1) if size >= SHINGLE else shingle_hashes(flat, size)
+                    prints = bits[size - SHINGLE + 1] if size >= SHINGLE else shingle_hashes(flat, size)
                     return pos, prints[pos]
 
                 pos, prints = windows(items.window)
@@ -232,11 +225,10 @@ def _scan(shared) -> object:
                 cuts = np.flatnonzero(np.diff(pair)) + 1
                 hits = {int(p[0]): (a, b) for p, a, b in zip(np.split(pair, cuts), np.split(x, cuts), np.split(m, cuts))} if len(pair) else {}
                 found = set(hits)
-                for size in items.lengths:
+                for size, index in items.wholes.items():
                     pos, prints = windows(size)
-                    x, m = items.wholes.find(prints)
-                    same = items.wholes.length[m] == size
-                    found |= set((owner[pos[x[same]]] * len(items.ids) + items.wholes.owner[m[same]]).tolist())
+                    x, m = index.find(prints)
+                    found |= set((owner[pos[x]] * len(items.ids) + index.owner[m]).tolist())
                 rows = []
                 for p in sorted(found):
                     d, i = divmod(p, len(items.ids))
