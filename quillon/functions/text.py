@@ -18,8 +18,9 @@ CANONICAL_TOKENS = {"angry": "anger", "provision": "rizq", "provisions": "rizq",
 # Synonyms that widen a search.
 SYNONYMS = {
     "sabr": ["patience"], "patience": ["sabr"], "niyyah": ["intention", "intentions"], "intention": ["niyyah", "intentions"], "intentions": ["niyyah", "intention"],
-    "taqwa": ["piety"], "piety": ["taqwa"], "tawakkul": ["reliance", "trust"], "reliance": ["tawakkul"], "iman": ["faith"], "faith": ["iman"], "mercy": ["rahmah"], "rahmah": ["mercy"],
-    "hardship": ["difficulty"], "difficulty": ["hardship"],
+    "taqwa": ["piety", "godconsciousness", "god-consciousness"], "piety": ["taqwa"], "rizq": ["provision", "provisions", "sustenance", "livelihood"], "provision": ["rizq", "sustenance", "livelihood"],
+    "sustenance": ["rizq", "provision", "livelihood"], "livelihood": ["rizq", "provision", "sustenance"], "tawakkul": ["reliance", "trust"], "reliance": ["tawakkul"], "iman": ["faith"], "faith": ["iman"],
+    "mercy": ["rahmah"], "rahmah": ["mercy"], "hardship": ["difficulty"], "difficulty": ["hardship"], "anger": ["angry", "do not get angry", "don't get angry"], "angry": ["anger", "do not get angry", "don't get angry"],
 }
 # Letters folded in the light and the further letters folded in the aggressive Arabic form.
 ARABIC_LIGHT_FROM, ARABIC_LIGHT_TO = "أإآٱٲٳٵؤئىء", "اااااااويي"

@@ -38,13 +38,19 @@ def topics_by_hits(c: Column, aliases: dict[str, list[str]]) -> Column:
 
 
 # Question openings, markers of guidance units and their scores by role.
-QUESTION_OPENINGS = ["what ", "how ", "why ", "who ", "when ", "where ", "which ", "is ", "does ", "can ", "tell me ", "explain "]
+QUESTION_OPENINGS = ["what ", "how ", "where ", "when ", "why ", "is this", "does this", "which "]
+META_MARKERS = ["هل هذه آية", "هل هذا من القرآن", "اين ورد", "أين ورد", "في القرآن", "في القران"]
+GENERIC_TOKENS = [
+    "من", "في", "على", "الى", "إلى", "عن", "ما", "ماذا", "كيف", "هل", "قال", "قالوا", "الله", "للَّه", "الناس", "يوم", "رب", "ربك", "ربهم", "هذا", "هذه", "ذلك", "تلك", "كل", "بعض", "ان", "إن", "لا", "لن",
+]
 ROLE_MARKERS = {
-    "direct_moral_instruction": ["do not ", "you should", "you must", "let no ", "let him ", "be kind", "give charity"],
-    "warning": ["beware", "woe to", "punish", "forbid", "curse"],
-    "virtue_statement": ["reward", "better that", "the best of", "virtue", "paradise"],
-    "narrative_incident": ["narrated", "asked ", "returned ", "once ", "came to"],
-}
+    "direct_moral_instruction": ["do not", "beware", "shall not", "should not", "must not", "none of you", "whoever", "the best", "best of"],
+    "warning": ["beware", "warning", "punishment", "do not", "forbidden", "woe"],
+    "virtue_statement": ["best", "virtue", "reward", "superior", "believer", "good deed", "patience is"],
+    "narrative_incident": [
+        "while we were", "then a man", "thereupon", "they asked", "she asked", "he asked", "during", "journey", "campaign", "battle", "wives of the prophet", "noticed anger on his face",
+    ],
+}
 ACTIVE_ROLES = ["direct_moral_instruction", "warning", "virtue_statement"]
 
 
@@ -53,14 +59,19 @@ def assess_text(c: Column, least_chars: int = 6, least_tokens: int = 2) -> Colum
     norm = tx.arabic_light(c)
     tokens = tx.words(norm)
     low = F.ltrim(F.lower(tx.text_or_empty(c)))
-    question = tx.text_or_empty(c).contains("?") | reduce(lambda a, b: a | b, [low.startswith(q) for q in QUESTION_OPENINGS])
+    question = tx.text_or_empty(c).contains("?") | reduce(lambda a, b: a | b, [low.startswith(q) for q in QUESTION_OPENINGS]) | reduce(lambda a, b: a | b, [tx.text_or_empty(c).contains(m) for m in META_MARKERS])
+    count = lambda test: F.size(F.filter(tokens, test))
+    generic, short = count(lambda t: t.isin(*GENERIC_TOKENS)), count(lambda t: F.length(t) <= 3)
+    first, second = F.try_element_at(tokens, F.lit(1)), F.try_element_at(tokens, F.lit(2))
+    n, distinct, tiny = F.size(tokens), F.size(F.array_distinct(tokens)), count(lambda t: F.length(t) <= 1)
     reason = first_match(
         [
             ("empty_after_normalization", norm == ""),
             ("question_or_meta_query", question),
             ("too_short", (F.length(norm) < least_chars) | (F.size(tokens) < least_tokens)),
-            ("short_repeated_phrase", (F.size(tokens) <= 4) & (F.size(F.array_distinct(tokens)) == 1)),
-            ("low_structural_signal", F.size(F.filter(tokens, lambda t: F.length(t) >= 2)) < least_tokens),
+            ("generic_two_token_input", (n == 2) & ((first == second) | (generic == 2) | ((generic >= 1) & (short == 2)))),
+            ("short_repeated_phrase", (n <= 3) & (distinct < n)),
+            ("low_structural_signal", (tiny >= F.greatest(F.lit(2), F.floor((n + 1) / 2))) | ((n >= 3) & (distinct == 1))),
         ],
         "sufficient_signal",
     )
@@ -137,7 +148,7 @@ def unit_scores(c: Column, role: Column, n_concepts: Column, confidence: Column)
     active = role.isin(*ACTIVE_ROLES)
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(x, 3)))
     by_role = F.when(role == "direct_moral_instruction", 0.74).when(role == "warning", 0.68).when(role == "virtue_statement", 0.66).otherwise(0.26)
-    direct = clip(by_role + F.when(any_of(c, ["the prophet"]), 0.06).otherwise(0.0) + F.when(n <= 220, 0.06).when(n >= 700, -0.14).when(n >= 420, -0.08).otherwise(0.0))
+    direct = clip(by_role + F.when(any_of(c, ["the prophet", "allah's messenger"]), 0.06).otherwise(0.0) + F.when(n <= 220, 0.06).when(n >= 700, -0.14).when(n >= 420, -0.08).otherwise(0.0))
     answer = clip(0.28 + 0.12 * F.least(n_concepts, F.lit(2)) + 0.18 * confidence + F.when(active, 0.1).otherwise(0.0) + F.when(n <= 240, 0.06).when(n >= 500, -0.08).otherwise(0.0))
     narrative = clip(F.when(role == "narrative_incident", 0.14).otherwise(0.03) + F.when(any_of(c, ROLE_MARKERS["narrative_incident"]), 0.12).otherwise(0.0) + F.when(n >= 700, 0.24).when(n >= 360, 0.12).otherwise(0.0))
     concept = F.when(n_concepts > 0, F.least(F.lit(0.22), 0.12 * n_concepts)).otherwise(0.0)

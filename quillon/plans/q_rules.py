@@ -23,23 +23,25 @@ def _marks(c: str, markers: list[str]) -> str:
 
 
 def m11_unit_scores(spark: SparkSession, root: str) -> DataFrame:
-    """Role and scores of every guidance unit from its text."""
+    """Role and scores of every guidance unit from its text."""
     rows = rules.with_unit_scores(_units(spark, root), "span_text", "role", F.size("central_concept_ids"), F.lit(0.9))
     return rows.select("guidance_unit_id", "role", "directness", "answerability", "narrative", "rank_score")
 
 
 def _sql_unit_scores() -> str:
     t, role = "span_text", "role"
-    case = "CASE " + " ".join(f"WHEN {_marks(t, m)} THEN '{r}'" for r, m in rules.ROLE_MARKERS.items()) + " ELSE 'narrative_incident' END"
+    case = f"""CASE WHEN {_marks(t, ['do not', 'beware', 'shall not', 'should not', 'must not', 'none of you', 'whoever', 'the best', 'best of'])} THEN 'direct_moral_instruction'
+WHEN {_marks(t, ['beware', 'warning', 'punishment', 'do not', 'forbidden', 'woe'])} THEN 'warning' WHEN {_marks(t, ['best', 'virtue', 'reward', 'superior', 'believer', 'good deed', 'patience is'])} THEN 'virtue_statement' ELSE 'narrative_incident' END"""
+    told = _marks(t, ["while we were", "then a man", "thereupon", "they asked", "she asked", "he asked", "during", "journey", "campaign", "battle", "wives of the prophet", "noticed anger on his face"])
     active = f"{role} IN ('direct_moral_instruction', 'warning', 'virtue_statement')"
     clip = lambda x: f"greatest(0.0, least(1.0, round({x}, 3)))"
     direct = clip(
-        f"CASE {role} WHEN 'direct_moral_instruction' THEN 0.74 WHEN 'warning' THEN 0.68 WHEN 'virtue_statement' THEN 0.66 ELSE 0.26 END + CASE WHEN contains(lower({t}), 'the prophet') THEN 0.06 ELSE 0 END"
+        f"CASE {role} WHEN 'direct_moral_instruction' THEN 0.74 WHEN 'warning' THEN 0.68 WHEN 'virtue_statement' THEN 0.66 ELSE 0.26 END + CASE WHEN contains(lower({t}), 'the prophet') OR contains(lower({t}), 'allah''s messenger') THEN 0.06 ELSE 0 END"
         f" + CASE WHEN length({t}) <= 220 THEN 0.06 WHEN length({t}) >= 700 THEN -0.14 WHEN length({t}) >= 420 THEN -0.08 ELSE 0 END"
     )
     answer = clip(f"0.28 + 0.12 * least(n, 2) + 0.18 * 0.9 + CASE WHEN {active} THEN 0.1 ELSE 0 END + CASE WHEN length({t}) <= 240 THEN 0.06 WHEN length({t}) >= 500 THEN -0.08 ELSE 0 END")
     narrative = clip(
-        f"CASE WHEN {role} = 'narrative_incident' THEN 0.14 ELSE 0.03 END + CASE WHEN {_marks(t, rules.ROLE_MARKERS['narrative_incident'])} THEN 0.12 ELSE 0 END + CASE WHEN length({t}) >= 700 THEN 0.24 WHEN length({t}) >= 360 THEN 0.12 ELSE 0 END"
+        f"CASE WHEN {role} = 'narrative_incident' THEN 0.14 ELSE 0.03 END + CASE WHEN {told} THEN 0.12 ELSE 0 END + CASE WHEN length({t}) >= 700 THEN 0.24 WHEN length({t}) >= 360 THEN 0.12 ELSE 0 END"
     )
     rank = clip(f"0.34 * 0.9 + 0.22 * directness + 0.22 * answerability + CASE WHEN n > 0 THEN least(0.22, 0.12 * n) ELSE 0 END + CASE WHEN {active} THEN 0.12 ELSE -0.02 END - 0.22 * narrative")
     return f"""WITH {_UNITS}, r AS (SELECT guidance_unit_id, span_text, len(central_concept_ids) AS n, {case} AS role FROM u),
@@ -47,15 +49,16 @@ s AS (SELECT *, CAST({direct} AS DOUBLE) AS directness, CAST({answer} AS DOUBLE)
 
 
 def p20_assessed_units(spark: SparkSession, root: str) -> DataFrame:
-    """Whether each unit's text can be verified, and why not."""
+    """P20: whether each unit's text can be verified, and why not."""
     rows = _units(spark, root).select("guidance_unit_id", rules.assess_text(F.col("span_text")).alias("a"))
     return rows.select("guidance_unit_id", "a.mode", "a.reason")
 
 
 _P20N = r"trim(regexp_replace(regexp_replace(regexp_replace(span_text, '(^|\s)[(\[{]*[0-9]+[)\]}]*(\s|$)', ' ', 'g'), '[،؛؟۔,;?!:.…]', ' ', 'g'), '\s+', ' ', 'g'))"
 _P20 = f"""WITH {_UNITS}, n AS (SELECT guidance_unit_id, ltrim(lower(span_text)) AS low, span_text, {_P20N} AS n FROM u), w AS (SELECT *, {sq.words('n')} AS w FROM n),
-r AS (SELECT guidance_unit_id, CASE WHEN n = '' THEN 'empty_after_normalization' WHEN contains(span_text, '?') OR {' OR '.join(f"starts_with(low, '{q}')" for q in rules.QUESTION_OPENINGS)} THEN 'question_or_meta_query'
-WHEN length(n) < 6 OR len(w) < 2 THEN 'too_short' WHEN len(w) <= 4 AND len(list_distinct(w)) = 1 THEN 'short_repeated_phrase' WHEN len(list_filter(w, lambda t: length(t) >= 2)) < 2 THEN 'low_structural_signal' ELSE 'sufficient_signal' END AS reason FROM w)
+r AS (SELECT guidance_unit_id, CASE WHEN n = '' THEN 'empty_after_normalization' WHEN contains(span_text, '?') OR regexp_matches(low, '^(what |how |where |when |why |is this|does this|which )') OR regexp_matches(span_text, 'هل هذه آية|هل هذا من القرآن|اين ورد|أين ورد|في القرآن|في القران') THEN 'question_or_meta_query'
+WHEN length(n) < 6 OR len(w) < 2 THEN 'too_short' WHEN len(w) = 2 AND (w[1] = w[2] OR (list_contains(['من', 'في', 'على', 'عن', 'ما', 'كيف', 'هل', 'قال', 'الله', 'يوم', 'رب', 'هذا', 'ذلك', 'كل', 'لا', 'لن'], w[1]) AND length(w[1]) <= 3 AND length(w[2]) <= 3)) THEN 'generic_two_token_input'
+WHEN len(w) <= 3 AND len(list_distinct(w)) < len(w) THEN 'short_repeated_phrase' WHEN len(list_filter(w, lambda t: length(t) <= 1)) >= greatest(2, (len(w) + 1) // 2) OR (len(w) >= 3 AND len(list_distinct(w)) = 1) THEN 'low_structural_signal' ELSE 'sufficient_signal' END AS reason FROM w)
 SELECT guidance_unit_id, CASE reason WHEN 'sufficient_signal' THEN 'verify_like' WHEN 'question_or_meta_query' THEN 'ask_like' ELSE 'cannot_assess' END AS mode, reason FROM r"""
 
 
