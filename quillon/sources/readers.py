@@ -98,13 +98,13 @@ def read_chapter_files(spark: SparkSession, folder: str, pattern: str = "chapter
     ``issues`` names what is wrong with the file: file name and content disagree, the count is wrong, verses are missing, repeated or of another chapter, fields are missing.
     """
     files = spark.read.schema(CHAPTER_FILE).json(folder, pathGlobFilter=pattern, multiLine=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    verses = F.transform("tafsirs", lambda x: F.split_part(x["verse_key"], F.lit(":"), F.lit(2)).cast("int"))
+    verses = F.transform("tafsirs", lambda x: F.split_part(x["verse_key"], F.lit(":"), F.lit(2)).try_cast("int"))
     n = F.size("tafsirs")
     checks = {
-        "file_name": F.regexp_extract("file", r"(\d+)\.json", 1).cast("int") == F.col("chapter_number"),
+        "file_name": F.regexp_extract("file", r"(\d+)\.json", 1).try_cast("int") == F.col("chapter_number"),
         "count": F.col("count") == n,
         "resource": ~F.exists("tafsirs", lambda x: ~x["resource_id"].eqNullSafe(F.col("resource_id"))),
-        "chapter": ~F.exists("tafsirs", lambda x: ~F.split_part(x["verse_key"], F.lit(":"), F.lit(1)).cast("int").eqNullSafe(F.col("chapter_number"))),
+        "chapter": ~F.exists("tafsirs", lambda x: ~F.split_part(x["verse_key"], F.lit(":"), F.lit(1)).try_cast("int").eqNullSafe(F.col("chapter_number"))),
         "fields": ~F.exists("tafsirs", lambda x: x["id"].isNull() | x["verse_key"].isNull() | x["text"].isNull()),
         "duplicates": F.size(F.array_distinct(verses)) == n,
         "contiguous": F.array_sort(verses) == F.sequence(F.lit(1), F.greatest(F.lit(1), n)),
@@ -112,7 +112,7 @@ def read_chapter_files(spark: SparkSession, folder: str, pattern: str = "chapter
     }
     issues = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
     rows = files.withColumn("issues", issues).select("file", F.col("resource_id").alias("file_resource_id"), "chapter_number", "issues", F.explode_outer("tafsirs").alias("t"))
-    return rows.select("file", "chapter_number", "issues", "t.*", F.split_part("t.verse_key", F.lit(":"), F.lit(2)).cast("int").alias("ayah_no"))
+    return rows.select("file", "chapter_number", "issues", "t.*", F.split_part("t.verse_key", F.lit(":"), F.lit(2)).try_cast("int").alias("ayah_no"))
 
 
 def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
