@@ -195,7 +195,7 @@ def resolve_topics(df: DataFrame, key: str, text: str, topics: list[Topic], leas
         scores.append(F.struct(F.round(-sum(parts, F.lit(0.0)), 6).alias("s"), F.lit(t.slug).alias("slug")))
     ranked = df.select(key, F.array_sort(F.filter(F.array(*scores), lambda x: x["s"] < 0)).alias("_r"))
     first, second = F.try_element_at("_r", F.lit(1)), F.try_element_at("_r", F.lit(2))
-    top, next_ = -F.coalesce(first["s"], F.lit(0.0)), -F.coalesce(second["s"], F.lit(0.0))
+    top, next_ = F.abs(F.coalesce(first["s"], F.lit(0.0))), F.abs(F.coalesce(second["s"], F.lit(0.0)))
     return ranked.select(
         key, F.when(top >= least, first["slug"]).alias("topic"), top.alias("score"), ((top >= least) & (top - next_ >= margin)).alias("is_sure"),
         F.transform(F.filter(F.slice("_r", 2, 5), lambda x: x["s"] <= -floor), lambda x: x["slug"]).alias("secondary"),
