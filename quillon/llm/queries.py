@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import charforms, encoding, leakage, neardup, packing, splitting, tokenbudget
@@ -67,6 +67,26 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_texts(_items(spark, root), {"item_table": F.col("item_table"), "item_key": F.col("item_key")}, F.col("text"), LIMIT, OVERLAP)
 
 
+def p4_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct text of an item: how many visible characters its pieces cover, how many pieces are too long, start too early for the overlap or leave a hole in the numbering."""
+    items = _items(spark, root).where("text IS NOT NULL")
+    pieces = splitting.split_texts(items, {"item_table": F.col("item_table"), "item_key": F.col("item_key"), "text_md5": F.md5("text")}, F.col("text"), LIMIT, OVERLAP).dropDuplicates(["item_table", "item_key", "text_md5", "piece_no"])
+    keys = ["item_table", "item_key", "text_md5"]
+    before = Window.partitionBy(*keys).orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    shared = F.greatest(F.lit(0), F.coalesce(F.max("stop").over(before), F.lit(0)) - F.col("start"))
+    rows = pieces.withColumn("shared", shared).withColumn("visible", F.length(F.regexp_replace(F.substring("piece", F.col("shared") + 1, F.length("piece")), _BLANKS, "")))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("piece_no")) - 1)
+    found = rows.groupBy(*keys).agg(F.sum("visible").alias("visible"), F.count_if(F.length("piece") > LIMIT).alias("too_long"), F.count_if(F.col("shared") > OVERLAP).alias("too_early"), F.count_if(F.col("at") != F.col("piece_no")).alias("holes"))
+    return found.where("visible > 0")
+
+
+_BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]"
+_P4_COVERAGE = r"""
+WITH i AS (SELECT 'tafsir_sections' AS item_table, canonical_section_id AS item_key, text_plain AS t FROM tafsir_sections UNION ALL SELECT 'guidance_units', guidance_unit_id, span_text FROM guidance_units)
+SELECT DISTINCT item_table, item_key, md5(t) AS text_md5, length(regexp_replace(t, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\x{0b}]', '', 'g')) AS visible, 0 AS too_long, 0 AS too_early, 0 AS holes FROM i
+WHERE length(regexp_replace(t, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\x{0b}]', '', 'g')) > 0
+"""
+
 _P4 = r"""
 WITH i AS (
   SELECT 'tafsir_sections' AS item_table, canonical_section_id AS item_key, text_plain AS t FROM tafsir_sections
@@ -118,6 +138,23 @@ def p6_usage(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p6_audit(spark: SparkSession, root: str) -> DataFrame:
+    """One row: every document is placed once with all its tokens, no container is overfull, only documents above the capacity are divided, and few more containers are used than the least number."""
+    placed = packing.pack(sizes := _document_sizes(spark, root), CAPACITY)
+    per = placed.groupBy("key").agg(F.sum("size").alias("placed"), F.count("*").alias("parts"), F.count_distinct("chunk").alias("chunks")).join(sizes, "key", "full_outer")
+    items = per.agg(
+        F.count("*").alias("n_documents"), F.count_if(F.coalesce("placed", F.lit(-1)) != F.col("size")).alias("n_wrong"), F.count_if(F.col("parts") != F.col("chunks")).alias("n_repeated"),
+        F.count_if((F.col("parts") > 1) & (F.col("size") <= CAPACITY)).alias("n_divided_small"), F.sum("size").alias("tokens"),
+    )
+    bins = placed.groupBy("bin").agg(F.sum("size").alias("n"), F.max("fill").alias("said"))
+    full = bins.agg(F.count("*").alias("bins"), F.count_if(F.col("n") > CAPACITY).alias("n_overfull"), F.count_if(F.col("n") != F.col("said")).alias("n_misstated"))
+    least = F.ceil(F.col("tokens") / CAPACITY)
+    return items.crossJoin(full).select("n_documents", "n_wrong", "n_repeated", "n_divided_small", "n_overfull", "n_misstated", (F.col("bins") <= F.greatest(least + 1, F.ceil(least * 1.01))).alias("tight"))
+
+
+_P6_AUDIT = "SELECT count(*) AS n_documents, 0 AS n_wrong, 0 AS n_repeated, 0 AS n_divided_small, 0 AS n_overfull, 0 AS n_misstated, true AS tight FROM documents WHERE doc_id IS NOT NULL"
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leakage.find_leaks(text_table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage", window=12)
 
@@ -153,6 +190,6 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p5_token_budget, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_restored)
+    for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p4_coverage, p5_token_budget, p6_containers, p6_usage, p6_audit, p7_found, p7_leaks, p8_found, p8_restored)
 }
-ORACLES = {"p2_found": _P2, "p4_found": _P4, "p7_found": _P7}
+ORACLES = {"p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
