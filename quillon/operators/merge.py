@@ -27,6 +27,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], f
     return both.select(*[key(k).alias(k) for k in keys], *[take(f).alias(f) for f in fields], outcome.alias("outcome"))
 
 
+def upsert_with_children(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], old_children: DataFrame, new_children: DataFrame, child_fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """K8: a merge of parents and of their children, one child per parent, keyed by the parent. Children of the batch whose parent is in neither table are left out."""
+    parents = upsert(old, new, keys, fields)
+    known = new_children.join(parents.select(*keys), keys, "left_semi")
+    return parents, upsert(old_children, known, keys, child_fields)
+
+
 def outcome_counts(merged: DataFrame) -> DataFrame:
     """How many rows had each outcome."""
     return merged.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -198,12 +198,12 @@ count(*) FILTER (o AND NOT n) AS n_kept, 'completed' AS status FROM x"""
 
 def k29_audit_totals(spark: SparkSession, root: str) -> DataFrame:
     """Runs added up from their events: counters, last status, first and last time."""
-    ev = table(spark, root, "events")
-    run, at = ev.columns[1], next(c for c, t in ev.dtypes if t.startswith("timestamp"))
-    e = ev.select(F.col(run).cast("string").alias("run_id"), F.lit(1).alias("n"), F.col(ev.columns[0]).cast("long").alias("k"), F.col(at).alias("at"))
-    e = e.withColumn("status", F.when(F.col("k") % 2 == 0, "running").otherwise("completed"))
-    last = merge.run_totals(e.withColumn("order", F.struct("at", "k")), "run_id", ["n"], "status", "order")
-    return last.select("run_id", "n", "status", F.unix_micros("opened_at.at").alias("opened"), F.unix_micros("closed_at.at").alias("closed"))
+    e = table(spark, root, "events").select(F.col("user_id").alias("run_id"), F.lit(1).alias("n"), F.when(F.col("event_id") % 2 == 0, "running").otherwise("completed").alias("status"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("at"))
+    last = merge.run_totals(e, "run_id", ["n"], "status", "at")
+    return last.select("run_id", "n", "status", F.unix_micros("opened_at.ts").alias("opened"), F.unix_micros("closed_at.ts").alias("closed"))
+
+
+_K29 = "SELECT user_id AS run_id, count(*) AS n, CASE WHEN arg_max(event_id, (ts, event_id)) % 2 = 0 THEN 'running' ELSE 'completed' END AS status, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) AS closed FROM events GROUP BY user_id"
 
 
 def j28_contained_references(spark: SparkSession, root: str) -> DataFrame:
@@ -216,6 +216,32 @@ def j28_contained_references(spark: SparkSession, root: str) -> DataFrame:
 _J28 = r"SELECT doc_id, coalesce(CAST(regexp_extract(quran_ref, '(\d+):(\d+)', 2) AS INTEGER) >= 1 AND greatest(CAST(regexp_extract(quran_ref, '(\d+):(\d+)', 2) AS INTEGER), coalesce(TRY_CAST(nullif(regexp_extract(quran_ref, '(\d+):(\d+)-(\d+)', 3), '') AS INTEGER), 0)) <= 10, false) AS inside FROM documents WHERE quran_ref IS NOT NULL"
 
 
+def k08_nested_merge(spark: SparkSession, root: str) -> DataFrame:
+    """K8: entries and their gradings merged in one go, as the outcomes of both."""
+    e = table(spark, root, "hadith_entries").select("work_id", "collection_hadith_number", F.md5("arabic_text").alias("t"), F.length("narrator_chain_text").alias("g"), "id")
+    key = ["work_id", "collection_hadith_number"]
+    old, new = e.where("id % 5 <> 0").withColumn("t", F.when(F.col("id") % 7 == 0, "old").otherwise(F.col("t"))), e.where("id % 3 <> 0")
+    parents, grades = merge.upsert_with_children(old, new, key, ["t"], e.where("id % 4 <> 0").withColumn("g", F.when(F.col("id") % 2 == 0, F.col("g") + 1).otherwise(F.col("g"))), e.where("id % 5 <> 1"), ["g"])
+    return parents.select(*key, F.col("outcome").alias("entry")).join(grades.select(*key, "g", F.col("outcome").alias("grading")), key, "full_outer")
+
+
+_K08 = """WITH p AS (SELECT work_id, collection_hadith_number, CASE WHEN id % 3 = 0 THEN 'kept' WHEN id % 5 = 0 THEN 'inserted' WHEN id % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS entry FROM hadith_entries WHERE id % 5 <> 0 OR id % 3 <> 0),
+c AS (SELECT h.*, length(narrator_chain_text) AS n, id % 4 <> 0 AS o, id % 5 <> 1 AND (id % 5 <> 0 OR id % 3 <> 0) AS w FROM hadith_entries h),
+g AS (SELECT work_id, collection_hadith_number, CASE WHEN w THEN n WHEN id % 2 = 0 THEN n + 1 ELSE n END AS g, CASE WHEN NOT w THEN 'kept' WHEN NOT o THEN 'inserted' WHEN id % 2 = 0 AND n IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS grading FROM c WHERE o OR w)
+SELECT * FROM p FULL JOIN g USING (work_id, collection_hadith_number)"""
+
+
+def k15_seeded_works(spark: SparkSession, root: str) -> DataFrame:
+    """The registry of works seeded again from a fixed list: outcomes of one changed, one new and one equal entry."""
+    old = table(spark, root, "source_works").select("source_id", "priority_rank", "enabled")
+    first = old.orderBy("source_id").limit(2)
+    seeds = first.withColumn("priority_rank", F.when(F.col("source_id") == first.agg(F.min("source_id")).first()[0], -1).otherwise(F.col("priority_rank"))).unionByName(spark.createDataFrame([("new:work", 1, True)], "source_id string, priority_rank int, enabled boolean"))
+    return merge.outcome_counts(merge.upsert(old, seeds, ["source_id"], ["priority_rank", "enabled"]))
+
+
+_K15 = "SELECT * FROM (SELECT 'updated' AS outcome, 1 AS n UNION ALL SELECT 'inserted', 1 UNION ALL SELECT 'unchanged', 1 UNION ALL SELECT 'kept', count(*) - 2 FROM source_works)"
+
+
 def k18_stored_vectors(spark: SparkSession, root: str) -> DataFrame:
     """Vectors merged into JSON metadata and read from it again; rows without one have none."""
     e = table(spark, root, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 4)).alias("v"))
@@ -230,11 +256,11 @@ _K18 = """SELECT h.id, CASE WHEN e.vec_id IS NOT NULL THEN 4 END AS n, round(lis
 QUERIES = {
     f.__name__: f
     for f in (
-        s01_csv_verses, s05_json_lists, s06_jsonl_units, s07_verse_xml, s09_chapter_files, s12_book_files, s13_flat_entries, s14_delimited_verses, s21_catalogs, s24_remaining_entries, g06_flat_translations, g04_audited_run,
-        j28_contained_references, k18_stored_vectors,
+        s01_csv_verses, s05_json_lists, s06_jsonl_units, s07_verse_xml, s09_chapter_files, s12_book_files, s13_flat_entries, s14_delimited_verses, s21_catalogs, s24_remaining_entries, g06_flat_translations, g04_audited_run, k29_audit_totals,
+        j28_contained_references, k08_nested_merge, k15_seeded_works, k18_stored_vectors,
     )
 }
 ORACLES = {
     "s01_csv_verses": _sql_s01(), "s05_json_lists": _S05, "s06_jsonl_units": _S06, "s07_verse_xml": _S07, "s09_chapter_files": _S09, "s12_book_files": _S12, "s13_flat_entries": _S13, "s14_delimited_verses": _S14, "s21_catalogs": _S21,
-    "s24_remaining_entries": _S24, "g06_flat_translations": _G06, "g04_audited_run": _G04, "j28_contained_references": _J28, "k18_stored_vectors": _K18,
+    "s24_remaining_entries": _S24, "g06_flat_translations": _G06, "g04_audited_run": _G04, "k29_audit_totals": _K29, "j28_contained_references": _J28, "k18_stored_vectors": _K18, "k08_nested_merge": _K08, "k15_seeded_works": _K15,
 }

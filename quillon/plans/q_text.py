@@ -136,19 +136,6 @@ def f27_excerpts(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "tafsir_sections").select("id", tx.excerpt(F.col("text_plain")).alias("excerpt"))
 
 
-def f30_work_name_matches(spark: SparkSession, root: str) -> DataFrame:
-    """For each work name its nearest other name by skeleton or edits within the allowed distance, if only one is nearest."""
-    from pyspark.sql import Window
-
-    names = table(spark, root, "source_works").select("id", tx.compact(F.col("author_name")).alias("c"), tx.name_skeleton(F.col("author_name")).alias("sk")).where("c <> ''")
-    other = names.select(F.col("id").alias("other_id"), F.col("c").alias("oc"), F.col("sk").alias("osk"), F.substring("sk", 1, 1).alias("h"))
-    pairs = names.withColumn("h", F.substring("sk", 1, 1)).join(other, "h").where(F.col("id") != F.col("other_id"))
-    d = F.least(F.levenshtein("c", "oc"), F.when(F.col("sk") == F.col("osk"), 0).otherwise(99))
-    near = pairs.withColumn("d", d).where(F.col("d") <= tx.allowed_distance(F.length("c")))
-    ranked = near.withColumn("r", F.rank().over(Window.partitionBy("id").orderBy("d"))).where("r = 1")
-    return ranked.groupBy("id").agg(F.count("*").alias("n"), F.min("other_id").alias("nearest_id"), F.min("d").alias("distance")).where("n = 1").drop("n")
-
-
 def f34_references(spark: SparkSession, root: str) -> DataFrame:
     """the first verse reference of every document, parsed and formatted again."""
     ref = tx.verse_reference(F.col("text"))
@@ -197,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f01_normalized_entries, f04_label_similarity, f06_snippets, f08_arabic_forms, f12_plain_from_markup, f12_parsed_markup, f13_compatibility_form, f18_without_leads, f24_entry_bodies, f25_phrases, f27_excerpts,
-        f30_work_name_matches, f34_references, f47_gram_counts, f48_keys, h1_narration_ratios, h5_label_matches,
+        f34_references, f47_gram_counts, f48_keys, h1_narration_ratios, h5_label_matches,
     )
 }
 ORACLES = {

@@ -184,10 +184,17 @@ def todo(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def _exists(path: str) -> bool:
     """Whether a path or URI is there, asked of its own file system."""
-    where, at = fs.FileSystem.from_uri(quote(path, safe=":/@%")) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    where, at = filesystem(path)
     return where.get_file_info(at).type != fs.FileType.NotFound
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path there."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def read_bundle(root: str, version: str, names: list[str], require: bool = False, legacy: str | None = None) -> dict[str, str]:
     """Paths of the assets of a bundle version; the legacy folder where an asset or the bundle is missing, unless the bundle is required."""
     out = {}

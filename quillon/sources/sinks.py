@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.readers import file_digests
+from quillon.sources.readers import file_digests, filesystem
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -18,8 +21,19 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """K2, K4: JSON lines, replacing what is there; with ``order`` the files are sorted as a whole."""
-    (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
+    """K2, K4: JSON lines, replacing what is there; with ``order`` the files are sorted as a whole.
+
+    The new files are written beside the old ones and take their place only when all are there, so a failed write leaves the old ones as they are, and the table may be read while it is rewritten.
+    """
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (df.orderBy(*order) if order else df).write.json(fresh)
+    where, new = filesystem(fresh)
+    old = filesystem(path.rstrip("/"))[1]
+    if where.get_file_info(old).type != fs.FileType.NotFound:
+        where.move(old, f"{new}.old")
+    where.move(new, old)
+    if where.get_file_info(f"{new}.old").type == fs.FileType.Directory:
+        where.delete_dir(f"{new}.old")
 
 
 def write_documents(df: DataFrame, path: str, key: str) -> None:
@@ -49,13 +63,42 @@ def write_manifest(spark: SparkSession, folder: str, path: str, version: str) ->
 
 
 def switch_view(spark: SparkSession, alias: str, target: str, least: int = 1) -> bool:
-    """Points the view ``alias`` at the table ``target`` if that holds at least ``least`` rows; says whether it did."""
+    """Points the view ``alias`` at the table ``target`` if that holds at least ``least`` rows; says whether it did. The view is one of the catalog, so all its sessions see the switch; only over a temporary view it is temporary."""
     if spark.table(target).limit(least).count() < least:
         return False
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {alias} AS SELECT * FROM {target}")
+    kind = "TEMPORARY VIEW" if spark.catalog.getTable(target).isTemporary else "VIEW"
+    spark.sql(f"CREATE OR REPLACE {kind} {alias} AS SELECT * FROM {target}")
     return True
 
 
+def recreate_table(spark: SparkSession, name: str, schema: str, partition: list[str] = ()) -> None:
+    """Drops a table of the catalog and creates it empty with exactly this schema."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = spark.createDataFrame([], schema).write.format("parquet")
+    (writer.partitionBy(*partition) if partition else writer).saveAsTable(name)
+
+
+def send_batches(df: DataFrame, key: str, send: Callable[[list[dict]], list[str | None]], size: int = 500) -> DataFrame:
+    """Hands rows in batches to ``send`` on the executors, which answers with an error or None for each row: ``(n_rows, n_failed, first_key, first_error)`` per batch.
+
+    A batch that raises counts as failed as a whole. Rows carry their ``key``, by which the receiver overwrites, so a batch that a lost task sends again changes nothing. The rows are sent when the result is written or counted.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            records = pdf.to_dict("records")
+            for at in range(0, len(records), size):
+                batch = records[at : at + size]
+                try:
+                    said = send(batch)
+                except Exception as e:  # noqa: BLE001
+                    said = [str(e)] * len(batch)
+                wrong = [(str(r[key]), e) for r, e in zip(batch, said) if e is not None]
+                yield pd.DataFrame([(len(batch), len(wrong), *(wrong[0] if wrong else (None, None)))], columns=["n_rows", "n_failed", "first_key", "first_error"])
+
+    return df.mapInPandas(run, "n_rows long, n_failed long, first_key string, first_error string")
+
+
 def write_batches(df: DataFrame, send: Callable[[list[dict]], None], size: int = 500) -> None:
     """Hands rows in batches to ``send`` on the executors; a failed batch fails its task, which is tried again."""
 

@@ -144,3 +144,36 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.sql("SELECT key, max_by(payload, n_seen) AS p FROM latest WHERE status = 'stored' GROUP BY key")
     want = latest_state(ev, "k", "at", "id", ["p"], F.timestamp_seconds(F.lit(2000)), 10_000).select("k", "p")
     assert rows(last) == rows(want)
+
+
+def test_rewriting_keeps_the_old_files_until_the_new_ones_are_there(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_jsonl(spark.createDataFrame([(1, "a")], "k int, t string"), path, ["k"])
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).cast("int").alias("k"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_jsonl(broken, path)
+    assert rows(readers.read_jsonl(spark, path, "k int, t string")) == [(1, "a")]
+    sinks.write_jsonl(readers.read_jsonl(spark, path, "k int, t string").withColumn("k", F.col("k") + 1), path)
+    assert rows(readers.read_jsonl(spark, f"file://{path}", "k int, t string")) == [(2, "a")]
+
+
+def test_tables_are_recreated_and_views_switched(spark):
+    sinks.recreate_table(spark, "quillon_index_a", "id long, t string")
+    assert spark.table("quillon_index_a").count() == 0 and not sinks.switch_view(spark, "quillon_live", "quillon_index_a")
+    spark.range(3).select("id", F.lit("x").alias("t")).write.insertInto("quillon_index_a")
+    assert sinks.switch_view(spark, "quillon_live", "quillon_index_a", least=3) and not spark.catalog.getTable("quillon_live").isTemporary
+    sinks.recreate_table(spark, "quillon_index_a", "id long, t string, n int", ["n"])
+    assert spark.table("quillon_index_a").columns == ["id", "t", "n"]
+    for kind, name in (("VIEW", "quillon_live"), ("TABLE", "quillon_index_a")):
+        spark.sql(f"DROP {kind} {name}")
+
+
+def test_batches_report_their_first_error(spark):
+    def send(batch):
+        if any(r["k"] == 7 for r in batch):
+            raise ValueError("broken pipe")
+        return ["odd" if r["k"] == 3 else None for r in batch]
+
+    got = rows(sinks.send_batches(spark.range(10).select(F.col("id").alias("k")).coalesce(1), "k", send, size=5))
+    assert got == sorted([(5, 1, "3", "odd"), (5, 5, "5", "broken pipe")], key=repr)
+    assert sinks.send_batches(spark.range(0).select(F.col("id").alias("k")), "k", send).count() == 0
