@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from quillon.plans import q_enrich, q_files, q_intervals, q_quotes, q_relational, q_resolve, q_retrieval, q_rules, q_rules_sql, q_search, q_selection, q_spans, q_text
+    from quillon.plans import q_enrich, q_files, q_intervals, q_quotes, q_relational, q_resolve, q_retrieval, q_rules, q_rules_sql, q_search, q_selection, q_small, q_spans, q_text
 
-    return [q_retrieval, q_resolve, q_rules_sql, q_files, q_search, q_selection, q_enrich, q_text, q_spans, q_intervals, q_relational, q_rules, q_quotes]
+    return [q_retrieval, q_small, q_resolve, q_rules_sql, q_files, q_search, q_selection, q_enrich, q_text, q_spans, q_intervals, q_relational, q_rules, q_quotes]
 
 
 def queries() -> dict[str, Query]:

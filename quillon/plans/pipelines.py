@@ -30,7 +30,7 @@ def flat_translations(verses: DataFrame) -> DataFrame:
 
 
 def search_documents(entries: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """The table that is searched instead of a search server: typed columns, joined titles, no stubs."""
+    """The table that is searched instead of a search server: typed columns, joined titles, no stubs."""
     e = entries.where((F.length(F.trim(F.coalesce("english_text", F.lit("")))) > 0) & ~F.coalesce(cx.json_text(F.col("metadata_json").cast("string"), "$.is_stub") == "true", F.lit(False)))
     b = books.select(F.col("id").alias("book_id"), F.col("title_en").alias("book_title"))
     c = chapters.select(F.col("id").alias("chapter_id"), F.col("title_en").alias("chapter_title"))

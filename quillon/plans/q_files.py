@@ -79,7 +79,7 @@ _S07 = r"SELECT surah_no, ayah_no, 'n' || surah_no AS surah_name_ar, length(trim
 
 
 def s09_chapter_files(spark: SparkSession, root: str) -> DataFrame:
-    """Commentary of the chapters as one nested JSON file each, with their verses, read back with the faults of the files."""
+    """Commentary of the chapters as one nested JSON file each, with their verses, read back with the faults of the files."""
     t = table(spark, root, "tafsir_sections").groupBy("surah_no", "ayah_start").agg(F.min("id").alias("id"))
     item = F.struct(F.col("id"), F.lit(7).alias("resource_id"), F.concat_ws(":", "surah_no", "ayah_start").alias("verse_key"), F.lit(1).alias("language_id"), F.lit("s").alias("slug"), F.lit("x").alias("text"))
     files = t.groupBy("surah_no").agg(F.array_sort(F.collect_list(item)).alias("tafsirs"))  # one entry per verse of a chapter
@@ -159,7 +159,7 @@ _S21 = "SELECT DISTINCT 'v1' AS version, work_slug AS slug, priority_rank, lower
 
 
 def s24_remaining_entries(spark: SparkSession, root: str) -> DataFrame:
-    """Entries without an enrichment in the log, whose torn lines are tolerated."""
+    """Entries without an enrichment in the log, whose torn lines are tolerated."""
     e = table(spark, root, "hadith_entries").select("id", "canonical_ref_collection")
     path = _scratch(spark, "log")
     sinks.append_log(table(spark, root, "guidance_units").where("guidance_role = 'warning'").select(F.col("parent_hadith_ref").alias("canonical_ref_collection")).distinct(), path)
@@ -243,7 +243,7 @@ _K15 = "SELECT * FROM (SELECT 'updated' AS outcome, 1 AS n UNION ALL SELECT 'ins
 
 
 def k18_stored_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Vectors merged into JSON metadata and read from it again; rows without one have none."""
+    """Vectors merged into JSON metadata and read from it again; rows without one have none."""
     e = table(spark, root, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 4)).alias("v"))
     rows = table(spark, root, "hadith_entries").select("id", "metadata_json").join(e, "id", "left")
     stored = rows.withColumn("m", F.when(F.col("v").isNotNull(), F.to_json(F.struct(F.col("v").alias("embedding")))).otherwise(F.col("metadata_json").cast("string")))

@@ -29,7 +29,7 @@ h AS (SELECT guidance_unit_id, a.ref, n_grams, qpos, pos FROM a JOIN b ON a.ref
 
 
 def j18_anchored_units(spark: SparkSession, root: str) -> DataFrame:
-    """Where each unit stands in its entry by the agreement of its five-grams."""
+    """Where each unit stands in its entry by the agreement of its five-grams."""
     return quotes.anchored_spans(_anchors(spark, root), ["guidance_unit_id"], ["ref"])
 
 
@@ -69,7 +69,7 @@ SELECT guidance_unit_id, id, CAST(votes AS DOUBLE) AS votes, n_anchors, row_numb
 
 
 def w19_exact_passages(spark: SparkSession, root: str) -> DataFrame:
-    """Passages of other works with the same wording as a passage of two verses."""
+    """Passages of other works with the same wording as a passage of two verses."""
     v = verses(spark, root)
     asked = w_two(v).select(F.concat_ws(":", "work_id", "surah_no", "start_pos").alias("query_id"), "text")
     found = quotes.exact_passages(asked, "query_id", F.col("text"), v, CHAPTER, "ayah_no", "text_display", [2])
@@ -89,7 +89,7 @@ SELECT q.work_id || ':' || q.surah_no || ':' || q.start_pos AS query_id, w.work_
 
 
 def p25_resolved_references(spark: SparkSession, root: str) -> DataFrame:
-    """The first reference of every document checked against the chapters."""
+    """The first reference of every document checked against the chapters."""
     return pipelines.resolve_references(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "quran_surahs"), "surah_no", "ayah_count")
 
 

@@ -27,7 +27,7 @@ JOIN source_works w ON e.work_id = w.id JOIN hadith_books b ON e.book_id = b.id
 
 
 def p01_lookup(spark: SparkSession, root: str) -> DataFrame:
-    """The first entry of every work and number, looked up by reference."""
+    """The first entry of every work and number, looked up by reference."""
     e = table(spark, root, "hadith_entries").select("id", "work_id", "collection_hadith_number", "canonical_ref_collection")
     return fusion.keep_first(e, ["work_id", "collection_hadith_number"], "id")
 
@@ -50,7 +50,7 @@ SELECT id, count(*) AS n_verses, count(*) FILTER (coalesce(text_display, '') = '
 
 
 def j20_overridden_works(spark: SparkSession, root: str) -> DataFrame:
-    """Works of two lists as one, the later list winning where both have a work."""
+    """Works of two lists as one, the later list winning where both have a work."""
     works = table(spark, root, "source_works").select("source_id", "display_name", "language_code", "priority_rank", F.col("approved_for_answering").alias("approved"))
     first = works.where("language_code <> 'ar'")
     later = works.where("approved").withColumn("display_name", F.upper("display_name"))
@@ -112,7 +112,7 @@ _K16 = "SELECT 'parents' AS table_name, count(*) AS n FROM source_works WHERE en
 
 
 def k17_merged_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata of works joined with new keys, the new ones winning."""
+    """Metadata of works joined with new keys, the new ones winning."""
     works = table(spark, root, "source_works").select("id", F.col("metadata_json").cast("string").alias("m"), "version_label")
     m = merge.merge_json(F.col("m"), F.to_json(F.struct(F.col("version_label").alias("version"), F.lit("9").alias("volumes"))))
     rows = works.select("id", m.alias("m"))
@@ -159,7 +159,7 @@ FROM (SELECT len({sq.match_words('text')}) AS n FROM documents) GROUP BY 1"""
 
 
 def a14_quality_gate(spark: SparkSession, root: str) -> DataFrame:
-    """Rates of sound documents by domain with the names of those below their threshold."""
+    """Rates of sound documents by domain with the names of those below their threshold."""
     d = table(spark, root, "documents")
     m = d.groupBy("source_domain").agg(
         report.rate(F.length(F.trim("text")) > 0).alias("with_text"), report.rate(F.col("lang").rlike("^[a-z]{2}$")).alias("clean_lang"), report.rate(F.col("n_chars") == F.length("text"), F.col("n_chars").isNotNull()).alias("right_length")
@@ -196,7 +196,7 @@ SELECT source_domain, n, coalesce(array_to_string(list_filter([CASE WHEN d > 1 T
 
 
 def a27_concept_weights(spark: SparkSession, root: str) -> DataFrame:
-    """Concepts of each topic family weighted by how few families have them."""
+    """Concepts of each topic family weighted by how few families have them."""
     u = table(spark, root, "guidance_units").where("topic_family IS NOT NULL")
     return report.phrase_specificity(u, "topic_family", "central_concept_ids", F.col("directness_score"))
 
@@ -215,7 +215,7 @@ _A32 = "SELECT DISTINCT unnest(secondary_concept_ids) AS concept FROM guidance_u
 
 
 def a39_unique_suffixes(spark: SparkSession, root: str) -> DataFrame:
-    """Endings of work names that belong to one work only."""
+    """Endings of work names that belong to one work only."""
     return report.unique_suffixes(table(spark, root, "source_works"), "work_slug", "-")
 
 
@@ -224,7 +224,7 @@ g AS (SELECT array_to_string(list_slice(p, i, len(p)), '-') AS suffix, work_slug
 
 
 def t06_suppressed_spans(spark: SparkSession, root: str) -> DataFrame:
-    """Per work the widest spans that do not overlap an accepted one."""
+    """Per work the widest spans that do not overlap an accepted one."""
     s = table(spark, root, "tafsir_sections").where("ayah_end IS NOT NULL").select("id", "work_id", "surah_no", F.least("ayah_start", "ayah_end").alias("a"), F.greatest("ayah_start", "ayah_end").alias("b"))
     return fusion.suppress_overlaps(s.groupBy("work_id", "surah_no", "a", "b").agg(F.min("id").alias("id")), ["work_id", "surah_no"], "surah_no", "a", "b", (F.col("b") - F.col("a")).desc(), "id").select("work_id", "surah_no", "id", "a", "b", "rank")
 

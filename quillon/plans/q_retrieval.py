@@ -21,7 +21,7 @@ def _documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def x01_idf_shortlist(spark: SparkSession, root: str) -> DataFrame:
-    """The best documents by the idf of the query's words and trigrams."""
+    """The best documents by the idf of the query's words and trigrams."""
     rows = _documents(spark, root).select("doc_id", tx.normalize_search(F.col("text")).alias("n"))
     return retrieval.idf_shortlist(rows, "doc_id", tx.words(F.col("n")), F.col("n"), QUERY, _G, limit=50)
 
@@ -41,7 +41,7 @@ def _bm25(spark: SparkSession, root: str) -> DataFrame:
 
 
 def x21_bm25(spark: SparkSession, root: str) -> DataFrame:
-    """Every document that holds a query word, by BM25 over title and body."""
+    """Every document that holds a query word, by BM25 over title and body."""
     return _bm25(spark, root)
 
 
@@ -62,7 +62,7 @@ _X21 = _sql_bm25()
 
 
 def x20_fused(spark: SparkSession, root: str) -> DataFrame:
-    """The shortlist and the BM25 list joined by reciprocal ranks, best 30."""
+    """The shortlist and the BM25 list joined by reciprocal ranks, best 30."""
     a = fusion.with_rank(x01_idf_shortlist(spark, root).withColumn("q", F.lit(1)), ["q"], F.col("score").desc(), F.col("token_overlap").desc(), F.col("gram_overlap").desc(), "doc_id")
     b = fusion.top_k(_bm25(spark, root).withColumn("q", F.lit(1)), ["q"], 50, F.col("score").desc(), "doc_id")
     fused = fusion.reciprocal_rank_fusion([a, b], ["q"], "doc_id")
@@ -87,7 +87,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, nei
 
 
 def x14_ranked_entries(spark: SparkSession, root: str) -> DataFrame:
-    """Entries with their book and chapter, scored by field."""
+    """Entries with their book and chapter, scored by field."""
     e = table(spark, root, "hadith_entries").select("id", "book_id", "chapter_id", "english_narrator", "english_text")
     books = table(spark, root, "hadith_books").select(F.col("id").alias("book_id"), F.col("title_en").alias("book_title"))
     chapters = table(spark, root, "hadith_chapters").select(F.col("id").alias("chapter_id"), F.col("title_en").alias("chapter_title"))
@@ -133,7 +133,7 @@ s AS (SELECT id, round({_sql_share('meta', 1.8)} + {_sql_share('text_plain', 1.0
 
 
 def x36_gated_units(spark: SparkSession, root: str) -> DataFrame:
-    """Guidance units as candidates for their topic family: scored, gated with reasons, ten kept per family."""
+    """Guidance units as candidates for their topic family: scored, gated with reasons, ten kept per family."""
     u = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"]).where("topic_family IS NOT NULL AND span_text IS NOT NULL")
     aligned = F.array_contains("central_concept_ids", F.col("topic_family")) | (F.size("central_concept_ids") > 0)
     score = fusion.selection_score({"lexical": F.lit(0.5), "semantic": F.col("directness_score"), "central": F.col("directness_score"), "answer": F.col("answerability_score"), "narrative": F.col("narrative_penalty")}, aligned)
@@ -153,7 +153,7 @@ SELECT topic_family, guidance_unit_id, score, CASE WHEN n > 10 THEN 'beyond_limi
 
 
 def j09_verse_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """For every verse up to twelve similar verses of other chapters in the same language."""
+    """For every verse up to twelve similar verses of other chapters in the same language."""
     rows = verses(spark, root).where("text_normalized IS NOT NULL")
     tokens = tx.words(tx.normalize_search(F.col("text_normalized")))
     return similarity.neighbours_by_rare_tokens(rows, "id", ["language_code"], "surah_no", tokens, short=True)
@@ -222,7 +222,7 @@ SELECT *, row_number() OVER (PARTITION BY source_domain, source ORDER BY score D
 
 
 def a24_exact_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Documents by their exact text: how many share it, and the only one where it is one."""
+    """Documents by their exact text: how many share it, and the only one where it is one."""
     return similarity.exact_groups(_documents(spark, root), "doc_id", F.col("text")).select(F.md5("text").alias("text_md5"), "n", "unique_key")
 
 

@@ -63,7 +63,7 @@ SELECT guidance_unit_id, CASE reason WHEN 'sufficient_signal' THEN 'verify_like'
 
 
 def x05_unit_verification(spark: SparkSession, root: str) -> DataFrame:
-    """Each unit as a quotation of its entry: score parts, total and match class."""
+    """Each unit as a quotation of its entry: score parts, total and match class."""
     e = table(spark, root, "hadith_entries").select(F.col("canonical_ref_collection").alias("parent_hadith_ref"), F.col("english_text").alias("entry"))
     rows = _units(spark, root).join(e, "parent_hadith_ref").select("guidance_unit_id", F.col("span_text").alias("q"), "entry", tx.arabic_light(F.lower("span_text")).alias("ql"), tx.arabic_light(F.lower("entry")).alias("el"))
     rows = rows.withColumn("f", ux.fuzzy_ratios("ql", "el")).withColumn("qt", F.array_distinct(tx.words(F.col("ql")))).withColumn("et", tx.words(F.col("el")))
@@ -91,13 +91,13 @@ TOPICS = [
 
 
 def x49_unit_topics(spark: SparkSession, root: str) -> DataFrame:
-    """The topic of each unit by weighted phrases, with its score and whether it is sure."""
+    """The topic of each unit by weighted phrases, with its score and whether it is sure."""
     rows = rules.resolve_topics(_units(spark, root), "guidance_unit_id", "span_text", TOPICS)
     return rows.withColumn("secondary", F.array_join("secondary", ","))
 
 
 def m13_entry_topics(spark: SparkSession, root: str) -> DataFrame:
-    """The topic of each entry by chapter, book or phrases, or an abstention."""
+    """The topic of each entry by chapter, book or phrases, or an abstention."""
     e = table(spark, root, "hadith_entries").select("id", "book_id", "chapter_id", "english_text")
     b = table(spark, root, "hadith_books").select(F.col("id").alias("book_id"), F.col("title_en").alias("book_title"))
     c = table(spark, root, "hadith_chapters").select(F.col("id").alias("chapter_id"), F.col("title_en").alias("chapter_title"))
@@ -108,7 +108,7 @@ CUES = {"narrative": (["asked", "returned", "relates"], ["better that"], 1.0), "
 
 
 def x50_unit_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Label of each unit by cues and anti-cues."""
+    """Label of each unit by cues and anti-cues."""
     return rules.best_label(_units(spark, root), "guidance_unit_id", F.col("span_text"), CUES).withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
@@ -123,12 +123,12 @@ CONCEPTS = {"household": ["the household", "the roof"], "trade": ["the market",
 
 
 def x51_unit_concepts(spark: SparkSession, root: str) -> DataFrame:
-    """Concepts of each unit by their surface forms."""
+    """Concepts of each unit by their surface forms."""
     return rules.link_concepts(_units(spark, root), "guidance_unit_id", "span_text", CONCEPTS)
 
 
 def x59_scripts(spark: SparkSession, root: str) -> DataFrame:
-    """Letters by script of every document."""
+    """Letters by script of every document."""
     return table(spark, root, "documents").select("doc_id", rules.script_counts(F.col("text")).alias("s")).select("doc_id", "s.arabic", "s.latin", "s.cyrillic", "s.other")
 
 
@@ -137,7 +137,7 @@ _X59 = f"""WITH c AS (SELECT doc_id, {', '.join(f"length(regexp_replace(coalesce
 
 
 def m06_directive_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels and topics of each entry by their markers."""
+    """Labels and topics of each entry by their markers."""
     e = table(spark, root, "hadith_entries")
     labels = {"prohibition": ["do not", "let no", "forbid"], "question": ["asked"], "comparison": ["better that", "more than"], "story": ["returned", "once"]}
     return e.select("id", F.array_join(rules.all_matches(F.col("english_text"), labels), ",").alias("labels"), F.array_join(rules.topics_by_hits(F.col("english_text"), CONCEPTS), ",").alias("topics"))
@@ -147,7 +147,7 @@ NOW = "2024-01-20 12:00:00"
 
 
 def z02_latest_state(spark: SparkSession, root: str) -> DataFrame:
-    """The newest unexpired event of every user at a given moment."""
+    """The newest unexpired event of every user at a given moment."""
     ev = table(spark, root, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     return state.latest_state(ev, "user_id", "ts", "event_id", ["event_id", "event_type"], F.lit(NOW).cast("timestamp")).select("user_id", "event_id", "event_type")
 
@@ -156,7 +156,7 @@ _Z02 = f"""SELECT user_id, event_id, event_type FROM events WHERE ts <= TIMESTAM
 
 
 def z04_state_at_purchase(spark: SparkSession, root: str) -> DataFrame:
-    """Every purchase with the user's newest view before it, if that has not expired."""
+    """Every purchase with the user's newest view before it, if that has not expired."""
     ev = table(spark, root, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     bought = ev.where("event_type = 'purchase'").select("event_id", "ts", "user_id")
     seen = ev.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("ts").alias("seen_at"), "user_id")

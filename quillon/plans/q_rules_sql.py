@@ -47,7 +47,7 @@ def _layer(n: str, part: str) -> str:
     return f"0.30 + CASE WHEN {n} >= 3 THEN 0.55 WHEN {n} = 2 THEN 0.47 WHEN {n} = 1 THEN 0.35 ELSE 0.0 END + CASE WHEN contains(lower(coalesce(title, '')), '{part}') THEN 0.10 ELSE 0.0 END"
 
 
-_M13 = rf"""WITH e AS (SELECT e.id, c.title_en AS title, {_COLLAPSED("regexp_replace(coalesce(english_text, ''), '(?i)narrated\s+[^:]{2,80}:', ' ', 'g')")} AS b FROM hadith_entries e LEFT JOIN hadith_chapters c ON e.chapter_id = c.id),
+_M13 = rf"""WITH e AS (SELECT e.id, c.title_en AS title, {_COLLAPSED(r"regexp_replace(coalesce(english_text, ''), '(?i)narrated\s+[^:]{2,80}:', ' ', 'g')")} AS b FROM hadith_entries e LEFT JOIN hadith_chapters c ON e.chapter_id = c.id),
 n AS (SELECT *, {_count('b', 'road', 'caravan', 'traveller')} AS n1, {_count('b', 'household', 'garden', 'roof', 'lamp')} AS n2, {_count('b', r'the\s+word', 'meaning', 'idiom')} AS n3, {_count('b', 'patient', 'patience', 'hardship')} AS n4 FROM e),
 r AS (SELECT *, list_sort([{{'s': -({_layer('n1', 'the road')}), 't': 'travel.road'}}, {{'s': -({_layer('n2', 'the household')}), 't': 'home.household'}}, {{'s': -({_layer('n3', 'the word')}), 't': 'speech.word'}}, {{'s': -({_layer('n4', 'patience')}), 't': 'character.patience'}}]) AS r,
 CASE title WHEN 'The road' THEN 'travel.road' WHEN 'The household' THEN 'home.household' WHEN 'The word' THEN 'speech.word' WHEN 'Patience' THEN 'character.patience' END AS one FROM n),

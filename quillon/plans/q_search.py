@@ -314,7 +314,7 @@ WHEN coalesce(narrative_penalty, 0) > 0.45 THEN 'incidental' WHEN topic_family I
 
 
 def x43_unit_candidates(spark: SparkSession, root: str) -> DataFrame:
-    """Units of one collection as candidates for a question about two topics: eight-term score, floor, best unit of each parent, best 40."""
+    """Units of one collection as candidates for a question about two topics: eight-term score, floor, best unit of each parent, best 40."""
     u = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"])
     builder = F.get_json_object("metadata", "$.builder_rank_score").cast("double")
     return search.unit_candidates(u, "guidance_unit_id", "parent_hadith_ref", "span_text", "summary_text", ["counsel", "mountain"], ["counsel", "mountain"], builder, 40, keep=F.col("collection_source_id").contains("counsel"))

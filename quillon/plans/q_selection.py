@@ -162,7 +162,7 @@ WHERE text_plain IS NOT NULL AND work_id IN (SELECT work_id FROM tafsir_sections
 
 
 def w10_expanded_spans(spark: SparkSession, root: str) -> DataFrame:
-    """Spans of at least two verses around the anchor verses of every third chapter's sections, up to two verses further on each side."""
+    """Spans of at least two verses around the anchor verses of every third chapter's sections, up to two verses further on each side."""
     seeds = table(spark, root, "tafsir_sections").where("ayah_end = ayah_start").select("surah_no", F.col("ayah_start").alias("a"), F.col("ayah_end").alias("b"))
     chapters = table(spark, root, "quran_surahs").select("surah_no", F.col("ayah_count").alias("last"))
     return quotes.expanded_spans(seeds.join(chapters, "surah_no"), ["surah_no"], "a", "b", 2, 2, "last")
@@ -174,7 +174,7 @@ SELECT DISTINCT surah_no, start_pos, end_pos FROM y WHERE end_pos - start_pos +
 
 
 def w14_first_stage(spark: SparkSession, root: str) -> DataFrame:
-    """For each chapter the works found at the first of three stages: Arabic, English, any language."""
+    """For each chapter the works found at the first of three stages: Arabic, English, any language."""
     v = verses(spark, root).where("work_id IS NOT NULL").select("surah_no", "work_id", "language_code").distinct()
     stages = [v.where(c).select("surah_no", "work_id") for c in ("language_code = 'ar'", "language_code = 'en'", "true")]
     return quotes.first_stage(stages, ["surah_no"])

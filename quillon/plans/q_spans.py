@@ -84,7 +84,7 @@ g AS (SELECT work_id, array_to_string(list_slice(w, p, p + 4), ' ') AS gram FROM
 
 
 def w09_alignment(spark: SparkSession, root: str) -> DataFrame:
-    """The longest run of words that a guidance unit shares with its parent entry."""
+    """The longest run of words that a guidance unit shares with its parent entry."""
     units = text_table(spark, root, "guidance_units").select("guidance_unit_id", F.col("parent_hadith_ref").alias("ref"), "span_text").dropDuplicates(["guidance_unit_id"])
     query = exploded(units, ["guidance_unit_id", "ref"], tx.words(tx.normalize_search(F.col("span_text"))), "token", "qpos")
     entries = exploded(text_table(spark, root, "hadith_entries"), [F.col("canonical_ref_collection").alias("ref")], tx.words(tx.normalize_search(F.col("english_text"))), "token", "pos")

@@ -95,7 +95,7 @@ LEADS = ["the word", "some readers take", "it is better that", "in this passage"
 
 
 def f18_without_leads(spark: SparkSession, root: str) -> DataFrame:
-    """units without their opening phrase, and their compact form."""
+    """units without their opening phrase, and their compact form."""
     rows = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"])
     return rows.select("guidance_unit_id", tx.without_lead(F.col("span_text"), LEADS).alias("rest"), F.length(tx.compact(F.col("span_text"))).alias("n_compact"))
 
