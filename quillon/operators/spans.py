@@ -105,16 +105,25 @@ def fill_forward_groups(df: DataFrame, group: list[str], order: str, text: str)
     return out.where(F.col("text").isNotNull())
 
 
+def _runs_of(df: DataFrame, by: list[str], pos: str, n: int) -> DataFrame:
+    """Tokens replaced by the ``n`` tokens that begin at their position; the last ones of a text, which have fewer after them, are left out."""
+    order = Window.partitionBy(*dict.fromkeys(by)).orderBy(pos)
+    rows = df.withColumn("_end", F.lead(pos, n - 1).over(order)).withColumn("_t", F.concat_ws(" ", "token", *[F.lead("token", i).over(order) for i in range(1, n)]))
+    return rows.where(F.col("_end") == F.col(pos) + n - 1).withColumn("token", F.col("_t")).drop("_end", "_t")
+
+
 def aligned_runs(query: DataFrame, stream: DataFrame, query_key: list[str], group: list[str], on: list[str] = (), least: int = 1) -> DataFrame:
     """Longest common runs of tokens between queries and streams, as gaps and islands over the difference of positions.
 
     ``query(*query_key, qpos, token)`` meets ``stream(*group, pos, token)`` by token and, where given, the columns ``on`` that both have; along one diagonal consecutive positions form an island.
-    Gives the position and length of the longest island per query and group (ties: the earliest).
+    Gives the position and length of the longest island per query and group (ties: the earliest). They meet by whole runs of ``least`` tokens, of which every longer run consists, so common words alone meet nothing.
     """
+    if least > 1:
+        query, stream = _runs_of(query, [*query_key, *on], "qpos", least), _runs_of(stream, [*group, *on], "pos", least)
     hits = query.join(stream, ["token", *on]).withColumn("_d", F.col("pos") - F.col("qpos"))
     diagonal = Window.partitionBy(*query_key, *group, "_d").orderBy("qpos")
     islands = hits.withColumn("_i", F.col("qpos") - F.row_number().over(diagonal))
-    runs = islands.groupBy(*query_key, *group, "_d", "_i").agg(F.min("qpos").alias("query_start"), F.min("pos").alias("stream_start"), F.count("*").alias("run_length")).where(F.col("run_length") >= least)
+    runs = islands.groupBy(*query_key, *group, "_d", "_i").agg(F.min("qpos").alias("query_start"), F.min("pos").alias("stream_start"), (F.count("*") + (least - 1)).alias("run_length"))
     best = Window.partitionBy(*query_key, *group).orderBy(F.col("run_length").desc(), "query_start", "stream_start")
     return runs.withColumn("_b", F.row_number().over(best)).where("_b = 1").select(*query_key, *group, "query_start", "stream_start", "run_length")
 
