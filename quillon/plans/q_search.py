@@ -300,7 +300,7 @@ m AS (SELECT *, max(p) OVER (PARTITION BY topic_family) AS top FROM h)
 SELECT topic_family, guidance_unit_id, heuristic, round(greatest(0.0, least(1.0, CASE WHEN top IS NULL THEN heuristic ELSE 0.55 * heuristic + 0.45 * CASE WHEN top > 1e-9 THEN p / top ELSE 0.0 END END)), 4) AS score FROM m"""
 
 
-def p13_evidence_gate(spark: SparkSession, root: str) -> DataFrame:
+def pr13_evidence_gate(spark: SparkSession, root: str) -> DataFrame:
     """Units with the first of the four evidence thresholds they miss, NULL where they pass."""
     u = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"])
     gate = search.evidence_gate(F.col("directness_score"), F.when(F.col("answerability_score") > 0, F.col("answerability_score")), F.col("narrative_penalty"), F.when(F.col("guidance_role") == "narrative_context", 0.9).otherwise(0.1), F.col("topic_family").isNull())
@@ -344,11 +344,11 @@ SELECT * FROM p ORDER BY score DESC, central DESC, answer DESC, penalty, parent_
 QUERIES = {
     f.__name__: f
     for f in (
-        x01_verse_shortlists, g27_open_shortlists, x21_boosted_entries, x23_all_entries, x25_topical_documents, x26_concept_units, x13_two_stage_entries, x27_hybrid_documents, x28_merged_units, x32_reranked_units, p13_evidence_gate,
+        x01_verse_shortlists, g27_open_shortlists, x21_boosted_entries, x23_all_entries, x25_topical_documents, x26_concept_units, x13_two_stage_entries, x27_hybrid_documents, x28_merged_units, x32_reranked_units, pr13_evidence_gate,
         x43_unit_candidates,
     )
 }
 ORACLES = {
     "x01_verse_shortlists": _sql_shortlists(True), "g27_open_shortlists": _sql_shortlists(False), "x21_boosted_entries": _X21, "x23_all_entries": _X23, "x25_topical_documents": _X25, "x26_concept_units": _X26,
-    "x13_two_stage_entries": _X13, "x27_hybrid_documents": _X27, "x28_merged_units": _X28, "x32_reranked_units": _X32, "p13_evidence_gate": _P13, "x43_unit_candidates": _X43,
+    "x13_two_stage_entries": _X13, "x27_hybrid_documents": _X27, "x28_merged_units": _X28, "x32_reranked_units": _X32, "pr13_evidence_gate": _P13, "x43_unit_candidates": _X43,
 }

@@ -76,7 +76,7 @@ j AS (SELECT parent_hadith_ref, topic_family IS NOT NULL AS top1_ok, coalesce(gu
 SELECT *, (top1_ok OR topic_overlap) AND NOT bad_hit AS passed FROM j"""
 
 
-def p17_backfill_gates(spark: SparkSession, root: str) -> DataFrame:
+def pr17_backfill_gates(spark: SparkSession, root: str) -> DataFrame:
     """The neighbours that pass the gates of strong, passage and verse backfill."""
     n = j09_verse_neighbours(spark, root)
     status = F.when(F.col("coverage") >= 95, "exact").when(F.col("coverage") >= 70, "close").otherwise("weak")
@@ -87,7 +87,7 @@ def p17_backfill_gates(spark: SparkSession, root: str) -> DataFrame:
 _P17 = f"SELECT id, neighbour_id, coverage >= 70 AND score >= 60 AND coverage >= 80 AS strong, score >= 19 AND coverage >= 65 AS passage_backfill, score >= 15 AND coverage >= 50 AS verse_backfill FROM ({_J09})"
 
 
-def p05_chapter_attributes(spark: SparkSession, root: str) -> DataFrame:
+def pr05_chapter_attributes(spark: SparkSession, root: str) -> DataFrame:
     """Per work and chapter the first non-blank name, translation and invocation in verse order."""
     return selection.first_filled(table(spark, root, "quran_ayahs"), ["work_id", "surah_no"], ["ayah_no", "id"], ["surah_name_ar", "translation_name", "bismillah"])
 
@@ -95,7 +95,7 @@ def p05_chapter_attributes(spark: SparkSession, root: str) -> DataFrame:
 _P05 = f"""SELECT work_id, surah_no, count(*) AS n_rows, {', '.join(f"arg_min(nullif(trim({c}), ''), (ayah_no, id)) FILTER (trim({c}) <> '') AS {c}" for c in ('surah_name_ar', 'translation_name', 'bismillah'))} FROM quran_ayahs GROUP BY ALL"""
 
 
-def p04_preferred_verses(spark: SparkSession, root: str) -> DataFrame:
+def pr04_preferred_verses(spark: SparkSession, root: str) -> DataFrame:
     """The verses of the first Arabic work, topped up with those of the other ones by the least id."""
     v = verses(spark, root).where("language_code = 'ar'").select("work_id", "surah_no", "ayah_no", "id")
     first = v.agg(F.min("work_id").alias("work_id"))
@@ -253,11 +253,11 @@ WHEN 'anger' THEN ['anger', 'angry', 'do not get angry', 'don''t get angry'] WHE
 QUERIES = {
     f.__name__: f
     for f in (
-        x54_query_shapes, x38_role_bonuses, a28_judged_units, p17_backfill_gates, p05_chapter_attributes, p04_preferred_verses, x09_preferred_lanes, x42_fused_scores, a22_best_units, g54_best_per_source, w10_expanded_spans,
+        x54_query_shapes, x38_role_bonuses, a28_judged_units, pr17_backfill_gates, pr05_chapter_attributes, pr04_preferred_verses, x09_preferred_lanes, x42_fused_scores, a22_best_units, g54_best_per_source, w10_expanded_spans,
         w14_first_stage, f46_entry_scalars, a30_unit_collections, f36_citations,
     )
 }
 ORACLES = {
-    "x54_query_shapes": _X54, "x38_role_bonuses": _X38, "a28_judged_units": _A28, "p17_backfill_gates": _P17, "p05_chapter_attributes": _P05, "p04_preferred_verses": _P04, "x09_preferred_lanes": _X09, "x42_fused_scores": _X42,
+    "x54_query_shapes": _X54, "x38_role_bonuses": _X38, "a28_judged_units": _A28, "pr17_backfill_gates": _P17, "pr05_chapter_attributes": _P05, "pr04_preferred_verses": _P04, "x09_preferred_lanes": _X09, "x42_fused_scores": _X42,
     "a22_best_units": _A22, "g54_best_per_source": _G54, "w10_expanded_spans": _W10, "w14_first_stage": _W14, "f46_entry_scalars": _F46, "a30_unit_collections": _A30, "f36_citations": _F36,
 }

@@ -82,7 +82,7 @@ _J22 = f"""WITH u AS (SELECT DISTINCT ON (parent_hadith_ref) parent_hadith_ref,
 SELECT canonical_ref_collection AS ref, coalesce(CAST(in_book_hadith_number AS INTEGER), span_start) AS number, coalesce(md5(matn_text), md5(span_text)) AS body, parent_hadith_ref IS NOT NULL AS has_unit FROM hadith_entries e LEFT JOIN u ON u.parent_hadith_ref = e.canonical_ref_collection"""
 
 
-def p24_checked_ranges(spark: SparkSession, root: str) -> DataFrame:
+def pr24_checked_ranges(spark: SparkSession, root: str) -> DataFrame:
     """sections' spans as ranges with a limit, checked against their chapter; sections of one kind ask for the whole chapter."""
     s = table(spark, root, "tafsir_sections").select("id", "surah_no", "ayah_start", "ayah_end")
     rows = s.join(table(spark, root, "quran_surahs").select("surah_no", "ayah_count"), "surah_no", "left")
@@ -182,11 +182,11 @@ b AS (SELECT * FROM f WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION B
 QUERIES = {
     f.__name__: f
     for f in (
-        t10_ordered_works, a25_sizes_of_passages, a44_changed_metadata, j13_exact_lookup, j22_filled_entries, p24_checked_ranges, x12_chosen_evaluation, x30_proxy_scores, g17_checked_cases, z03_states_by_turn, g25_exact_excerpts,
+        t10_ordered_works, a25_sizes_of_passages, a44_changed_metadata, j13_exact_lookup, j22_filled_entries, pr24_checked_ranges, x12_chosen_evaluation, x30_proxy_scores, g17_checked_cases, z03_states_by_turn, g25_exact_excerpts,
         x46_thematic_units,
     )
 }
 ORACLES = {
-    "t10_ordered_works": _T10, "a25_sizes_of_passages": _A25, "a44_changed_metadata": _A44, "j13_exact_lookup": _J13, "j22_filled_entries": _J22, "p24_checked_ranges": _P24, "x12_chosen_evaluation": _X12, "x30_proxy_scores": _X30,
+    "t10_ordered_works": _T10, "a25_sizes_of_passages": _A25, "a44_changed_metadata": _A44, "j13_exact_lookup": _J13, "j22_filled_entries": _J22, "pr24_checked_ranges": _P24, "x12_chosen_evaluation": _X12, "x30_proxy_scores": _X30,
     "g17_checked_cases": _G17, "z03_states_by_turn": _Z03, "g25_exact_excerpts": _G25, "x46_thematic_units": _X46,
 }
