@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import charforms, encoding, leakage, neardup, packing, splitting, tokenbudget
+from quillon.llm import charforms, encoding, leakage, neardup, packing, splitting, sqlforms, tokenbudget
 from quillon.sources.tables import table, text_table
 
 VERSE_FIELDS = ["text_display", "text_normalized"]
@@ -192,4 +192,4 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p4_coverage, p5_token_budget, p6_containers, p6_usage, p6_audit, p7_found, p7_leaks, p8_found, p8_restored)
 }
-ORACLES = {"p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
+ORACLES = {"p1_found": sqlforms.alike_pairs(), "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
