@@ -46,6 +46,15 @@ c AS (
 SELECT section_id_a, section_id_b FROM c WHERE i >= 0.7 * (nx + ny - i) - 1e-9
 """
 
+_P2_GROUPS = f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text_plain_normalized, '')), '[\\p{{L}}\\p{{N}}]+'))) AS s FROM tafsir_sections),
+k AS MATERIALIZED (SELECT id, CASE WHEN len(s) >= 25 THEN min(id) OVER (PARTITION BY s) ELSE id END AS class_id FROM s),
+p AS MATERIALIZED (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM ({_P2}) x JOIN k a ON a.id = section_id_a JOIN k b ON b.id = section_id_b WHERE a.class_id <> b.class_id),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT DISTINCT class_id AS n, class_id AS r FROM k UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.n WHERE c.r < e.b),
+g AS (SELECT n, min(r) AS r FROM c GROUP BY n), l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT id, class_id, g.r AS group_id, coalesce(l.n, 0) AS n_links FROM k JOIN g ON g.n = class_id LEFT JOIN l ON l.a = class_id
+"""
+
 LIMIT, OVERLAP, CAPACITY = 1500, 150, 4096
 
 
@@ -177,6 +186,19 @@ a AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM a) x JOIN (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM b) y USING (run)
 """
 
+_P7_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_PLAIN.format('passage')} AS w FROM eval_items),
+a AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12), b AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12),
+h AS (SELECT DISTINCT doc_id, item_id, x.k AS kd, x.k - y.k AS diag FROM (SELECT doc_id, k, array_to_string(w[k : k + 11], ' ') AS run FROM a) x JOIN (SELECT item_id, k, array_to_string(w[k : k + 11], ' ') AS run FROM b) y USING (run)),
+g AS (SELECT *, kd - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY kd) AS island FROM h),
+r AS (SELECT doc_id, item_id, max(n) + 11 AS run_words FROM (SELECT doc_id, item_id, diag, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL),
+si AS (SELECT item_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i WHERE len(w) >= 5)),
+wt AS (SELECT s, 1.0 / count(DISTINCT item_id) AS wt FROM si GROUP BY s), sd AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)) SEMI JOIN wt USING (s)),
+total AS (SELECT item_id, sum(wt) AS t FROM si JOIN wt USING (s) GROUP BY ALL), sh AS (SELECT doc_id, item_id, sum(wt) AS part FROM si JOIN wt USING (s) JOIN sd USING (s) GROUP BY ALL),
+m AS (SELECT doc_id, item_id, coalesce(run_words, 0) AS run_words, coalesce(part, 0) / t AS sim FROM r FULL JOIN sh USING (doc_id, item_id) JOIN total USING (item_id))
+SELECT doc_id, item_id, CAST(run_words AS INTEGER) AS run_words, round(sim, 6) AS similarity, CASE WHEN round(sim, 6) >= 0.8 THEN 'full' ELSE 'partial' END AS extent FROM m WHERE run_words >= 12 OR sim >= 0.8
+"""
+
 
 def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     """Documents with garbled text, the mapping that was undone and the text as far as it could be restored."""
@@ -192,4 +214,4 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p4_coverage, p5_token_budget, p6_containers, p6_usage, p6_audit, p7_found, p7_leaks, p8_found, p8_restored)
 }
-ORACLES = {"p1_found": sqlforms.alike_pairs(), "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
+ORACLES = {"p1_found": sqlforms.alike_pairs(), "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p7_leaks": _P7_LEAKS, "p2_groups": _P2_GROUPS, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
