@@ -127,6 +127,20 @@ def p5_token_budget(spark: SparkSession, root: str) -> DataFrame:
     return placed.agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_with_text", "n_tokens", "n_distinct", "n_distinct_tokens")])
 
 
+def p5_slices(spark: SparkSession, root: str) -> DataFrame:
+    """The slices of the token budget with their rows, and whether every slice with text has tokens and no item more of them than its slice."""
+    rows = p5_token_budget(spark, root)
+    sound = F.when(F.col("n_with_text") > 0, (F.col("n_tokens") >= F.col("n_with_text")) & (F.col("n_distinct_tokens") <= F.col("n_tokens"))).otherwise(F.col("n_tokens") == 0)
+    return rows.select("source_domain", "source_id", "language_code", "n_rows", "n_with_text", "n_distinct", sound.alias("sound"))
+
+
+_P5_SLICES = r"""
+WITH s AS (SELECT work_id, canonical_section_id AS c, lower(regexp_replace(trim(source_id, ' '), '\s*:\s*', ':', 'g')) AS source_id, lower(regexp_extract(coalesce(language_code, ''), '^\s*([A-Za-z]*)', 1)) AS l, coalesce(text_plain, '') <> '' AS t FROM tafsir_sections),
+n AS (SELECT *, CASE l WHEN 'eng' THEN 'en' WHEN 'ara' THEN 'ar' WHEN 'urd' THEN 'ur' WHEN 'ind' THEN 'id' WHEN 'in' THEN 'id' WHEN 'tur' THEN 'tr' WHEN 'fra' THEN 'fr' WHEN 'fre' THEN 'fr' WHEN 'rus' THEN 'ru' WHEN '' THEN 'und' ELSE l END AS language_code FROM s)
+SELECT source_domain, n.source_id, n.language_code, count(*) AS n_rows, count(*) FILTER (t) AS n_with_text, count(DISTINCT (work_id, c)) AS n_distinct, true AS sound FROM n LEFT JOIN source_works w ON w.id = work_id GROUP BY ALL
+"""
+
+
 def _document_sizes(spark: SparkSession, root: str) -> DataFrame:
     rows = tokenbudget.row_tokens(text_table(spark, root, "documents"), "text", [F.col("doc_id")])
     return rows.select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size"))
@@ -212,6 +226,6 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p4_coverage, p5_token_budget, p6_containers, p6_usage, p6_audit, p7_found, p7_leaks, p8_found, p8_restored)
+    for f in (p1_found, p1_canonical_verses, p2_found, p2_groups, p4_found, p4_pieces, p4_coverage, p5_token_budget, p5_slices, p6_containers, p6_usage, p6_audit, p7_found, p7_leaks, p8_found, p8_restored)
 }
-ORACLES = {"p1_found": sqlforms.alike_pairs(), "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p7_leaks": _P7_LEAKS, "p2_groups": _P2_GROUPS, "p4_coverage": _P4_COVERAGE, "p6_audit": _P6_AUDIT}
+ORACLES = {"p1_found": sqlforms.alike_pairs(), "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p7_leaks": _P7_LEAKS, "p2_groups": _P2_GROUPS, "p4_coverage": _P4_COVERAGE, "p5_slices": _P5_SLICES, "p6_audit": _P6_AUDIT}
