@@ -94,6 +94,41 @@ _S09 = """WITH t AS (SELECT surah_no AS chapter_number, ayah_start AS ayah_no, m
 SELECT *, max(ayah_no) OVER w <> count(*) OVER w OR min(ayah_no) OVER w <> 1 AS has_holes, false AS bad_count FROM t WINDOW w AS (PARTITION BY chapter_number)"""
 
 
+def s03_optional_translations(spark: SparkSession, root: str) -> DataFrame:
+    """S3: translations from an optional file that is there and one that is missing, the text from the first column that has one."""
+    v = table(spark, root, "quran_ayahs").where("language_code = 'en'").select("id", "text_display", "text_normalized", "citation_string")
+    path = _scratch(spark, "optional")
+    sinks.write_csv(v, path, ["id", "text_display", "text_normalized", "citation_string"])
+    read = lambda p: readers.read_optional_csv(spark, p, "id int, text_display string, text_normalized string, citation_string string", ["text_display", "text_normalized", "citation_string"])
+    return read(path).unionByName(read(path + "-missing")).select("id", F.md5("text").alias("text_md5"))
+
+
+_S03 = "SELECT id, md5(coalesce(nullif(trim(text_display, ' '), ''), nullif(trim(text_normalized, ' '), ''), nullif(trim(citation_string, ' '), ''))) AS text_md5 FROM quran_ayahs WHERE language_code = 'en'"
+
+
+def s11_keyed_texts(spark: SparkSession, root: str) -> DataFrame:
+    """The verses of each chapter as one object keyed by chapter and verse, read back as rows; empty texts are left out."""
+    v = table(spark, root, "quran_ayahs").groupBy("surah_no", "ayah_no").agg(F.min_by(F.coalesce("text_display", F.lit(" ")), "id").alias("t"))
+    text = F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "surah_no", "ayah_no").alias("k"), F.struct("t").alias("v"))))  # the verses of a chapter
+    path = _scratch(spark, "keyed")
+    v.groupBy("surah_no").agg(F.to_json(text).alias("value")).repartition("surah_no").write.partitionBy("surah_no").text(path)
+    return readers.read_keyed_json(spark, path + "/*").select("surah_no", "ayah_no", F.md5("text").alias("text_md5"))
+
+
+_S11 = "SELECT surah_no, ayah_no, md5(t) AS text_md5 FROM (SELECT surah_no, ayah_no, arg_min(coalesce(text_display, ' '), id) AS t FROM quran_ayahs GROUP BY ALL) WHERE trim(t, ' ') <> ''"
+
+
+def s28_table_or_nothing(spark: SparkSession, root: str) -> DataFrame:
+    """Works of one domain from a table that is there and from one that is not."""
+    table(spark, root, "source_works").createOrReplaceTempView("quillon_works")
+    schema = "id int, source_domain string, source_id string"
+    found = readers.safe_table(spark, "quillon_works", schema).where("source_domain = 'tafsir'")
+    return found.select("id", "source_domain", "source_id").unionByName(readers.safe_table(spark, "quillon_no_such_table", schema))
+
+
+_S28 = "SELECT id, source_domain, source_id FROM source_works WHERE source_domain = 'tafsir'"
+
+
 def s12_book_files(spark: SparkSession, root: str) -> DataFrame:
     """A book with its chapters and entries as nested JSON, read back as rows with the chapters' numbers by position."""
     ch = table(spark, root, "hadith_chapters").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("book_id").alias("bookId"), F.lit("a").alias("arabic"), F.col("title_en").alias("english")))).alias("chapters"))  # of one book
@@ -256,11 +291,11 @@ _K18 = """SELECT h.id, CASE WHEN e.vec_id IS NOT NULL THEN 4 END AS n, round(lis
 QUERIES = {
     f.__name__: f
     for f in (
-        s01_csv_verses, s05_json_lists, s06_jsonl_units, s07_verse_xml, s09_chapter_files, s12_book_files, s13_flat_entries, s14_delimited_verses, s21_catalogs, s24_remaining_entries, g06_flat_translations, g04_audited_run, k29_audit_totals,
+        s01_csv_verses, s03_optional_translations, s11_keyed_texts, s28_table_or_nothing, s05_json_lists, s06_jsonl_units, s07_verse_xml, s09_chapter_files, s12_book_files, s13_flat_entries, s14_delimited_verses, s21_catalogs, s24_remaining_entries, g06_flat_translations, g04_audited_run, k29_audit_totals,
         j28_contained_references, k08_nested_merge, k15_seeded_works, k18_stored_vectors,
     )
 }
 ORACLES = {
-    "s01_csv_verses": _sql_s01(), "s05_json_lists": _S05, "s06_jsonl_units": _S06, "s07_verse_xml": _S07, "s09_chapter_files": _S09, "s12_book_files": _S12, "s13_flat_entries": _S13, "s14_delimited_verses": _S14, "s21_catalogs": _S21,
+    "s01_csv_verses": _sql_s01(), "s03_optional_translations": _S03, "s11_keyed_texts": _S11, "s28_table_or_nothing": _S28, "s05_json_lists": _S05, "s06_jsonl_units": _S06, "s07_verse_xml": _S07, "s09_chapter_files": _S09, "s12_book_files": _S12, "s13_flat_entries": _S13, "s14_delimited_verses": _S14, "s21_catalogs": _S21,
     "s24_remaining_entries": _S24, "g06_flat_translations": _G06, "g04_audited_run": _G04, "k29_audit_totals": _K29, "j28_contained_references": _J28, "k18_stored_vectors": _K18, "k08_nested_merge": _K08, "k15_seeded_works": _K15,
 }

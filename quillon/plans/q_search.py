@@ -231,7 +231,7 @@ SELECT *, row_number() OVER (PARTITION BY slice ORDER BY score DESC, central DES
 
 
 def x28_merged_units(spark: SparkSession, root: str) -> DataFrame:
-    """Candidates of a field-weighted and a full-text lane, per parent the better score, best 25 by six keys."""
+    """Candidates of a field-weighted and a full-text lane, per parent the better score, best 25 by six keys."""
     u = table(spark, root, "guidance_units").dropDuplicates(["guidance_unit_id"]).where("span_text IS NOT NULL")
     facts = [F.col("answerability_score").alias("answer"), F.col("directness_score").alias("central"), F.col("narrative_penalty").alias("incidental"), F.when(F.col("guidance_role") == "narrative_context", 1.0).otherwise(0.0).alias("narrative")]
     rows = retrieval.with_search_fields(u.select("parent_hadith_ref", "guidance_unit_id", "span_text", "summary_text", *facts), {"span": F.col("span_text"), "summary": F.col("summary_text")})

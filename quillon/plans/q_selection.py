@@ -231,7 +231,7 @@ CASE WHEN answerability_score >= 0.9 THEN 0.9 WHEN answerability_score >= 0.7 TH
 
 
 def f36_citations(spark: SparkSession, root: str) -> DataFrame:
-    """The title of every document read as a citation, its canonical form and its significant words."""
+    """The title of every document read as a citation, its canonical form and its significant words."""
     aliases = {"measure of": "measures", "book": "books", "lamp": "lamps"}
     ref = tx.narration_reference(F.col("title"), aliases)
     rows = table(spark, root, "documents").select("doc_id", "title", ref.alias("r"), tx.canonical_reference(F.concat(F.lit("please see surat "), F.col("doc_id"), F.lit(" : 5, ayat")), ["please", "see"]).alias("canonical"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import fusion, search, selection, spans
+from quillon.operators import fusion, quotes, rules, search, selection, spans
 from quillon.plans import sqltext as sq
+from quillon.plans.q_retrieval import _J09, j09_verse_neighbours
 from quillon.plans.q_spans import _LATEST, CHAPTER, verses
 from quillon.plans.q_text import _sql_light
 from quillon.sources.tables import table
@@ -179,14 +180,35 @@ coalesce(list_max(list_transform(list_distinct(t), lambda z: greatest({_SHARE("'
 f AS (SELECT parent_hadith_ref, guidance_unit_id, CASE WHEN n = '' THEN 0.0 ELSE round(least(1.0, 0.68 * sh + al + CASE WHEN sh < 0.99 AND cl >= 0.42 THEN least(0.18, cl * 0.22) ELSE 0.0 END), 4) END AS score FROM s),
 b AS (SELECT * FROM f WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY parent_hadith_ref ORDER BY score DESC, guidance_unit_id) = 1) SELECT * FROM b ORDER BY score DESC, parent_hadith_ref LIMIT 20"""
 
+def a20_likely_chapters(spark: SparkSession, root: str) -> DataFrame:
+    """For each verse the three chapters with the greatest sum of scores among its twelve best neighbours."""
+    place = verses(spark, root).select(F.col("id").alias("neighbour_id"), F.col("surah_no").alias("chapter"))
+    return quotes.likely_groups(j09_verse_neighbours(spark, root).join(place, "neighbour_id"), ["id"], "chapter", "score", "rank").select("id", "chapter", "score", "rank")
+
+
+_A20 = f"""WITH n AS ({_J09}), {_LATEST}, s AS (SELECT n.id, v.surah_no AS chapter, round(sum(score), 6) AS score FROM n JOIN v ON v.id = neighbour_id WHERE rank <= 12 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chapter) AS rank FROM s QUALIFY rank <= 3"""
+
+
+def g30_unit_types(spark: SparkSession, root: str) -> DataFrame:
+    """The type of each passage's span by its length and place."""
+    s = table(spark, root, "tafsir_sections").select("id", "ayah_start", "ayah_end")
+    kind = rules.first_match(
+        [("open", F.col("ayah_end").isNull()), ("reversed", F.col("ayah_end") < F.col("ayah_start")), ("single", F.col("ayah_end") == F.col("ayah_start")), ("static_window", F.col("ayah_end") - F.col("ayah_start") <= 3)], "contiguous_span"
+    )
+    return s.select("id", kind.alias("unit_type"))
+
+
+_G30 = "SELECT id, CASE WHEN ayah_end IS NULL THEN 'open' WHEN ayah_end < ayah_start THEN 'reversed' WHEN ayah_end = ayah_start THEN 'single' WHEN ayah_end - ayah_start <= 3 THEN 'static_window' ELSE 'contiguous_span' END AS unit_type FROM tafsir_sections"
+
 QUERIES = {
     f.__name__: f
     for f in (
         t10_ordered_works, a25_sizes_of_passages, a44_changed_metadata, j13_exact_lookup, j22_filled_entries, pr24_checked_ranges, x12_chosen_evaluation, x30_proxy_scores, g17_checked_cases, z03_states_by_turn, g25_exact_excerpts,
-        x46_thematic_units,
+        x46_thematic_units, a20_likely_chapters, g30_unit_types,
     )
 }
 ORACLES = {
     "t10_ordered_works": _T10, "a25_sizes_of_passages": _A25, "a44_changed_metadata": _A44, "j13_exact_lookup": _J13, "j22_filled_entries": _J22, "pr24_checked_ranges": _P24, "x12_chosen_evaluation": _X12, "x30_proxy_scores": _X30,
-    "g17_checked_cases": _G17, "z03_states_by_turn": _Z03, "g25_exact_excerpts": _G25, "x46_thematic_units": _X46,
+    "g17_checked_cases": _G17, "z03_states_by_turn": _Z03, "g25_exact_excerpts": _G25, "x46_thematic_units": _X46, "a20_likely_chapters": _A20, "g30_unit_types": _G30,
 }

@@ -28,7 +28,7 @@ array_to_string({sq.search_words('english_text')}, ' ') AS search_tokens FROM ha
 
 
 def f04_label_similarity(spark: SparkSession, root: str) -> DataFrame:
-    """trigram similarity of the names and labels of works."""
+    """Trigram similarity of the names and labels of works."""
     return table(spark, root, "source_works").select("id", F.round(tx.trigram_similarity(F.col("display_name"), F.col("citation_label")), 6).alias("similarity"))
 
 
@@ -64,7 +64,7 @@ _F08 = f"SELECT id, {_sql_light('text_display')} AS light, translate({_sql_light
 
 
 def f12_plain_from_markup(spark: SparkSession, root: str) -> DataFrame:
-    """text of the sections' markup and its hash."""
+    """Text of the sections' markup and its hash."""
     t = tx.html_to_text(F.col("text_html"))
     return text_table(spark, root, "tafsir_sections").select("id", t.alias("plain"), tx.text_hash(t).alias("plain_hash"))
 
