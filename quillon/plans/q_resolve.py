@@ -125,5 +125,25 @@ b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, own, n,
 k AS (SELECT * FROM b WHERE own <> work_id AND len >= 0.55 * n), pl AS (SELECT work_id, surah_no, ayah_no, min(pos) AS p0, max(pos) AS p1 FROM st GROUP BY ALL)
 SELECT query_id, work_id, surah_no, len AS run_length, n, min(ayah_no) AS start_pos, max(ayah_no) AS end_pos, len >= 0.78 * n AS seeded FROM k JOIN pl USING (work_id, surah_no) WHERE p0 < ss + len AND p1 >= ss GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (f30_resolved_names, a40_resolved_slugs, t07_collected_verses, j11_parallel_passages, w17_partial_spans)}
-ORACLES = {"f30_resolved_names": _F30, "a40_resolved_slugs": _A40, "t07_collected_verses": _T07, "j11_parallel_passages": _J11, "t06_suppressed_spans": _T06, "w17_partial_spans": _W17}
+def w14_quotation_cascade(spark: SparkSession, root: str) -> DataFrame:
+    """Where every 20th verse stands in the other works of its language: passages of one or two verses with its very words, else runs that cover 0.78 of it, else runs that cover 0.55, these also a verse wider on each side."""
+    v = verses(spark, root).where("text_normalized IS NOT NULL")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("work_id").alias("own"), F.col("language_code").alias("lang"), F.trim("text_normalized").alias("text"))
+    langs = v.select("work_id", F.col("language_code").alias("lang")).distinct()
+    exact = quotes.exact_passages(q, "query_id", F.col("text"), v, CHAPTER, "ayah_no", "text_normalized", [1, 2]).join(q.select("query_id", "own", "lang"), "query_id").join(langs, ["work_id", "lang"], "left_semi").where("work_id <> own")
+    runs = w17_partial_spans(spark, root).select("query_id", *CHAPTER, "start_pos", "end_pos", "seeded")
+    cols = ["query_id", *CHAPTER, "start_pos", "end_pos"]
+    wide = quotes.expanded_spans(runs.where("NOT seeded"), ["query_id", *CHAPTER], "start_pos", "end_pos", 1)
+    return quotes.first_stage([exact.select(*cols), runs.where("seeded").select(*cols), wide.select(*cols)], ["query_id"])
+
+
+_W14 = f"""WITH {_LATEST}, t AS (SELECT * FROM v WHERE text_normalized IS NOT NULL), q AS (SELECT id AS query_id, work_id AS own, language_code AS lang, trim(text_normalized, ' ') AS t FROM t WHERE id % 20 = 0 AND trim(text_normalized, ' ') <> ''),
+p AS (SELECT work_id, language_code, surah_no, ayah_no AS start_pos, ayah_no AS end_pos, trim(text_normalized, ' ') AS t FROM t UNION ALL SELECT work_id, language_code, surah_no, ayah_no, e, trim(x, ' ') FROM (SELECT work_id, language_code, surah_no, ayah_no, lead(ayah_no) OVER w AS e,
+text_normalized || ' ' || lead(text_normalized) OVER w AS x FROM t WINDOW w AS (PARTITION BY work_id, surah_no ORDER BY ayah_no)) WHERE e = ayah_no + 1),
+r AS ({_W17}), n AS (SELECT query_id, work_id, surah_no, unnest(range(greatest(1, start_pos - 1), start_pos + 1)) AS start_pos, end_pos FROM r WHERE NOT seeded),
+s AS (SELECT query_id, work_id, surah_no, start_pos, end_pos, 0 AS stage FROM q JOIN p ON p.t = q.t AND p.language_code = q.lang AND p.work_id <> q.own UNION ALL SELECT query_id, work_id, surah_no, start_pos, end_pos, 1 FROM r WHERE seeded
+UNION ALL SELECT DISTINCT query_id, work_id, surah_no, start_pos, unnest([end_pos, end_pos + 1]), 2 FROM n)
+SELECT * FROM s QUALIFY stage = min(stage) OVER (PARTITION BY query_id)"""
+
+QUERIES = {f.__name__: f for f in (w14_quotation_cascade, f30_resolved_names, a40_resolved_slugs, t07_collected_verses, j11_parallel_passages, w17_partial_spans)}
+ORACLES = {"f30_resolved_names": _F30, "a40_resolved_slugs": _A40, "t07_collected_verses": _T07, "j11_parallel_passages": _J11, "t06_suppressed_spans": _T06, "w17_partial_spans": _W17, "w14_quotation_cascade": _W14}
