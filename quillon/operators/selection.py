@@ -151,3 +151,47 @@ def failed_checks(checks: dict[str, Column]) -> Column:
     """Whether a case passes all its checks, and the names of those it fails in order; a check that is NULL fails."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     return F.struct((F.size(failed) == 0).alias("passed"), failed.alias("failures"))
+
+
+def confidence_policy(lane: Column, engine: Column, status: Column, confidence: Column, window: Column, coverage: Column, score: Column) -> Column:
+    """Status and confidence of a result after the policy, what it did (``action``) and why (``reasons``, 'no_change' if nothing); NULL numbers count as 0.
+
+    ``status`` is 'exact', 'close' or 'none'. Exact claims of anchored passages fall to 'close' and 'medium' below 5 rows, 99.5 coverage or a score of 90; those of exact spans only lose confidence below 5, 98 or 85,
+    those of single rows below 85; no other result keeps high confidence.
+    """
+    w, c, s = (F.coalesce(x.cast("double"), F.lit(0.0)) for x in (window, coverage, score))
+    exact = F.coalesce(status == "exact", F.lit(False))
+    anchored, spans, single = exact & (lane == "passage") & (engine == "giant_exact_anchor"), exact & (lane == "passage") & (engine == "surah_span_exact"), exact & (lane == "ayah")
+    first = first_match(
+        [
+            ("giant_exact_window_below_minimum", anchored & (w < 5)),
+            ("giant_exact_token_coverage_below_strict_threshold", anchored & (c < 99.5)),
+            ("giant_exact_score_below_strict_threshold", anchored & (s < 90)),
+            ("giant_exact_strict_verified", anchored),
+            ("surah_span_exact_evidence_softened", spans & ((w < 5) | (c < 98) | (s < 85))),
+            ("surah_span_exact_verified", spans),
+            ("ayah_exact_score_softened", single & (s < 85)),
+            ("ayah_exact_verified", single),
+        ]
+    )
+    demoted, softened = F.coalesce(first.endswith("threshold") | first.endswith("minimum"), F.lit(False)), F.coalesce(first.endswith("softened"), F.lit(False))
+    loose = F.coalesce((confidence == "high") & ~exact, F.lit(False))
+    reasons = F.array_compact(F.array(first, F.when(loose, F.lit("non_exact_high_confidence_softened"))))
+    return F.struct(
+        F.when(demoted, "close").otherwise(status).alias("status"), F.when(demoted | softened | loose, "medium").otherwise(confidence).alias("confidence"),
+        F.when(demoted, "demoted").when(softened | loose, "confidence_softened").otherwise("kept").alias("action"), F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("no_change"))).alias("reasons"),
+    )
+
+
+# Signs of fully marked verse text, as regular-expression classes.
+SIGNS = {
+    "wasla_alif": r"\x{0671}", "annotations": r"[\x{06DF}-\x{06E4}\x{06E7}\x{06E8}\x{06EA}-\x{06ED}]", "special": r"[\x{06DE}\x{06E9}]", "digits": r"[٠-٩۰-۹]", "ornaments": r"[﴾﴿]", "high": r"[\x{0654}-\x{065F}\x{0670}\x{06D6}-\x{06DC}]",
+}
+
+
+def script_route(c: Column) -> Column:
+    """Counts of the signs of fully marked verse text, and which corpus is asked first: the marked one for a wasla alif or two annotation signs."""
+    count = {n: F.regexp_count(tx.text_or_empty(c), F.lit(p)) for n, p in SIGNS.items()}
+    strong = F.when(count["wasla_alif"] > 0, 5).otherwise(0) + F.when(count["annotations"] >= 2, 4).otherwise(0)
+    weak = sum((F.when(count[n] >= least, 1).otherwise(0) for n, least in (("ornaments", 1), ("special", 1), ("digits", 2), ("high", 4))), F.lit(0))
+    return F.struct(F.when(strong > 0, "marked_first").otherwise("plain_first").alias("route"), strong.alias("strong"), weak.alias("weak"))

@@ -183,6 +183,38 @@ def w14_first_stage(spark: SparkSession, root: str) -> DataFrame:
 _W14 = f"""WITH {_LATEST}, d AS (SELECT DISTINCT surah_no, work_id, language_code FROM v WHERE work_id IS NOT NULL), s AS (SELECT surah_no, work_id, 0 AS stage FROM d WHERE language_code = 'ar' UNION ALL SELECT surah_no, work_id, 1 FROM d WHERE language_code = 'en'
 UNION ALL SELECT surah_no, work_id, 2 FROM d) SELECT * FROM s QUALIFY stage = min(stage) OVER (PARTITION BY surah_no)"""
 
+def pr22_confidence_policy(spark: SparkSession, root: str) -> DataFrame:
+    """Units as results: their status and confidence after the policy, with its reasons."""
+    u = _units(spark, root)
+    lane = F.when(F.col("span_end") - F.col("span_start") > 1, "passage").otherwise("ayah")
+    engine = F.when(F.size("central_concept_ids") > 0, "giant_exact_anchor").when(F.col("topic_family").isNull(), "surah_span_exact").otherwise("other")
+    status = F.when(F.col("directness_score") >= 0.4, "exact").when(F.col("directness_score") >= 0.25, "close").otherwise("none")
+    confidence = F.when(F.col("answerability_score") >= 0.45, "high").otherwise("low")
+    x = selection.confidence_policy(lane, engine, status, confidence, F.col("span_end") - F.col("span_start") + 3, 100 - F.col("narrative_penalty") * 10, F.round(60 + F.col("answerability_score") * 60, 1))
+    return u.select("guidance_unit_id", x.alias("x")).select("guidance_unit_id", "x.status", "x.confidence", "x.action", F.array_join("x.reasons", "|").alias("reasons"))
+
+
+_PR22 = f"""WITH u AS (SELECT guidance_unit_id, CASE WHEN span_end - span_start > 1 THEN 'passage' ELSE 'ayah' END AS lane, CASE WHEN len(central_concept_ids) > 0 THEN 'g' WHEN topic_family IS NULL THEN 's' ELSE 'o' END AS eng,
+CASE WHEN directness_score >= 0.4 THEN 'exact' WHEN directness_score >= 0.25 THEN 'close' ELSE 'none' END AS st, CASE WHEN answerability_score >= 0.45 THEN 'high' ELSE 'low' END AS cf, coalesce(span_end - span_start + 3, 0) AS w, coalesce(100 - narrative_penalty * 10, 0) AS c,
+coalesce(round(60 + answerability_score * 60, 1), 0) AS s FROM ({_UNITS})),
+r AS (SELECT *, CASE WHEN st = 'exact' AND lane = 'passage' AND eng = 'g' THEN CASE WHEN w < 5 THEN 'giant_exact_window_below_minimum' WHEN c < 99.5 THEN 'giant_exact_token_coverage_below_strict_threshold' WHEN s < 90 THEN 'giant_exact_score_below_strict_threshold'
+ELSE 'giant_exact_strict_verified' END WHEN st = 'exact' AND lane = 'passage' AND eng = 's' THEN CASE WHEN w < 5 OR c < 98 OR s < 85 THEN 'surah_span_exact_evidence_softened' ELSE 'surah_span_exact_verified' END
+WHEN st = 'exact' AND lane = 'ayah' THEN CASE WHEN s < 85 THEN 'ayah_exact_score_softened' ELSE 'ayah_exact_verified' END END AS f, cf = 'high' AND st <> 'exact' AS loose FROM u),
+d AS (SELECT *, coalesce(ends_with(f, 'minimum') OR ends_with(f, 'threshold'), false) AS dem, coalesce(ends_with(f, 'softened'), false) AS sof FROM r)
+SELECT guidance_unit_id, CASE WHEN dem THEN 'close' ELSE st END AS status, CASE WHEN dem OR sof OR loose THEN 'medium' ELSE cf END AS confidence, CASE WHEN dem THEN 'demoted' WHEN sof OR loose THEN 'confidence_softened' ELSE 'kept' END AS action,
+coalesce(nullif(concat_ws('|', f, CASE WHEN loose THEN 'non_exact_high_confidence_softened' END), ''), 'no_change') AS reasons FROM d"""
+
+
+def x56_script_routes(spark: SparkSession, root: str) -> DataFrame:
+    """The route of every verse by the signs of fully marked text."""
+    return table(spark, root, "quran_ayahs").select("id", selection.script_route(F.col("text_display")).alias("x")).select("id", "x.*")
+
+
+_X56N = lambda p: f"len(regexp_extract_all(coalesce(text_display, ''), '{p}'))"
+_X56 = rf"""WITH c AS (SELECT id, {_X56N(r'\x{0671}')} AS wa, {_X56N(r'[\x{06DF}-\x{06E4}\x{06E7}\x{06E8}\x{06EA}-\x{06ED}]')} AS an, {_X56N('[٠-٩۰-۹]')} AS di, {_X56N('[﴾﴿]')} AS orn, {_X56N(r'[\x{06DE}\x{06E9}]')} AS sp, {_X56N(r'[\x{0654}-\x{065F}\x{0670}\x{06D6}-\x{06DC}]')} AS hi FROM quran_ayahs),
+s AS (SELECT id, CASE WHEN wa > 0 THEN 5 ELSE 0 END + CASE WHEN an >= 2 THEN 4 ELSE 0 END AS strong, CASE WHEN orn > 0 THEN 1 ELSE 0 END + CASE WHEN sp > 0 THEN 1 ELSE 0 END + CASE WHEN di >= 2 THEN 1 ELSE 0 END + CASE WHEN hi >= 4 THEN 1 ELSE 0 END AS weak FROM c)
+SELECT id, CASE WHEN strong > 0 THEN 'marked_first' ELSE 'plain_first' END AS route, strong, weak FROM s"""
+
 # --- scalars ---
 
 
@@ -254,10 +286,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         x54_query_shapes, x38_role_bonuses, a28_judged_units, pr17_backfill_gates, pr05_chapter_attributes, pr04_preferred_verses, x09_preferred_lanes, x42_fused_scores, a22_best_units, g54_best_per_source, w10_expanded_spans,
-        w14_first_stage, f46_entry_scalars, a30_unit_collections, f36_citations,
+        w14_first_stage, pr22_confidence_policy, x56_script_routes, f46_entry_scalars, a30_unit_collections, f36_citations,
     )
 }
 ORACLES = {
     "x54_query_shapes": _X54, "x38_role_bonuses": _X38, "a28_judged_units": _A28, "pr17_backfill_gates": _P17, "pr05_chapter_attributes": _P05, "pr04_preferred_verses": _P04, "x09_preferred_lanes": _X09, "x42_fused_scores": _X42,
-    "a22_best_units": _A22, "g54_best_per_source": _G54, "w10_expanded_spans": _W10, "w14_first_stage": _W14, "f46_entry_scalars": _F46, "a30_unit_collections": _A30, "f36_citations": _F36,
+    "a22_best_units": _A22, "g54_best_per_source": _G54, "w10_expanded_spans": _W10, "w14_first_stage": _W14, "pr22_confidence_policy": _PR22, "x56_script_routes": _X56, "f46_entry_scalars": _F46, "a30_unit_collections": _A30, "f36_citations": _F36,
 }
