@@ -162,8 +162,8 @@ def test_token_list_comparison(spark):
 
 
 def test_assessment_and_labels(spark):
-    df = spark.createDataFrame([("what is rain",), ("a",), ("rain rain",), ("the quiet river turns",), (None,)], "t string")
-    assert [r["m"] for r in df.select(rules.assess_text(F.col("t"))["reason"].alias("m")).collect()] == ["question_or_meta_query", "too_short", "short_repeated_phrase", "sufficient_signal", "empty_after_normalization"]
+    df = spark.createDataFrame([("what is rain",), ("a",), ("rain rain",), ("rain rain sun",), ("the quiet river turns",), (None,)], "t string")
+    assert [r["m"] for r in df.select(rules.assess_text(F.col("t"))["reason"].alias("m")).collect()] == ["question_or_meta_query", "too_short", "generic_two_token_input", "short_repeated_phrase", "sufficient_signal", "empty_after_normalization"]
 
 
 def test_lane_choice(spark):
