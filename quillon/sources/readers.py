@@ -189,9 +189,9 @@ def _exists(path: str) -> bool:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI and the path there."""
+    """The file system of a path or URI and the path there; ``s3a`` is read as ``s3``."""
     if "://" in path:
-        return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+        return fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@%"))
     return fs.LocalFileSystem(), path.removeprefix("file:")
 
 

@@ -8,11 +8,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.readers import file_digests, filesystem
+from quillon.sources.readers import file_digests
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -27,13 +26,14 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> Non
     """
     fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     (df.orderBy(*order) if order else df).write.json(fresh)
-    where, new = filesystem(fresh)
-    old = filesystem(path.rstrip("/"))[1]
-    if where.get_file_info(old).type != fs.FileType.NotFound:
-        where.move(old, f"{new}.old")
-    where.move(new, old)
-    if where.get_file_info(f"{new}.old").type == fs.FileType.Directory:
-        where.delete_dir(f"{new}.old")
+    sc = df.sparkSession.sparkContext
+    at = lambda p: sc._jvm.org.apache.hadoop.fs.Path(p)
+    where = at(fresh).getFileSystem(sc._jsc.hadoopConfiguration())  # the file system that Spark itself uses for the path
+    old = where.exists(at(path))
+    if old and not where.rename(at(path), at(f"{fresh}.old")) or not where.rename(at(fresh), at(path)):
+        raise OSError(f"cannot replace {path}; the new files are in {fresh}")
+    if old:
+        where.delete(at(f"{fresh}.old"), True)
 
 
 def write_documents(df: DataFrame, path: str, key: str) -> None:
