@@ -14,15 +14,14 @@ Texts with one and the same word set are one class before the first signature is
 Signatures made of few words can be shared by a large part of all sets. Such hot signatures are found beforehand (a pass that counts within batches and sums what is frequent there), and their group is
 split: its sets are dealt to buckets, and the signature is replaced by one key per pair of buckets, so any two of its sets still meet and no key holds more than about ``group_limit`` of them.
 
-``guarantee`` is the similarity from which on a shared signature is certain (0.8 unless told otherwise); down to ``threshold`` a
-pair shares one with a probability that the README gives with measurements. Setting it to the threshold makes that certain too, at the
-price the README shows.
+``guarantee`` is the similarity from which on a shared PartEnum signature is certain (0.8 unless told otherwise). Below it, down to ``threshold``, a second kind of signature makes
+the meeting certain: with all words in one order, rare ones first, two sets of similarity ``t`` share a word among the first ``n - ceil(t n) + 1`` of each, so these words sign as well. No pair is left to chance.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -102,7 +101,30 @@ def _banded(sizes: np.ndarray, words: np.ndarray, threshold: float, guarantee: f
         yield pick, signatures(sizes[pick], mine, int(b), int(ends[b]), guarantee, k2, n2)
 
 
-def _signer(shared, *how):
+def prefix_signatures(sizes: np.ndarray, words: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the words that come first in every set, back to back, and their number per set: two sets with this Jaccard similarity share one.
+
+    ``common`` has the sorted hashes of frequent words and their counts. The order is by count and hash, words that are not named coming first; any order that is the same for all sets keeps the certainty.
+    """
+    known, count = common
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    often = np.where(known[at] == words, count[at], 0) if len(known) else np.zeros(len(words), np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    ordered = words[np.lexsort((words, often, of))]
+    lens = sizes - np.ceil(threshold * sizes - 1e-6).astype(np.int64) + 1
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return _mix(ordered[place < np.repeat(lens, sizes)], 0x9F1E), lens
+
+
+def _prefixes(sizes: np.ndarray, words: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None, threshold: float) -> list[np.ndarray]:
+    """Per set its prefix signatures; none where PartEnum is certain from the threshold on."""
+    if common is None:
+        return []
+    sigs, lens = prefix_signatures(sizes, words, threshold, common)
+    return np.split(sigs, np.cumsum(lens)[:-1])
+
+
+def _signer(shared, common, *how):
     """Rows ``(rep, n, sketch, sigs)``; hot signatures are replaced by the keys of their bucket pairs."""
 
     def run(batches):
@@ -116,9 +138,10 @@ def _signer(shared, *how):
                     continue
                 words = _word_hash(part["h"])
                 bits = sketch(sizes, words).view(np.int64)
-                for pick, sig in _banded(sizes, words, *how):
-                    sigs = list(sig.view(np.int64))
-                    for i in np.flatnonzero(np.isin(sig, keys).any(1)) if len(keys) else ():
+                for pick, sig in chain(_banded(sizes, words, *how), [(np.arange(len(sizes)), own)] if (own := _prefixes(sizes, words, common.value, how[0])) else ()):
+                    sigs = [x.view(np.int64) for x in sig]
+                    ends = np.cumsum([len(x) for x in sig])
+                    for i in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(np.concatenate(sig), keys)), "right")) if len(keys) else ():
                         sigs[i] = np.concatenate([_bucket_keys(x, hot[x], int(ids[pick[i]])) if x in hot else np.array([x], np.uint64) for x in sig[i].tolist()]).view(np.int64)
                     yield pd.DataFrame({"rep": ids[pick], "n": sizes[pick].astype(np.int32), "b0": bits[pick, 0], "b1": bits[pick, 1], "b2": bits[pick, 2], "b3": bits[pick, 3], "sigs": sigs})
 
@@ -134,7 +157,7 @@ def _bucket_keys(sig: int, buckets: int, rep: int) -> np.ndarray:
         return _mix(pair + np.uint64(sig), 0x5B17)
 
 
-def _frequent(share: float, *how):
+def _frequent(share: float, common, *how):
     """Signatures that at least this share of a batch's sets have, with their number there."""
 
     def run(batches):
@@ -142,7 +165,9 @@ def _frequent(share: float, *how):
             sizes = pdf["n"].to_numpy(np.int64)
             if not len(sizes):
                 continue
-            for _, sig in _banded(sizes, _word_hash(pdf["h"]), *how):
+            words = _word_hash(pdf["h"])
+            own = _prefixes(sizes, words, common.value, how[0])
+            for _, sig in chain(_banded(sizes, words, *how), [(None, np.concatenate(own))] if own else ()):
                 found, n = np.unique(sig, return_counts=True)
                 often = n >= max(4, share * len(sizes))
                 if often.any():
@@ -151,10 +176,18 @@ def _frequent(share: float, *how):
     return run
 
 
-def hot_signatures(sets: DataFrame, group_limit: int, share: float, most: int, *how) -> dict[int, int]:
+def frequent_words(sets: DataFrame, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the most frequent words and the number of sets that hold them; at most ``most``. What is not named here only counts as rare."""
+    words = sets.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
+    known, count = np.array([r["w"] for r in words], np.int64).view(np.uint64), np.array([r["n"] for r in words], np.int64)
+    order = np.argsort(known)
+    return known[order], count[order]
+
+
+def hot_signatures(sets: DataFrame, group_limit: int, share: float, most: int, common, *how) -> dict[int, int]:
     """Signatures of large groups and the number of buckets to deal each to; at most ``most``, the largest. What is not named here is only not split."""
     total = F.sum("n").alias("n")
-    rows = sets.mapInPandas(_frequent(share, *how), "sig long, n long").groupBy("sig").agg(total).where(F.col("n") >= group_limit).orderBy(F.desc("n"), "sig").limit(most).collect()
+    rows = sets.mapInPandas(_frequent(share, common, *how), "sig long, n long").groupBy("sig").agg(total).where(F.col("n") >= group_limit).orderBy(F.desc("n"), "sig").limit(most).collect()
     return {r["sig"] & 0xFFFFFFFFFFFFFFFF: math.ceil(2 * r["n"] / group_limit) for r in rows}
 
 
@@ -174,12 +207,14 @@ def classes(df: DataFrame, key: str, text: str, min_words: int = 25) -> tuple[Da
 def candidate_links(reps: DataFrame, threshold: float = 0.8, guarantee: float | None = None, min_words: int = 25, k2: int = 1, n2: int = 3, group_limit: int = 2000, hot_share: float = 0.002, most_hot: int = 65_536) -> DataFrame:
     """Distinct pairs ``(a, b)`` of class representatives, ``a < b``, that share a signature and whose sketches allow the threshold.
 
-    ``reps`` is read twice and should be written. A signature that ``group_limit`` sets or more have, and at least ``hot_share`` of the sets of most batches, is split.
+    ``reps`` is read three times and should be written. A signature that ``group_limit`` sets or more have, and at least ``hot_share`` of the sets of most batches, is split.
     """
     sets = reps.withColumn("h", F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).select("rep", F.size("h").alias("n"), "h")
     how = (threshold, guarantee or max(threshold, 0.8), min_words, k2, n2)
-    shared = reps.sparkSession.sparkContext.broadcast(hot_signatures(sets, group_limit, hot_share, most_hot, *how))
-    signed = sets.mapInPandas(_signer(shared, *how), "rep long, n int, b0 long, b1 long, b2 long, b3 long, sigs array<long>")
+    sc = reps.sparkSession.sparkContext
+    common = sc.broadcast(frequent_words(sets) if how[1] > threshold else None)
+    shared = sc.broadcast(hot_signatures(sets, group_limit, hot_share, most_hot, common, *how))
+    signed = sets.mapInPandas(_signer(shared, common, *how), "rep long, n int, b0 long, b1 long, b2 long, b3 long, sigs array<long>")
     rows = signed.select(F.explode("sigs").alias("sig"), "rep", "n", "b0", "b1", "b2", "b3")
     x = rows.select("sig", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b0", "b1", "b2", "b3")])
     y = rows.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b0", "b1", "b2", "b3")])
