@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import spans
-from quillon.plans.materialize import exploded
+from quillon.plans.materialize import exploded, sorted_join
 
 
 def exact_passages(queries: DataFrame, query_key: str, query_text: Column, df: DataFrame, group: list[str], order: str, text: str, sizes: list[int]) -> DataFrame:
@@ -28,7 +28,7 @@ def anchor_hits(queries: DataFrame, query_key: list[str], query_tokens: Column,
     q = spans.token_ngrams(queries.withColumn("_all", F.greatest(F.size(query_tokens) - n + 1, F.lit(0))), [*query_key, *on, "_all"], query_tokens, n)
     q = q.select(*query_key, *on, F.col("_all").alias("n_grams"), F.col("pos").alias("qpos"), "gram")
     t = spans.token_ngrams(df, list(dict.fromkeys([*group, *on])), tokens, n)
-    return q.join(t, ["gram", *on])
+    return q.join(sorted_join(t), ["gram", *on])
 
 
 def anchor_votes(hits: DataFrame, query_key: list[str], group: list[str], most: int = 3) -> DataFrame:
