@@ -52,13 +52,13 @@ def scope_votes(queries: DataFrame, query_key: list[str], query_lanes: list[Colu
         votes.append(per.select(*query_key, *group, (F.lit(base) + F.least("_n", F.lit(4)) * place).alias("_v")))
         held = words(df, [*on, *group], other).groupBy(*on, *group, "token").agg(F.count("*").alias("_n"))
         spread = held.groupBy(*on, "token").agg(F.count("*").alias("_g"))
-        asked = words(queries, [*query_key, *on], F.when(F.size(lane) >= n, F.array_distinct(lane))).where(F.length("token") >= 3).join(spread, [*on, "token"])
+        asked = words(queries, [*query_key, *on], F.when(F.size(lane) >= n, F.array_distinct(lane))).where(F.length("token") >= 3).join(sorted_join(spread), [*on, "token"])
         best = Window.partitionBy(*query_key).orderBy("_g", F.length("token").desc(), "token")
         few = asked.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rarest)
-        rare.append(few.join(held, [*on, "token"]).select(*query_key, *group, (F.lit(weight) / F.col("_g") + F.least("_n", F.lit(4)) * 0.05).alias("_v")))
+        rare.append(few.join(sorted_join(held), [*on, "token"]).select(*query_key, *group, (F.lit(weight) / F.col("_g") + F.least("_n", F.lit(4)) * 0.05).alias("_v")))
     total = lambda parts, fallback: parts[0].unionByName(parts[1]).groupBy(*query_key, *group).agg(F.round(F.sum("_v"), 6).alias("votes")).withColumn("lexical_fallback", F.lit(fallback))
     first = total(votes, False)
-    both = first.unionByName(total(rare, True).join(first.select(*query_key).distinct(), query_key, "left_anti"))
+    both = first.unionByName(total(rare, True).join(sorted_join(first.select(*query_key).distinct()), query_key, "left_anti"))
     order = Window.partitionBy(*query_key).orderBy(F.col("votes").desc(), *group)
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
