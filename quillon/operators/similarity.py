@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import index
-from quillon.plans.materialize import exploded
+from quillon.plans.materialize import exploded, sorted_join
 
 
 def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart: str, tokens: Column, anchors: int = 6, top: int = 12, min_shared: int = 4, short: bool = False) -> DataFrame:
@@ -22,23 +22,23 @@ def neighbours_by_rare_tokens(df: DataFrame, key: str, block: list[str], apart:
     terms = exploded(sets, [*block, key], F.col("_t"), "term")
     freq = terms.groupBy(*block, "term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy(*block, key).orderBy("df", "term")
-    order = terms.join(freq, [*block, "term"]).withColumn("_r", F.row_number().over(rarest)).withColumn("_of", F.count("*").over(Window.partitionBy(*block, key))).where(F.col("_r") <= F.greatest(F.lit(anchors), F.col("_of") - (min_shared - 1)))
+    order = terms.join(sorted_join(freq), [*block, "term"]).withColumn("_r", F.row_number().over(rarest)).withColumn("_of", F.count("*").over(Window.partitionBy(*block, key))).where(F.col("_r") <= F.greatest(F.lit(anchors), F.col("_of") - (min_shared - 1)))
     anchor = order.where(F.col("_r") <= anchors).select(*block, key, "term", "_r")
     posted = order.where(F.col("_r") <= F.col("_of") - (min_shared - 1)).select(*block, key, "term")
     shared = F.size(F.array_intersect("_t", "_u"))
     if short:
         long_enough = sets.where(F.size("_t") >= min_shared)
         ranked = anchor.groupBy(*block, key).agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_a")).withColumn("_a", F.col("_a.term"))
-        source = ranked.join(long_enough, [*block, key]).select(*block, key, apart, "_t", "_a", F.posexplode("_a").alias("_p", "term"))
-        other = posted.join(long_enough, [*block, key]).select(*block, F.col(key).alias("_c"), F.col(apart).alias("_ca"), F.col("_t").alias("_u"), "term")
-        met = source.join(other, [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca")) & (shared >= min_shared) & ~F.arrays_overlap(F.slice("_a", F.lit(1), F.col("_p")), F.col("_u")))
+        source = ranked.join(sorted_join(long_enough), [*block, key]).select(*block, key, apart, "_t", "_a", F.posexplode("_a").alias("_p", "term"))
+        other = posted.join(sorted_join(long_enough), [*block, key]).select(*block, F.col(key).alias("_c"), F.col(apart).alias("_ca"), F.col("_t").alias("_u"), "term")
+        met = source.join(sorted_join(other), [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca")) & (shared >= min_shared) & ~F.arrays_overlap(F.slice("_a", F.lit(1), F.col("_p")), F.col("_u")))
         scored = met.select(*block, key, "_c", shared.alias("shared"), F.size("_t").alias("_n"), F.size("_u").alias("_m"))
     else:
-        source = anchor.join(sets.select(*block, key, apart), [*block, key])
-        other = posted.join(sets.select(*block, F.col(key), F.col(apart)), [*block, key]).select(*block, "term", F.col(key).alias("_c"), F.col(apart).alias("_ca"))
-        pairs = source.join(other, [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca"))).select(*block, key, "_c").distinct()
+        source = anchor.join(sorted_join(sets.select(*block, key, apart)), [*block, key])
+        other = posted.join(sorted_join(sets.select(*block, F.col(key), F.col(apart))), [*block, key]).select(*block, "term", F.col(key).alias("_c"), F.col(apart).alias("_ca"))
+        pairs = source.join(sorted_join(other), [*block, "term"]).where((F.col(key) != F.col("_c")) & (F.col(apart) != F.col("_ca"))).select(*block, key, "_c").distinct()
         right = sets.select(*block, F.col(key).alias("_c"), F.col("_t").alias("_u"))
-        scored = pairs.join(sets.select(*block, key, "_t"), [*block, key]).join(right, [*block, "_c"])
+        scored = pairs.join(sorted_join(sets.select(*block, key, "_t")), [*block, key]).join(sorted_join(right), [*block, "_c"])
         scored = scored.select(*block, key, "_c", shared.alias("shared"), F.size("_t").alias("_n"), F.size("_u").alias("_m")).where(F.col("shared") >= min_shared)
     coverage = F.col("shared") / F.col("_n") * 100
     score = F.col("shared") * 10 + F.col("shared") / (F.col("_n") + F.col("_m") - F.col("shared")) * 100 + coverage
