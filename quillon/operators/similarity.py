@@ -80,13 +80,13 @@ def one_edit_pairs(df: DataFrame, key: str, block: list[str], tokens: Column, le
     without = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.xxhash64(F.concat(F.slice("_t", F.lit(1), i - 1), F.slice("_t", i + 1, F.greatest(F.lit(0), n - i)))))
     marks = exploded(lists, [*block, "_d"], F.array_distinct(F.array_append(without, F.xxhash64("_t"))), "_s")
     other = marks.select(*block, "_s", F.col("_d").alias("_e"))
-    meet = marks.join(other, [*block, "_s"]).where("_d < _e").select(*block, "_d", "_e").distinct()
-    met = meet.join(lists, [*block, "_d"]).join(lists.select(*block, F.col("_d").alias("_e"), F.col("_t").alias("_u")), [*block, "_e"])
+    meet = marks.join(sorted_join(other), [*block, "_s"]).where("_d < _e").select(*block, "_d", "_e").distinct()
+    met = meet.join(sorted_join(lists), [*block, "_d"]).join(sorted_join(lists.select(*block, F.col("_d").alias("_e"), F.col("_t").alias("_u"))), [*block, "_e"])
     one = met.where(one_edit_apart(F.col("_t"), F.col("_u"))).select(*block, "_d", "_e")
     both = one.unionByName(one.select(*block, F.col("_e").alias("_d"), F.col("_d").alias("_e"))).unionByName(lists.select(*block, "_d", F.col("_d").alias("_e")))
-    members = rows.join(lists, [*block, "_t"]).select(*block, "_d", key, F.size("_t").alias("_n"))
-    found = members.where(F.col("_n") >= least).join(both, [*block, "_d"]).drop("_d", "_n")
-    return found.join(members.select(*block, F.col("_d").alias("_e"), F.col(key).alias("neighbour_id")), [*block, "_e"]).where(F.col(key) != F.col("neighbour_id")).select(*block, key, "neighbour_id")
+    members = rows.join(sorted_join(lists), [*block, "_t"]).select(*block, "_d", key, F.size("_t").alias("_n"))
+    found = members.where(F.col("_n") >= least).join(sorted_join(both), [*block, "_d"]).drop("_d", "_n")
+    return found.join(sorted_join(members.select(*block, F.col("_d").alias("_e"), F.col(key).alias("neighbour_id"))), [*block, "_e"]).where(F.col(key) != F.col("neighbour_id")).select(*block, key, "neighbour_id")
 
 
 def exact_groups(df: DataFrame, key: str, text: Column) -> DataFrame:

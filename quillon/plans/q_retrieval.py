@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators import fusion, index, retrieval, similarity, spans
 from quillon.plans import sqltext as sq
-from quillon.plans.materialize import cut, keep_where
+from quillon.plans.materialize import cut, keep_where, sorted_join
 from quillon.plans.q_spans import _LATEST, CHAPTER, verses
 from quillon.sources.tables import table, text_table
 
@@ -239,7 +239,7 @@ def h8_one_edit_verses(spark: SparkSession, root: str) -> DataFrame:
     near = j09_verse_neighbours(spark, root).select("id", "neighbour_id")
     edits = similarity.one_edit_pairs(w, "id", ["language_code"], F.col("a")).select("id", "neighbour_id")
     to = w.select(F.col("id").alias("neighbour_id"), F.col("surah_no").alias("s"), F.col("ayah_no").alias("v"), F.col("a").alias("b"), F.col("x").alias("y"))
-    both = near.unionByName(edits).distinct().join(w, "id").join(to, "neighbour_id").where(~(F.col("surah_no").eqNullSafe(F.col("s")) & F.col("ayah_no").eqNullSafe(F.col("v"))))
+    both = near.unionByName(edits).distinct().join(sorted_join(w), "id").join(sorted_join(to), "neighbour_id").where(~(F.col("surah_no").eqNullSafe(F.col("s")) & F.col("ayah_no").eqNullSafe(F.col("v"))))
     wide = similarity.relaxed_parallel(F.col("a"), F.col("b"), F.col("x"), F.col("y"))
     return both.select("id", "neighbour_id", similarity.missing_count(F.col("a"), F.col("b")).alias("missing"), similarity.one_edit_apart(F.col("a"), F.col("b")).alias("one_edit"), wide.alias("relaxed_parallel"))
 
