@@ -10,7 +10,8 @@ def _broadcasts(df):
 
 
 def _texts(spark, key):
-    return spark.createDataFrame([(i, f"c{i % 3}", [f"w{(i * k) % 17}" for k in range(20)]) for i in range(30)], f"{key} long, c string, w array<string>")
+    # a range has a known small size, as a table has; rows of a list count as endless and are never broadcast
+    return spark.range(30).select(F.col("id").alias(key), F.expr("concat('c', id % 3) AS c"), F.expr("transform(sequence(0, 19), k -> concat('w', (id * k) % 17)) AS w"))
 
 
 def test_anchor_hits_are_not_broadcast(spark):
@@ -42,6 +43,6 @@ def test_one_edit_pairs_are_not_broadcast(spark):
 
 
 def test_kept_spans_are_not_broadcast(spark):
-    rows = spark.createDataFrame([(i % 4, 1, i, i + 2, i) for i in range(20)], "q long, g int, a int, b int, r int")
+    rows = spark.range(20).selectExpr("id % 4 AS q", "1 AS g", "id AS a", "id + 2 AS b", "id AS r")
     out = fusion.suppress_overlaps(rows, ["q"], "g", "a", "b", "r", limit=3)
     assert _broadcasts(out) == 0
