@@ -49,3 +49,12 @@ def test_buckets_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(search, "BUCKET_QUERIES", 4)
     assert [run(short) for short in (False, True)] == whole
     assert len({r[1] for r in whole[0]}) > 30 and len(whole[0]) > 200 and all(r[0] is not None for r in whole[0])
+
+
+def test_copies_of_one_wording_are_not_moved_as_pairs(spark):
+    """100 queries have the form of each of 300 rows: 30,000 exact pairs, of which 500 are asked for."""
+    d, q = _texts(spark, 300, "id", "'one two three'"), _texts(spark, 100, "q", "'one two three'")
+    got = []
+    moved = _written(spark, lambda: got.extend(search.shortlist(d, "id", F.col("t"), q, "q", F.col("t"), ["b"], 5).collect()))
+    assert {(r["query_id"], r["rank"], r["id"], r["strategy"]) for r in got} == {(k, i + 1, i, "exact") for k in range(100) for i in range(5)}
+    assert moved < 10_000
