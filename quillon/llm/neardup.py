@@ -5,32 +5,31 @@ band or in neighbouring ones; each set signs for its own band and for the next.
 first-level parts of the hashed word domain, each of ``n2`` second-level parts, and one signature per way to choose ``n2 - k2``
 of the latter. Sets within the radius agree on a whole signature by the pigeonhole principle.
 
-Signatures are joined by equality. A row carries a 256-bit parity sketch of its set; the popcount of two sketches' XOR never
-exceeds the sets' Hamming distance, so the join itself drops false candidates before anything is shuffled again. Survivors are
-checked exactly on the words.
+Signatures meet by equality: their rows are shuffled and sorted once, and in every group a set is compared with the run of sets behind it that are not too large for it. A row carries a 256-bit parity sketch of its set;
+the popcount of two sketches' XOR never exceeds the sets' Hamming distance, so false candidates are dropped on the spot, before anything is shuffled again. Survivors are checked exactly on the words.
 
 Texts with one and the same word set are one class before the first signature is made: copies never meet each other in a join.
 
 Signatures made of few words can be shared by a large part of all sets. Such hot signatures are found beforehand (a pass that counts within batches and sums what is frequent there), and their group is
-split: its sets are dealt to buckets, and the signature is replaced by one key per pair of buckets, so any two of its sets still meet and no key holds more than about ``group_limit`` of them.
+split: a first word (below) by size bands, and what is still hot, like a hot PartEnum signature, by buckets: its sets are dealt to them, and the signature is replaced by one key per pair of buckets, so any two of its sets still meet and no key holds more than about ``group_limit`` of them.
 
 ``guarantee`` is the similarity from which on a shared PartEnum signature is certain (0.8 unless told otherwise). Below it, down to ``threshold``, a second kind of signature makes
-the meeting certain: with all words in one order, rare ones first, two sets of similarity ``t`` share a word among the first ``n - ceil(t n) + 1`` of each, so these words sign as well. No pair is left to chance.
+the meeting certain: with all words in one order, rare ones first, two sets of similarity ``t`` share a word among the first ``n - ceil(t n) + 1`` of each, so these words sign as well. Of the smaller set of a pair even the first ``n - ceil(2 t n / (1 + t)) + 1`` suffice; the other words only sign for it as the larger one. No pair is left to chance.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import chain, combinations
+from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.materialize import cut, keep_where
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ROW = ["sig", "rep", "n", "b0", "b1", "b2", "b3"]
 
 
 def words_of(text: Column) -> Column:
@@ -78,9 +77,8 @@ def signatures(sizes: np.ndarray, words: np.ndarray, band: int, hi: int, guarant
         return _mix(out + tag[None, :], 0x1D)
 
 
-def _word_hash(lists: pd.Series) -> np.ndarray:
-    flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-    return flat.view(np.uint64)
+def _word_hash(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def sketch(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -91,8 +89,8 @@ def sketch(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _banded(sizes: np.ndarray, words: np.ndarray, threshold: float, guarantee: float, least: int, k2: int, n2: int):
-    """Per band instance the sets that sign for it and their signatures."""
-    ends = np.array([hi for _, hi in size_bands(least, threshold, int(sizes.max()) * 2)])
+    """Per band instance the sets that sign for it and their signatures. Bands follow the guarantee: sets that are less similar meet by their first words."""
+    ends = np.array([hi for _, hi in size_bands(least, max(threshold, guarantee), int(sizes.max()) * 2)])
     own = np.searchsorted(ends, sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for b in np.unique(np.concatenate([own, own + 1])):
@@ -116,62 +114,181 @@ def prefix_signatures(sizes: np.ndarray, words: np.ndarray, threshold: float, co
     return _mix(ordered[place < np.repeat(lens, sizes)], 0x9F1E), lens
 
 
-def _prefixes(sizes: np.ndarray, words: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None, threshold: float) -> list[np.ndarray]:
-    """Per set its prefix signatures; none where PartEnum is certain from the threshold on."""
-    if common is None:
-        return []
-    sigs, lens = prefix_signatures(sizes, words, threshold, common)
-    return np.split(sigs, np.cumsum(lens)[:-1])
+def _signed(sizes: np.ndarray, words: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None, *how):
+    """Signatures in parts ``(of, sig, place)``: the set each belongs to and, of prefix signatures, the place of the word in its set; -1 of PartEnum signatures.
+
+    There are no prefix signatures where PartEnum is certain from the threshold on (``common`` is None).
+    """
+    for pick, sig in _banded(sizes, words, *how):
+        yield np.repeat(pick, sig.shape[1]), sig.ravel(), np.full(sig.size, -1, np.int64)
+    if common is not None:
+        sig, lens = prefix_signatures(sizes, words, how[0], common)
+        yield np.repeat(np.arange(len(sizes)), lens), sig, np.arange(len(sig)) - np.repeat(np.cumsum(lens) - lens, lens)
 
 
 def _signer(shared, common, *how):
-    """Rows ``(rep, n, sketch, sigs)``; hot signatures are replaced by the keys of their bucket pairs."""
+    """Rows ``(sig, rep, n, b0..b3)``; hot signatures are split. A negative size marks a set that may only be the larger one of a pair here. The rows of a set stay together, so that the shuffle packs its sketch well."""
+    threshold, _, least, *_ = how
 
     def run(batches):
         hot: dict[int, int] = shared.value
-        keys = np.fromiter(hot, np.uint64, len(hot))
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                sizes, ids = part["n"].to_numpy(np.int64), part["rep"].to_numpy(np.int64)
-                if not len(sizes):
-                    continue
+        keys = np.sort(np.fromiter(hot, np.uint64, len(hot)))
+        dealt = np.array([hot[int(x)] for x in keys], np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                sizes, ids = part["n"].to_numpy().astype(np.int64), part["rep"].to_numpy()
                 words = _word_hash(part["h"])
                 bits = sketch(sizes, words).view(np.int64)
-                for pick, sig in chain(_banded(sizes, words, *how), [(np.arange(len(sizes)), own)] if (own := _prefixes(sizes, words, common.value, how[0])) else ()):
-                    sigs = [x.view(np.int64) for x in sig]
-                    ends = np.cumsum([len(x) for x in sig])
-                    for i in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(np.concatenate(sig), keys)), "right")) if len(keys) else ():
-                        sigs[i] = np.concatenate([_bucket_keys(x, hot[x], int(ids[pick[i]])) if x in hot else np.array([x], np.uint64) for x in sig[i].tolist()]).view(np.int64)
-                    yield pd.DataFrame({"rep": ids[pick], "n": sizes[pick].astype(np.int32), "b0": bits[pick, 0], "b1": bits[pick, 1], "b2": bits[pick, 2], "b3": bits[pick, 3], "sigs": sigs})
+                of, sig, place = (np.concatenate(x) for x in zip(*_signed(sizes, words, common.value, *how)))
+                if len(keys):
+                    of, sig, place = _by_band(of, sig, place, sizes, _dealt(sig, keys, dealt) == 1, threshold, least)
+                    of, sig, place = _deal(of, sig, place, ids, _dealt(sig, keys, dealt))
+                order = np.argsort(of.astype(np.uint16), kind="stable")
+                of, sig, n = of[order], sig[order], sizes[of[order]]
+                n = np.where(place[order] < smaller_prefix(n, threshold), n, -n).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig.view(np.int64), ids[of], n, *bits[of].T)], names=_ROW)
 
     return run
 
 
-def _bucket_keys(sig: int, buckets: int, rep: int) -> np.ndarray:
-    """One key for each pair of buckets that the set's bucket is in."""
-    mine = int(_mix(np.array([rep & 0xFFFFFFFFFFFFFFFF], np.uint64), 0xB0C5)[0]) % buckets
-    other = np.arange(buckets, dtype=np.uint64)
-    pair = np.minimum(other, mine).astype(np.uint64) * np.uint64(1 << 20) + np.maximum(other, mine).astype(np.uint64)
+def smaller_prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many first words of the smaller set of a pair suffice: both together have to share ``t / (1 + t)`` of their sizes, for the smaller one at least ``2 t / (1 + t)`` of its own."""
+    return sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-6).astype(np.int64) + 1
+
+
+def _dealt(sig: np.ndarray, keys: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+    """How often each signature is dealt: 0 if it is not hot, 1 for a first word that is split by size bands, else the number of buckets. ``keys`` is sorted."""
+    at = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
+    return np.where(keys[at] == sig, dealt[at], 0)
+
+
+def _by_band(of: np.ndarray, sig: np.ndarray, place: np.ndarray, sizes: np.ndarray, split: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures with each one of ``split`` replaced by a key for the set's size band and, where the set may be the smaller one of a pair, one for the next band."""
+    if not split.any():
+        return of, sig, place
+    ends = np.array([hi for _, hi in size_bands(least, threshold, int(sizes.max()) * 2)])
+    row = np.concatenate([np.arange(len(sig)), np.flatnonzero(split & (place < smaller_prefix(sizes[of], threshold)))])
+    band = np.searchsorted(ends, sizes[of[row]]) + (np.arange(len(row)) >= len(sig))
+    with np.errstate(over="ignore"):
+        return of[row], np.where(split[row], _mix(sig[row] + band.astype(np.uint64), 0xBA4D), sig[row]), place[row]
+
+
+def _deal(of: np.ndarray, sig: np.ndarray, place: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures with each one of several buckets replaced by one key for each pair of buckets that the set's bucket is in."""
+    times = np.maximum(buckets, 1)
+    if times.max() == 1:
+        return of, sig, place
+    row = np.repeat(np.arange(len(sig)), times)
+    other = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    mine = _mix(ids.view(np.uint64), 0xB0C5)[of[row]] % times[row].astype(np.uint64)
     with np.errstate(over="ignore"):
-        return _mix(pair + np.uint64(sig), 0x5B17)
+        pair = _mix(np.minimum(other, mine) * np.uint64(1 << 20) + np.maximum(other, mine) + sig[row], 0x5B17)
+    return of[row], np.where(times[row] > 1, pair, sig[row]), place[row]
+
+
+def _near(threshold: float, at_least: int = 100_000):
+    """Rows ``(a, b)`` of sets that share a signature and whose sketches allow the threshold, from rows sorted by signature.
+
+    Within a signature the sets are in order of size, so the possible partners of one are a run behind it. Batches are held until they have ``at_least`` rows and a group ends.
+    """
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            sig = batch["sig"].to_numpy()
+            if rows < at_least or sig[0] == sig[-1]:  # within a large group
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))
+            yield from _near_pairs([*held[:-1], batch.slice(0, last)], threshold)
+            held, rows = [batch.slice(last)], batch.num_rows - last
+        if rows:
+            yield from _near_pairs(held, threshold)
+
+    return run
+
+
+def _near_pairs(batches: list[pa.RecordBatch], threshold: float):
+    """The pairs of whole groups."""
+    sig, rep, n, *bits = (np.concatenate([b[c].to_numpy() for b in batches]) for c in _ROW)
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    shared = np.flatnonzero(~(new & np.append(new[1:], True)))
+    if not len(shared):
+        return
+    size = np.abs(n).astype(np.int64)
+    group = np.cumsum(new) << 32
+    order = shared[np.argsort((group + size)[shared], kind="stable")]
+    rep, n, size, group, bits = rep[order], n[order], size[order], group[order], [x[order].view(np.uint64) for x in bits]
+    most = np.floor((size + 1e-9) / threshold).astype(np.int64)
+    ends = np.where(n > 0, np.searchsorted(group + size, group + most, "right"), 0)
+    apart = (1 - threshold) / (1 + threshold)
+    runs = _runs(group, ends, bits, np.minimum((size + most) * apart + 1e-9, 255).astype(np.uint8))
+    for some in iter(lambda: list(islice(runs, 16)), []):
+        x, y = (np.concatenate(side) for side in zip(*some))
+        d, allowed = np.zeros(len(x), np.int64), (size[x] + size[y]) * apart + 1e-9
+        for b in bits:
+            d += np.bitwise_count(b[x] ^ b[y])
+        ok = (d <= allowed) & (rep[x] != rep[y])
+        if ok.any():
+            a, b = rep[x[ok]], rep[y[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _runs(group: np.ndarray, ends: np.ndarray, bits: list[np.ndarray], allowed: np.ndarray, at_once: int = 1 << 16, wide: int = 32):
+    """Index pairs ``(x, y)``, ``x < y < ends[x]``: all of small groups, of large ones those whose sketches differ in at most ``allowed[x]`` bits.
+
+    A large group is looked at as blocks of some rows by the run of all their partners, so nothing is gathered pair by pair; a block or a lot of small groups has about ``at_once`` pairs.
+    """
+    at = np.arange(len(ends))
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    lens = np.diff(np.append(starts, len(group)))
+    large = lens >= wide
+    partners = np.where(np.repeat(large, lens), 0, np.maximum(ends - at - 1, 0))
+    upto = np.cumsum(partners)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + at_once, "right")))
+        k = partners[lo:hi]
+        x = np.repeat(at[lo:hi], k)
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        lo = hi
+    for start, length in zip(starts[large], lens[large]):
+        left = start + np.flatnonzero(ends[start : start + length] > at[start : start + length] + 1)
+        lo = 0
+        while lo < len(left):
+            first = left[lo] + 1
+            x = left[lo : lo + min(wide, max(1, at_once // int(ends[left[lo]] - first)))]
+            lo += len(x)
+            run = slice(first, ends[x[-1]])
+            d0, d1, d2, d3 = (np.bitwise_count(b[x, None] ^ b[run]) for b in bits)
+            hit = np.flatnonzero((d0 + d1) + (d2 + d3) <= allowed[x, None])  # all 256 bits wrap to none: one candidate too many
+            if len(hit):
+                x, y = x[hit // (run.stop - first)], first + hit % (run.stop - first)
+                ok = (y > x) & (y < ends[x])
+                yield x[ok], y[ok]
 
 
 def _frequent(share: float, common, *how):
-    """Signatures that at least this share of a batch's sets have, with their number there."""
+    """Signatures that at least this share of a batch's sets have, with their number there; first words also by size band. ``banded`` marks what is split by size bands."""
+    threshold, _, least, *_ = how
 
     def run(batches):
-        for pdf in batches:
-            sizes = pdf["n"].to_numpy(np.int64)
+        for batch in batches:
+            sizes = batch["n"].to_numpy().astype(np.int64)
             if not len(sizes):
                 continue
-            words = _word_hash(pdf["h"])
-            own = _prefixes(sizes, words, common.value, how[0])
-            for _, sig in chain(_banded(sizes, words, *how), [(None, np.concatenate(own))] if own else ()):
-                found, n = np.unique(sig, return_counts=True)
-                often = n >= max(4, share * len(sizes))
-                if often.any():
-                    yield pd.DataFrame({"sig": found[often].view(np.int64), "n": n[often]})
+            for of, sig, place in _signed(sizes, _word_hash(batch["h"]), common.value, *how):
+                first = place[0] >= 0
+                kinds = [(sig, first)] + ([(_by_band(of, sig, place, sizes, place >= 0, threshold, least)[1], False)] if first else [])
+                for keys, banded in kinds:
+                    found, n = np.unique(keys, return_counts=True)
+                    often = n >= max(4, share * len(sizes))
+                    if often.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often]), pa.array(np.full(often.sum(), banded))], names=["sig", "n", "banded"])
 
     return run
 
@@ -185,10 +302,10 @@ def frequent_words(sets: DataFrame, most: int = 65_536) -> tuple[np.ndarray, np.
 
 
 def hot_signatures(sets: DataFrame, group_limit: int, share: float, most: int, common, *how) -> dict[int, int]:
-    """Signatures of large groups and the number of buckets to deal each to; at most ``most``, the largest. What is not named here is only not split."""
-    total = F.sum("n").alias("n")
-    rows = sets.mapInPandas(_frequent(share, common, *how), "sig long, n long").groupBy("sig").agg(total).where(F.col("n") >= group_limit).orderBy(F.desc("n"), "sig").limit(most).collect()
-    return {r["sig"] & 0xFFFFFFFFFFFFFFFF: math.ceil(2 * r["n"] / group_limit) for r in rows}
+    """Signatures of large groups and the number of buckets to deal each to, or 1 for a first word to split by size bands; at most ``most``, the largest. What is not named here is only not split."""
+    found = sets.mapInArrow(_frequent(share, common, *how), "sig long, n long, banded boolean").groupBy("sig", "banded").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= group_limit).orderBy(F.desc("n"), "sig").limit(most).collect()
+    return {r["sig"] & 0xFFFFFFFFFFFFFFFF: 1 if r["banded"] else math.ceil(2 * r["n"] / group_limit) for r in rows}
 
 
 def classes(df: DataFrame, key: str, text: str, min_words: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -214,19 +331,9 @@ def candidate_links(reps: DataFrame, threshold: float = 0.8, guarantee: float |
     sc = reps.sparkSession.sparkContext
     common = sc.broadcast(frequent_words(sets) if how[1] > threshold else None)
     shared = sc.broadcast(hot_signatures(sets, group_limit, hot_share, most_hot, common, *how))
-    signed = sets.mapInPandas(_signer(shared, common, *how), "rep long, n int, b0 long, b1 long, b2 long, b3 long, sigs array<long>")
-    rows = signed.select(F.explode("sigs").alias("sig"), "rep", "n", "b0", "b1", "b2", "b3")
-    x = rows.select("sig", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b0", "b1", "b2", "b3")])
-    y = rows.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b0", "b1", "b2", "b3")])
-    apart = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(4)), F.lit(0))
-    total = F.col("x_n") + F.col("y_n")
-    near = (
-        (F.col("x_rep") < F.col("y_rep"))
-        & (F.col("x_n") >= F.col("y_n") * F.lit(threshold) - 1e-9)
-        & (F.col("y_n") >= F.col("x_n") * F.lit(threshold) - 1e-9)
-        & (apart <= total * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
-    )
-    return x.join(y, "sig").where(near).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    rows = sets.mapInArrow(_signer(shared, common, *how), "sig long, rep long, n int, b0 long, b1 long, b2 long, b3 long")
+    # one shuffle and one sort instead of a self-join's two, whose every pair is looked at in both orders and at all sizes
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_near(threshold), "a long, b long").distinct()
 
 
 def links(reps: DataFrame, threshold: float = 0.8, **how) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest import rows
 
 from quillon.llm import neardup as nd
@@ -82,6 +83,62 @@ def test_pairs_between_threshold_and_guarantee_are_certain(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(1500)}
 
 
+def test_signatures_meet_without_a_join(spark):
+    # a self-join looks at every pair twice and at all sizes, and shuffles the rows' sketches for both sides
+    reps = spark.createDataFrame([(i, t) for i, t in enumerate(_texts(40))], "rep long, words string")
+    plan = nd.candidate_links(reps, 0.7, guarantee=0.8, min_words=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_first_words_split_by_size_and_buckets_lose_nothing(spark, monkeypatch):
+    # sizes over several bands from a small vocabulary: hot first words are split by size bands, and most of these again by buckets
+    rnd = random.Random(23)
+    texts = []
+    for i in range(40):
+        w = rnd.sample(WORDS[:160], rnd.randint(30, 90))
+        texts += [w, rnd.sample(w, int(len(w) * 0.72) + 1), w[: int(len(w) * 0.85)] + rnd.sample(WORDS[:160], 4)]
+    found, hot = [], nd.hot_signatures
+    monkeypatch.setattr(nd, "hot_signatures", lambda *a: found.append(hot(*a)) or found[-1])
+    data = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(data, "id long, t string").coalesce(1)
+    got = set(rows(nd.similar_pairs(df, "id", "t", threshold=0.7, min_words=20, guarantee=0.8, group_limit=4, hot_share=0.0)))
+    assert got == _brute(data, 0.7, 20) and min(found[0].values()) == 1 and max(found[0].values()) >= 2
+
+
+def test_a_hot_first_word_gets_two_keys_at_most():
+    sizes, sig = np.arange(30, 120), np.full(90, 77, np.uint64)
+    for place, keys in ((0, 2), (17, None)):
+        of, split, _ = nd._by_band(np.arange(90), sig, np.full(90, place), sizes, np.full(90, True), 0.7, 25)
+        per_set = np.bincount(of)
+        assert per_set.max() == 2 and per_set.min() == (keys or 1)
+        groups = [set(split[of == i].tolist()) for i in range(90)]
+        smaller = [i for i in range(90) if place < nd.smaller_prefix(sizes, 0.7)[i]]
+        assert all(groups[i] & groups[j] for i in smaller for j in range(i, 90) if sizes[i] >= 0.7 * sizes[j])
+
+
+def test_pairs_of_a_group_across_batches():
+    rnd = random.Random(7)
+    made = []
+    for i in range(400):
+        w = rnd.sample(made[rnd.randrange(i)], k) + rnd.sample(range(3000), 3) if i and rnd.random() < 0.7 and (k := 20) else rnd.sample(range(3000), rnd.randint(20, 60))
+        made.append(list(dict.fromkeys(w)))
+    sizes = np.array([len(w) for w in made])
+    bits = nd.sketch(sizes, np.array([x for w in made for x in w], np.uint64)).view(np.int64)
+    sig = np.sort(np.array([rnd.choice([1, 1, 1, 2, 3, 4, rnd.randrange(5, 99)]) for _ in made]))
+    n = np.where([rnd.random() < 0.8 for _ in made], sizes, -sizes).astype(np.int32)
+    table = pa.table({"sig": sig, "rep": np.arange(400), "n": n} | {f"b{i}": bits[:, i].copy() for i in range(4)})
+    distance = lambda i, j: int(np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum())
+    wanted = set()
+    for i in range(400):
+        for j in range(i + 1, 400):
+            x, y = sorted((i, j), key=lambda k: (sizes[k], k))
+            if sig[i] == sig[j] and n[x] > 0 and sizes[x] >= 0.7 * sizes[y] - 1e-9 and distance(i, j) <= (sizes[i] + sizes[j]) * 0.3 / 1.7 + 1e-9:
+                wanted.add((i, j))
+    for at_least in (1, 90, 10**6):
+        got = [(r["a"], r["b"]) for b in nd._near(0.7, at_least)(iter(table.to_batches(max_chunksize=37))) for r in b.to_pylist()]
+        assert set(got) == wanted and len(got) == len(wanted) and len(wanted) > 20
+
+
 def test_sketch_never_exceeds_the_distance():
     rnd = random.Random(2)
     for _ in range(50):
